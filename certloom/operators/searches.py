@@ -145,6 +145,9 @@ def parse_one(spark: SparkSession, text: str) -> SearchSpec:
 
 GRAM = 3
 
+# Lengths of the keys cut from a text: a term is looked up by the longest that fits.
+KEY_LENGTHS = [6, 3, 2, 1]
+
 
 def _grams(c: Column, n: int) -> Column:
     """All runs of `n` characters that do not cross a line end."""
@@ -183,36 +186,36 @@ def trigram_candidates(grams: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
+# Kinds of keys, best first: a whole value, a name ending, or a run of that many characters.
+WHOLE, ENDING = "whole", "ending"
+KINDS = [WHOLE, ENDING, *map(str, KEY_LENGTHS)]
+
+
 def _term_keys(term: Column) -> Column:
-    """Keys of which every matching row has at least one per listed term: whole value, name ending or gram."""
+    """The keys of a term with their kind; a row that fulfils the term has all of them."""
     text = F.lower(term["text"])
-    ending = (term["column"] == "domain") & F.contains(term["text"], F.lit("."))
-    return (
-        F.when(term["exact"], F.array(F.concat(F.lit("="), term["text"])))
-        .when(F.coalesce(ending, F.lit(False)), F.array(F.concat(F.lit("."), text)))
-        .when(
-            F.length(text) >= GRAM,
-            F.transform(F.array_distinct(_grams(text, GRAM)), lambda g: F.concat(F.lit("3"), g)),
-        )
-        .otherwise(F.array(F.concat(F.length(text).cast("string"), text)))
-    )
+    ending = F.coalesce(term["column"] == "domain", F.lit(False)) & F.contains(term["text"], F.lit("."))
+    kind = F.when(term["exact"], WHOLE).when(ending, ENDING)
+    keys = F.when(term["exact"], F.array(term["text"])).when(ending, F.array(text))
+    for n in KEY_LENGTHS:
+        kind = kind.when(F.length(text) >= n, str(n))
+        keys = keys.when(F.length(text) >= n, F.array_distinct(_grams(text, n)))
+    return F.transform(keys, lambda key: F.struct(kind.alias("kind"), key.alias("key")))
 
 
 def _row_keys(kinds: set[str]) -> Column:
-    """Keys of a certificate row, of the kinds that the searches use."""
+    """Keys of a certificate row, of the kinds that the searches use.
+
+    Kinds share one space of keys: a clash only gives a candidate that fails its verification.
+    """
     names = _searched_text("domains")
     text = _searched_text("domains", "issuer_org", "subject_cn")
-
-    def tagged(kind: str, values: Column) -> Column:
-        return F.transform(values, lambda v: F.concat(F.lit(kind), v))
-
-    whole = F.filter(F.concat("domains", F.array("issuer_org", "subject_cn")), lambda v: v.isNotNull())
     parts = {
-        "=": tagged("=", whole),
-        ".": tagged(".", _all(names, r"(?<![^.\n])(?=([^\n]+))", 1)),
-        **{str(n): tagged(str(n), _grams(text, n)) for n in range(1, GRAM + 1)},
+        WHOLE: F.concat("domains", F.array("issuer_org", "subject_cn")),
+        ENDING: _all(names, r"(?<![^.\n])(?=([^\n]+))", 1),
+        **{str(n): _grams(text, n) for n in KEY_LENGTHS},
     }
-    return F.array_distinct(F.concat(*[parts[k] for k in sorted(kinds)]))
+    return F.array_distinct(F.concat(*[parts[k] for k in KINDS if k in kinds]))
 
 
 def _term_holds(term: Column) -> Column:
@@ -263,19 +266,19 @@ def search_anchors(parsed: DataFrame, gram_counts: DataFrame | None = None) -> D
     )
     positives = F.filter("terms", lambda t: ~t["negate"])
     offered = groups.select(
-        "search_id", "grp", F.explode(F.array_distinct(F.flatten(F.transform(positives, _term_keys)))).alias("key")
+        "search_id", "grp", F.inline(F.array_distinct(F.flatten(F.transform(positives, _term_keys))))
     )
     load = offered.groupBy("key").agg(F.count(F.lit(1)).alias("load"))
     weighed = offered.join(load, "key")
     cost = F.col("load").cast("double")
     if gram_counts is not None:
-        held = gram_counts.select(F.concat(F.lit("3"), F.col("gram")).alias("key"), F.col("n").alias("held"))
+        held = gram_counts.select(F.col("gram").alias("key"), F.col("n").alias("held"))
         weighed = weighed.join(held, "key", "left")
         cost = cost * F.coalesce(F.col("held"), F.lit(1))
-    # Whole values and endings first, then the longest grams.
-    kind = F.instr(F.lit("=.321"), F.left("key", F.lit(1)))
-    best = weighed.groupBy("search_id", "grp").agg(F.min(F.struct(cost.alias("cost"), kind.alias("kind"), "key")).alias("a"))
-    return groups.join(best.select("search_id", "grp", "a.key"), ["search_id", "grp"])
+    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    choice = F.min(F.struct(cost.alias("cost"), order.alias("order"), "kind", "key")).alias("best")
+    best = weighed.groupBy("search_id", "grp").agg(choice)
+    return groups.join(best.select("search_id", "grp", "best.kind", "best.key"), ["search_id", "grp"])
 
 
 def match_searches(certs: DataFrame, parsed: DataFrame, gram_counts: DataFrame | None = None) -> DataFrame:
@@ -288,14 +291,16 @@ def match_searches(certs: DataFrame, parsed: DataFrame, gram_counts: DataFrame |
     """
     anchors = stored(search_anchors(stored(parsed, "searches"), gram_counts), "anchors")
     size = anchors.agg(
-        F.collect_set(F.left("key", F.lit(1))).alias("kinds"),
+        F.collect_set("kind").alias("kinds"),
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.sum(F.length(F.to_json("terms")) + 100), F.lit(0)).alias("bytes"),
     ).first()
     if size["rows"] == 0:
         return certs.select(F.lit(None).cast(parsed.schema["search_id"].dataType).alias("search_id"), "fingerprint").limit(0)
+    # Nearly all keys of a row are unknown: dropping those first keeps that step in generated code.
+    known = anchors.select("key").distinct()
     if size["rows"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES:
-        anchors = F.broadcast(anchors)
+        anchors, known = F.broadcast(anchors), F.broadcast(known)
     keyed = certs.select(
         "fingerprint",
         "domains",
@@ -319,4 +324,5 @@ def match_searches(certs: DataFrame, parsed: DataFrame, gram_counts: DataFrame |
     )
     wild = F.col("wildcard").isNull() | (F.col("wildcard") == has_wildcard(F.col("domains")))
     verified = in_time & compared & wild & F.forall("terms", _term_holds)
-    return keyed.join(anchors, "key").filter(verified).select("search_id", "fingerprint").distinct()
+    found = keyed.join(known, "key", "left_semi").join(anchors, "key")
+    return found.filter(verified).select("search_id", "fingerprint").distinct()

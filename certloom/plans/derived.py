@@ -112,26 +112,40 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages_of(events(spark, sf_dir))
 
 
-# Forms of a derived saved search, by user_id % 9.
 def saved_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One saved search per user, in nine forms."""
+    """A narrow saved search per user, in seven forms, and three broad ones per event type."""
+    ev = events(spark, sf_dir)
     u = F.col("user_id").cast("string")
     forms = [
-        F.concat(F.lit("u"), u, F.lit(" -click")),
+        F.concat(F.lit("u"), u, F.lit(".github -click")),
         F.concat(F.lit("domain:u"), u, F.lit(".github.io")),
-        F.concat(F.lit('issuer:"CA view" wildcard:true domain_count:>='), (F.col("user_id") % 3).cast("string")),
         F.concat(F.lit("cn:u"), u, F.lit(".example domain_count:=1")),
-        F.concat(F.lit("purchase OR domain:u"), u, F.lit(".co.uk after:2024-01-10")),
+        F.concat(F.lit("domain:u"), u, F.lit(".net OR domain:u"), u, F.lit(".co.uk after:2024-01-10")),
         F.concat(F.lit("u"), u, F.lit(".github created:2024-01-05..2024-01-07")),
-        F.concat(F.lit('"u'), u, F.lit('.github.io" before:2024-01-20')),
-        F.concat(F.lit("u"), F.substring(u, 1, 1)),
+        F.concat(F.lit('"u'), u, F.lit('.github.io" before:2024-01-20 wildcard:false')),
         F.concat(F.lit("u%_"), u, F.lit(" OR domain:b.u"), u, F.lit(".net -error OR u"), u, F.lit(".example -CA")),
     ]
     text = forms[-1]
     for i, form in enumerate(forms[:-1]):
-        text = F.when(F.col("user_id") % 9 == i, form).otherwise(text)
-    users = events(spark, sf_dir).select("user_id").distinct()
-    return users.select(F.col("user_id").alias("search_id"), text.alias("text"))
+        text = F.when(F.col("user_id") % 7 == i, form).otherwise(text)
+    narrow = ev.select("user_id").distinct().select(F.col("user_id").alias("search_id"), text.alias("text"))
+    kind, first = F.col("event_type"), F.ascii("event_type").cast("bigint")
+    broad = (
+        ev.select("event_type")
+        .distinct()
+        .select(
+            F.stack(
+                F.lit(3),
+                -first,
+                F.left(kind, F.lit(2)),
+                -1000 - first,
+                F.concat(F.lit('issuer:"CA '), kind, F.lit('" wildcard:true domain_count:>=1')),
+                -2000 - first,
+                F.concat(F.lit("cn:* "), kind),
+            ).alias("search_id", "text")
+        )
+    )
+    return narrow.unionByName(broad)
 
 
 def metadata_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
