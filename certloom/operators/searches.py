@@ -7,6 +7,8 @@ start of a group scopes all its terms; `-` negates; quotes make a term exact.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -281,34 +283,47 @@ def search_anchors(parsed: DataFrame, gram_counts: DataFrame | None = None) -> D
     return groups.join(best.select("search_id", "grp", "best.kind", "best.key"), ["search_id", "grp"])
 
 
-def match_searches(certs: DataFrame, parsed: DataFrame, gram_counts: DataFrame | None = None) -> DataFrame:
-    """Distinct `(search_id, fingerprint)` of all saved searches over all certificates.
+@dataclass(frozen=True)
+class SearchIndex:
+    """Stored anchors of a set of searches, with what was measured when they were stored."""
 
-    Every certificate looks up its own keys among the searches, so a search meets only rows that
-    share its key, and is verified there as a whole: AND, NOT and the filters need no regrouping.
-    With searches of checked size that is one scan, and only true matches are shuffled. Searches
-    without a match give no row.
-    """
+    anchors: DataFrame
+    kinds: frozenset[str]
+    rows: int
+    bytes: int
+
+    @property
+    def broadcastable(self) -> bool:
+        return self.rows <= BROADCAST_ROWS and self.bytes <= BROADCAST_BYTES
+
+
+def index_searches(parsed: DataFrame, gram_counts: DataFrame | None = None) -> SearchIndex:
+    """Store the anchors of parsed searches; a stream does this once, not per batch."""
     anchors = stored(search_anchors(stored(parsed, "searches"), gram_counts), "anchors")
     size = anchors.agg(
         F.collect_set("kind").alias("kinds"),
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.sum(F.length(F.to_json("terms")) + 100), F.lit(0)).alias("bytes"),
     ).first()
-    if size["rows"] == 0:
-        return certs.select(F.lit(None).cast(parsed.schema["search_id"].dataType).alias("search_id"), "fingerprint").limit(0)
+    return SearchIndex(anchors, frozenset(size["kinds"]), size["rows"], size["bytes"])
+
+
+def match_index(certs: DataFrame, index: SearchIndex) -> DataFrame:
+    """Distinct `(search_id, fingerprint)` of all indexed searches over all certificates.
+
+    Every certificate looks up its own keys among the searches, so a search meets only rows that
+    share its key, and is verified there as a whole: AND, NOT and the filters need no regrouping.
+    With searches of checked size that is one scan, and only true matches are shuffled; beyond it
+    the keys are joined by shuffle. Searches without a match give no row.
+    """
+    anchors = index.anchors
     # Nearly all keys of a row are unknown: dropping those first keeps that step in generated code.
     known = anchors.select("key").distinct()
-    if size["rows"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES:
+    if index.broadcastable:
         anchors, known = F.broadcast(anchors), F.broadcast(known)
+    keys = F.explode(_row_keys(index.kinds)) if index.kinds else F.explode(F.array().cast("array<string>"))
     keyed = certs.select(
-        "fingerprint",
-        "domains",
-        "issuer_org",
-        "subject_cn",
-        "seen_at",
-        "domain_count",
-        F.explode(_row_keys(set(size["kinds"]))).alias("key"),
+        "fingerprint", "domains", "issuer_org", "subject_cn", "seen_at", "domain_count", keys.alias("key")
     )
     n = F.col("domain_count")
     compared = (
@@ -326,3 +341,8 @@ def match_searches(certs: DataFrame, parsed: DataFrame, gram_counts: DataFrame |
     verified = in_time & compared & wild & F.forall("terms", _term_holds)
     found = keyed.join(known, "key", "left_semi").join(anchors, "key")
     return found.filter(verified).select("search_id", "fingerprint").distinct()
+
+
+def match_searches(certs: DataFrame, parsed: DataFrame, gram_counts: DataFrame | None = None) -> DataFrame:
+    """`match_index` for searches that are used once."""
+    return match_index(certs, index_searches(parsed, gram_counts))
