@@ -39,15 +39,24 @@ def read_certificates(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CERTIFICATE).parquet(path)
 
 
-def insert_new(target: DataFrame, batch: DataFrame, order: str = "cert_index") -> DataFrame:
+def existing_certificates(spark: SparkSession, path: str) -> DataFrame:
+    """The table at `path`, empty before its first write."""
+    return read_certificates(spark, path) if path_exists(spark, path) else spark.createDataFrame([], schemas.CERTIFICATE)
+
+
+def insert_new(
+    target: DataFrame, batch: DataFrame, order: str = "cert_index", batch_rows: int | None = None
+) -> DataFrame:
     """Rows of `batch` whose fingerprint is not in `target`; the first of equal ones stays.
 
     Only the fingerprints of the target are read. While the batch is small it is what gets
-    broadcast, so the target is scanned once and never shuffled.
+    broadcast, so the target is scanned once and never shuffled. The batch is counted unless
+    `batch_rows` tells its size.
     """
     fresh = first_per_key(batch, ["fingerprint"], [F.col(order).asc(), F.col("seen_at").asc()])
     known = target.select("fingerprint")
-    if small_enough(batch, F.length("fingerprint")):
+    small = small_enough(batch, F.length("fingerprint")) if batch_rows is None else batch_rows <= BROADCAST_ROWS
+    if small:
         keys = F.broadcast(batch.select("fingerprint").distinct())
         known = known.join(keys, "fingerprint", "left_semi")
     return fresh.join(known, "fingerprint", "left_anti").select(*batch.columns)
@@ -62,14 +71,14 @@ def _write_days(df: DataFrame, path: str, mode: str) -> None:
     df.write.mode(mode).options(**FILE_OPTIONS).partitionBy("seen_date").parquet(path)
 
 
-def append_new(spark: SparkSession, path: str, batch: DataFrame, order: str = "cert_index") -> int:
+def append_new(
+    spark: SparkSession, path: str, batch: DataFrame, order: str = "cert_index", batch_rows: int | None = None
+) -> int:
     """Insert a batch into the table at `path` and return the number of inserted rows.
 
     Running it again with the same batch inserts nothing.
     """
-    target = read_certificates(spark, path) if path_exists(spark, path) else None
-    empty = spark.createDataFrame([], schemas.CERTIFICATE)
-    rows = insert_new(empty if target is None else target, batch, order)
+    rows = insert_new(existing_certificates(spark, path), batch, order, batch_rows)
     counted = Observation()
     _write_days(by_day(rows).observe(counted, F.count(F.lit(1)).alias("n")), path, "append")
     return counted.get["n"]
@@ -193,11 +202,7 @@ def copy_table(
 
     inserted = 0
     for part in [source] if chunks is None else [source.filter(seen_between(*c)) for c in chunks]:
-        if path_exists(spark, target_path):
-            target = read_certificates(spark, target_path)
-        else:
-            target = spark.createDataFrame([], schemas.CERTIFICATE)
-        rows = to_certificates(copy_rows(part, target).select(*schemas.INGEST_COLUMNS), created_at)
+        rows = to_certificates(copy_rows(part, existing_certificates(spark, target_path)).select(*schemas.INGEST_COLUMNS), created_at)
         counted = Observation()
         _write_days(by_day(rows).observe(counted, F.count(F.lit(1)).alias("n")), target_path, "append")
         inserted += counted.get["n"]

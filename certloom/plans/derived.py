@@ -77,9 +77,9 @@ def copied_certs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return certs_of(events(spark, sf_dir), copies=2)
 
 
-def messages_of(ev: DataFrame) -> DataFrame:
+def messages_of(ev: DataFrame, copies: int = 1) -> DataFrame:
     """Certificates as JSON messages, with heartbeats and broken text in between."""
-    c = certs_of(ev)
+    c = certs_of(ev, copies)
     raw = F.upper(F.regexp_replace("fingerprint", "(..)(?=.)", "$1:"))
     body = F.to_json(
         F.struct(
@@ -155,3 +155,18 @@ def metadata_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("event_type"), F.lit("-"), F.col("event_id").cast("string")).alias("value"),
         (_seconds(F.col("ts")) * 1000000 + F.col("event_id")).alias("updated_at"),
     )
+
+
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def cert_stream(spark: SparkSession, sf_dir: str, copies: int = 1) -> DataFrame:
+    """The certificates as a stream over the same files."""
+    reader = ensure_utc(spark).readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet")
+    return certs_of(reader.parquet(sf_dir), copies)
+
+
+def message_files(spark: SparkSession, sf_dir: str, path: str, files: int, copies: int = 1) -> str:
+    """The messages as text files below `path`."""
+    messages_of(events(spark, sf_dir), copies).repartition(files).write.text(path)
+    return path

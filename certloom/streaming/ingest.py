@@ -74,7 +74,7 @@ def ingest_stream(
         try:
             seen = parsed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.count_if("_keep"), F.lit(0)).alias("kept")).first()
             kept = to_certificates(parsed.filter("_keep").drop("_keep"), now)
-            inserted = tables.append_new(spark, table_path, kept) if seen["kept"] else 0
+            inserted = tables.append_new(spark, table_path, kept, batch_rows=seen["kept"]) if seen["kept"] else 0
             row = (
                 batch_id,
                 seen["n"],
