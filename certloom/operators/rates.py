@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from certloom.operators.tables import insert_new
+from certloom.session import broadcast_if_small, stored
 
 WINDOW_MS = 60_000
 
@@ -41,15 +41,31 @@ def rolling_rate(batches: DataFrame, started_ms: int) -> DataFrame:
     )
 
 
-def ingest_counts(parsed: DataFrame, keep: Column, target: DataFrame, order: str = "cert_index") -> DataFrame:
-    """One row of counters for a batch: received, filtered out, inserted, duplicate, batches."""
-    flagged = parsed.withColumn("_keep", F.coalesce(keep, F.lit(False)))
-    seen = flagged.agg(
-        F.count(F.lit(1)).alias("received"), F.coalesce(F.count_if(~F.col("_keep")), F.lit(0)).alias("filtered")
+def ingest_counts(parsed: DataFrame, keep: Column, target: DataFrame) -> DataFrame:
+    """One row of counters for a batch: received, filtered out, inserted, duplicate, batches.
+
+    The batch is read once into one row per fingerprint, which all counters come from.
+    """
+    per = stored(
+        parsed.groupBy("fingerprint").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(keep, F.lit(False))).alias("kept")
+        ),
+        "batch",
+    )
+    kept = per.filter(F.col("kept") > 0).select("fingerprint")
+    known = target.select("fingerprint").join(
+        broadcast_if_small(kept, F.length("fingerprint")), "fingerprint", "left_semi"
     )
-    inserted = insert_new(target, flagged.filter("_keep"), order).agg(F.count(F.lit(1)).alias("n")).scalar()
+    inserted = kept.join(known, "fingerprint", "left_anti").agg(F.count(F.lit(1)).alias("n")).scalar()
+    received, passed = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kept"), F.lit(0))
     return (
-        seen.select("*", inserted.alias("inserted"))
-        .withColumn("duplicate", F.col("received") - F.col("filtered") - F.col("inserted"))
-        .withColumn("batches", F.when(F.col("received") > F.col("filtered"), 1).otherwise(0))
+        per.agg(received.alias("received"), passed.alias("kept"))
+        .select("*", inserted.alias("inserted"))
+        .select(
+            "received",
+            (F.col("received") - F.col("kept")).alias("filtered"),
+            "inserted",
+            (F.col("kept") - F.col("inserted")).alias("duplicate"),
+            F.when(F.col("kept") > 0, 1).otherwise(0).alias("batches"),
+        )
     )

@@ -15,12 +15,14 @@ def parse_messages(df: DataFrame, value_col: str = "value", now: Column | int |
     `now` stands in for a missing `seen`. Columns of `df` other than `value_col` are kept in front.
     """
     now = F.unix_seconds(F.current_timestamp()) if now is None else now
-    msg = F.from_json(F.col(value_col), schemas.MESSAGE)
     kept = [c for c in df.columns if c != value_col]
+    # As a one-element list the parsed message is a row source of its own: the tests below stay
+    # above it, and no message is parsed more than once.
+    message = F.inline(F.array(F.from_json(F.col(value_col), schemas.MESSAGE)))
     parsed = (
-        df.select(*kept, msg.alias("_m"))
-        .filter(F.col("_m.message_type") == "certificate_update")
-        .select(*kept, F.col("_m.data").alias("_d"), F.col("_m.data.leaf_cert").alias("_l"))
+        df.select(*kept, message)
+        .filter(F.col("message_type") == "certificate_update")
+        .select(*kept, F.col("data").alias("_d"), F.col("data.leaf_cert").alias("_l"))
         .withColumn("_domains", text.clean_domains(F.col("_l.all_domains")))
         .filter((F.size("_domains") > 0) & (F.col("_l.fingerprint") != ""))
     )
