@@ -11,7 +11,7 @@ from certloom.sources.suffixes import EXCEPTION, NORMAL, WILDCARD, SuffixRules
 # Names below these endings are never registrable.
 RESERVED_ENDINGS = ["local"]
 
-SALTS = 32
+SALTS = 8
 
 
 def domain_counts(df: DataFrame, *keys: str, domains_col: str = "domains") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from certloom.functions import times
 from certloom.functions.hosts import has_wildcard
 from certloom.functions.predicates import SearchError, SearchSpec, Term
-from certloom.session import BROADCAST_BYTES, BROADCAST_ROWS, stored
+from certloom.session import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, stored
 
 # White space in search texts, as the inside of a character class.
 SPACE = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -173,14 +173,33 @@ def trigram_counts(grams: DataFrame) -> DataFrame:
 def trigram_candidates(grams: DataFrame, texts: DataFrame) -> DataFrame:
     """`(text_id, fingerprint)` of rows that hold every trigram of the text; to be verified.
 
-    Texts below three characters have no trigram and no candidate here.
+    A text meets only the rows that hold its rarest trigram; the others are then looked up for
+    those pairs by row, so a common trigram never pairs its rows with its texts. Texts below
+    three characters have no trigram and no candidate here.
     """
-    wanted = texts.select("text_id", F.array_distinct(_grams(F.lower("text"), GRAM)).alias("_g")).select(
-        "text_id", F.size("_g").alias("_n"), F.explode("_g").alias("gram")
+    wanted = stored(
+        texts.select("text_id", F.array_distinct(_grams(F.lower("text"), GRAM)).alias("_grams"))
+        .filter(F.size("_grams") > 0)
+        .select("text_id", F.size("_grams").alias("_n"), F.explode("_grams").alias("gram")),
+        "texts",
     )
+    listed = wanted.select("gram").distinct()
+    known = grams.join(broadcast_if_small(listed, F.length("gram")), "gram", "left_semi")
+    load = wanted.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    cost = load.join(trigram_counts(known), "gram").select("gram", (F.col("texts") * F.col("n")).alias("cost"))
+    # A text with a trigram that no row holds has no candidate, and none of its trigrams is looked up.
+    complete = F.count(F.lit(1)) == F.max("_n")
+    leads = (
+        wanted.join(cost, "gram")
+        .groupBy("text_id")
+        .agg(F.min(F.struct("cost", "gram")).alias("_lead"), complete.alias("_complete"))
+        .filter("_complete")
+        .select("text_id", F.col("_lead.gram").alias("gram"))
+    )
+    pairs = known.join(leads, "gram").select("text_id", "fingerprint").distinct()
     return (
-        grams.distinct()
-        .join(wanted, "gram")
+        pairs.join(wanted, "text_id")
+        .join(known, ["fingerprint", "gram"], "left_semi")
         .groupBy("text_id", "fingerprint", "_n")
         .agg(F.count(F.lit(1)).alias("_hits"))
         .filter(F.col("_hits") == F.col("_n"))

@@ -13,7 +13,19 @@ from certloom.functions.predicates import seen_between
 from certloom.session import BROADCAST_ROWS, scratch_dir, small_enough
 
 DAY = times.DAY
-FILE_OPTIONS = {"parquet.bloom.filter.enabled#fingerprint": "true"}
+
+# A bloom filter per row group lets a lookup of few fingerprints skip nearly all of them; its size
+# follows the number of values, so small files stay small.
+FILE_OPTIONS = {
+    "parquet.bloom.filter.enabled#fingerprint": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
+    "parquet.bloom.filter.fpp#fingerprint": "0.00001",
+    "parquet.bloom.filter.max.bytes": "4194304",
+    "parquet.bloom.filter.candidates.number": "12",
+}
+
+# A batch of at most this many rows looks its fingerprints up by value.
+LISTED_KEYS = 1000
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -49,16 +61,17 @@ def insert_new(
 ) -> DataFrame:
     """Rows of `batch` whose fingerprint is not in `target`; the first of equal ones stays.
 
-    Only the fingerprints of the target are read. While the batch is small it is what gets
-    broadcast, so the target is scanned once and never shuffled. The batch is counted unless
-    `batch_rows` tells its size.
+    Only fingerprints of the target are read, and it is never shuffled while the batch is small:
+    a micro-batch of known size is tested by value, so that the files' bloom filters apply, and
+    the fingerprints of a larger one are broadcast. The batch is counted unless `batch_rows`
+    tells its size.
     """
     fresh = first_per_key(batch, ["fingerprint"], [F.col(order).asc(), F.col("seen_at").asc()])
-    known = target.select("fingerprint")
-    small = small_enough(batch, F.length("fingerprint")) if batch_rows is None else batch_rows <= BROADCAST_ROWS
-    if small:
-        keys = F.broadcast(batch.select("fingerprint").distinct())
-        known = known.join(keys, "fingerprint", "left_semi")
+    known, keys = target.select("fingerprint"), batch.select("fingerprint").distinct()
+    if batch_rows is not None and batch_rows <= LISTED_KEYS:
+        known = known.filter(F.col("fingerprint").isin([r[0] for r in keys.collect()]))
+    elif small_enough(batch, F.length("fingerprint")) if batch_rows is None else batch_rows <= BROADCAST_ROWS:
+        known = known.join(F.broadcast(keys), "fingerprint", "left_semi")
     return fresh.join(known, "fingerprint", "left_anti").select(*batch.columns)
 
 

@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Value lists up to this length reach the bloom filters of the files.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
 }
 
 

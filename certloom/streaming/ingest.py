@@ -50,9 +50,15 @@ def dedupe_stream(certs: DataFrame, delay: str) -> DataFrame:
     return timed.withWatermark("seen_time", delay).dropDuplicatesWithinWatermark(["fingerprint"]).drop("seen_time")
 
 
-def _start(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], once: bool) -> StreamingQuery:
+def _start(
+    stream: DataFrame,
+    checkpoint: str,
+    each: Callable[[DataFrame, int], None],
+    once: bool,
+    interval: str = BATCH_INTERVAL,
+) -> StreamingQuery:
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=BATCH_INTERVAL)).start()
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
 def ingest_stream(
@@ -64,8 +70,13 @@ def ingest_stream(
     globs=(),
     substrings=(),
     once: bool = False,
+    interval: str = BATCH_INTERVAL,
 ) -> StreamingQuery:
-    """Parse, filter and insert a message stream; every micro-batch also leaves one row of counters."""
+    """Parse, filter and insert a message stream; every micro-batch also leaves one row of counters.
+
+    Every micro-batch tests its fingerprints against the table, so a large table wants a longer
+    `interval` with more rows per batch.
+    """
     keep = ingest_predicate(globs, substrings)
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -88,7 +99,7 @@ def ingest_stream(
         finally:
             parsed.unpersist()
 
-    return _start(messages, checkpoint, each, once)
+    return _start(messages, checkpoint, each, once, interval)
 
 
 def read_counters(spark: SparkSession, path: str) -> DataFrame:
