@@ -224,19 +224,25 @@ def _term_keys(term: Column) -> Column:
     return F.transform(keys, lambda key: F.struct(kind.alias("kind"), key.alias("key")))
 
 
-def _row_keys(kinds: set[str]) -> Column:
-    """Keys of a certificate row, of the kinds that the searches use.
+def _row_keys(kinds: frozenset[str], few: dict[str, list[str]]) -> Column:
+    """Keys of a certificate row, of the kinds that the searches use; repeats do no harm.
 
     Kinds share one space of keys: a clash only gives a candidate that fails its verification.
+    A kind of run with few keys is tested key by key, which costs less than cutting all runs.
     """
-    names = _searched_text("domains")
-    text = _searched_text("domains", "issuer_org", "subject_cn")
+    names, text = F.col("_names"), F.col("_text")
+
+    def runs(n: int) -> Column:
+        if str(n) in few:
+            return F.array(*[F.when(F.contains(text, F.lit(k)), F.lit(k)) for k in few[str(n)]])
+        return _grams(text, n)
+
     parts = {
         WHOLE: F.concat("domains", F.array("issuer_org", "subject_cn")),
         ENDING: _all(names, r"(?<![^.\n])(?=([^\n]+))", 1),
-        **{str(n): _grams(text, n) for n in KEY_LENGTHS},
+        **{str(n): runs(n) for n in KEY_LENGTHS},
     }
-    return F.array_distinct(F.concat(*[parts[k] for k in KINDS if k in kinds]))
+    return F.concat(*[parts[k] for k in KINDS if k in kinds])
 
 
 def _term_holds(term: Column) -> Column:
@@ -302,29 +308,38 @@ def search_anchors(parsed: DataFrame, gram_counts: DataFrame | None = None) -> D
     return groups.join(best.select("search_id", "grp", "best.kind", "best.key"), ["search_id", "grp"])
 
 
+# A kind with at most this many keys is tested key by key.
+FEW_KEYS = 32
+
+
 @dataclass(frozen=True)
 class SearchIndex:
     """Stored anchors of a set of searches, with what was measured when they were stored."""
 
     anchors: DataFrame
     kinds: frozenset[str]
-    rows: int
-    bytes: int
-
-    @property
-    def broadcastable(self) -> bool:
-        return self.rows <= BROADCAST_ROWS and self.bytes <= BROADCAST_BYTES
+    few: dict[str, list[str]]
+    broadcastable: bool
 
 
 def index_searches(parsed: DataFrame, gram_counts: DataFrame | None = None) -> SearchIndex:
     """Store the anchors of parsed searches; a stream does this once, not per batch."""
     anchors = stored(search_anchors(stored(parsed, "searches"), gram_counts), "anchors")
-    size = anchors.agg(
-        F.collect_set("kind").alias("kinds"),
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(F.length(F.to_json("terms")) + 100), F.lit(0)).alias("bytes"),
-    ).first()
-    return SearchIndex(anchors, frozenset(size["kinds"]), size["rows"], size["bytes"])
+    sizes = (
+        anchors.groupBy("kind")
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.sum(F.length(F.to_json("terms")) + 100).alias("bytes"),
+            F.countDistinct("key").alias("keys"),
+        )
+        .collect()
+    )
+    rows, size = sum(r["rows"] for r in sizes), sum(r["bytes"] for r in sizes)
+    few = {r["kind"]: [] for r in sizes if r["keys"] <= FEW_KEYS and r["kind"].isdigit()}
+    for r in anchors.filter(F.col("kind").isin(list(few))).select("kind", "key").distinct().collect() if few else []:
+        few[r["kind"]].append(r["key"])
+    kinds = frozenset(r["kind"] for r in sizes)
+    return SearchIndex(anchors, kinds, few, rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES)
 
 
 def match_index(certs: DataFrame, index: SearchIndex) -> DataFrame:
@@ -340,10 +355,13 @@ def match_index(certs: DataFrame, index: SearchIndex) -> DataFrame:
     known = anchors.select("key").distinct()
     if index.broadcastable:
         anchors, known = F.broadcast(anchors), F.broadcast(known)
-    keys = F.explode(_row_keys(index.kinds)) if index.kinds else F.explode(F.array().cast("array<string>"))
+    columns = ["fingerprint", "domains", "issuer_org", "subject_cn", "seen_at", "domain_count"]
+    keys = _row_keys(index.kinds, index.few) if index.kinds else F.array().cast("array<string>")
     keyed = certs.select(
-        "fingerprint", "domains", "issuer_org", "subject_cn", "seen_at", "domain_count", keys.alias("key")
-    )
+        *columns,
+        _searched_text("domains").alias("_names"),
+        _searched_text("domains", "issuer_org", "subject_cn").alias("_text"),
+    ).select(*columns, F.explode(keys).alias("key"))
     n = F.col("domain_count")
     compared = (
         F.when(F.col("count_op") == ">", n > F.col("count_n"))

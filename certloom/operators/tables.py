@@ -21,7 +21,7 @@ FILE_OPTIONS = {
     "parquet.bloom.filter.adaptive.enabled": "true",
     "parquet.bloom.filter.fpp#fingerprint": "0.00001",
     "parquet.bloom.filter.max.bytes": "4194304",
-    "parquet.bloom.filter.candidates.number": "12",
+    "parquet.bloom.filter.candidates.number#fingerprint": "12",
 }
 
 # A batch of at most this many rows looks its fingerprints up by value.

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from certloom.operators import periods, rates, summaries
 from certloom.operators.domains import domain_counts
+from certloom.operators.search import search
 from certloom.plans import derived
 from certloom.plans.ingest_queries import BASICS, GITHUB, GITHUB_SQL, JAN_10, JAN_15, JAN_20
 from certloom.plans.registry import CERTS, WILD, query, registrable_sql
 from certloom.plans.search_queries import HOLES, NAMES, stats_with_holes
-from certloom.operators.search import search
 from certloom.sources.messages import ingest_predicate, parse_messages
+from certloom.session import stored
 from certloom.sources.suffixes import seed_rules
 
 HOUR, DAY = periods.HOUR, periods.DAY
@@ -163,9 +164,9 @@ SUMMARY_NOW = JAN_20 + 43200
 
 
 def week(spark, sf):
-    c, rules = derived.certs(spark, sf), seed_rules(spark)
-    daily = periods.daily_stats(c, rules, 9)
-    return summaries.in_range(periods.hourly_stats(c, rules, 9), daily, "7d", SUMMARY_NOW)
+    """The last seven days of stored daily rows."""
+    daily = stored(periods.daily_stats(derived.certs(spark, sf), seed_rules(spark), 9), "daily")
+    return summaries.in_range(daily, daily, "7d", SUMMARY_NOW)
 
 
 WEEK = f"period_start >= {SUMMARY_NOW - 7 * 86400} AND period_start < {SUMMARY_NOW}"
