@@ -6,11 +6,13 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from certloom import schemas
 from certloom.functions import times
 from certloom.functions.predicates import seen_between
 from certloom.session import BROADCAST_ROWS, scratch_dir, small_enough
+from certloom.sources.messages import to_certificates
 
 DAY = times.DAY
 
@@ -134,7 +136,7 @@ def enforce_retention(spark: SparkSession, path: str, days: int, now: int) -> in
         replace_days(spark, kept, path, keep_missing=[boundary])
         for day in day_partitions(spark, path):
             if day < boundary:
-                _delete(spark, f"{path}/seen_date={day.isoformat()}")
+                delete_path(spark, f"{path}/seen_date={day.isoformat()}")
     return deleted
 
 
@@ -163,27 +165,27 @@ def replace_days(spark: SparkSession, staged: str, path: str, keep_missing: list
             **FILE_OPTIONS
         ).partitionBy("seen_date").parquet(path)
     for day in set(keep_missing) - present:
-        _delete(spark, f"{path}/seen_date={day.isoformat()}")
+        delete_path(spark, f"{path}/seen_date={day.isoformat()}")
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    jpath, fs = _file_system(spark, path)
+    jpath, fs = file_system(spark, path)
     return fs.exists(jpath)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jpath, fs = _file_system(spark, path)
+def delete_path(spark: SparkSession, path: str) -> None:
+    jpath, fs = file_system(spark, path)
     fs.delete(jpath, True)
 
 
 def day_partitions(spark: SparkSession, path: str) -> list[date]:
     """Days with a folder in the table; the list grows with days, not with rows."""
-    jpath, fs = _file_system(spark, path)
+    jpath, fs = file_system(spark, path)
     names = [s.getPath().getName() for s in fs.listStatus(jpath)] if fs.exists(jpath) else []
     return sorted(date.fromisoformat(n.split("=", 1)[1]) for n in names if n.startswith("seen_date="))
 
@@ -211,8 +213,6 @@ def copy_table(
     Running it again, also after a broken run, adds only what is missing. `chunks` are
     `[after, before)` second ranges in ascending order, each committed on its own.
     """
-    from certloom.sources.messages import to_certificates
-
     inserted = 0
     for part in [source] if chunks is None else [source.filter(seen_between(*c)) for c in chunks]:
         rows = to_certificates(copy_rows(part, existing_certificates(spark, target_path)).select(*schemas.INGEST_COLUMNS), created_at)
@@ -247,8 +247,6 @@ def save_periods(spark: SparkSession, path: str, rows: DataFrame, schema=schemas
 
 
 def read_periods(spark: SparkSession, path: str, schema=schemas.HOURLY_STATS) -> DataFrame:
-    from pyspark.sql import types as T
-
     return spark.read.schema(T.StructType(schema.fields + [T.StructField("period_date", T.DateType())])).parquet(path)
 
 

@@ -118,13 +118,15 @@ def live_feed(certs: DataFrame, feed_path: str, checkpoint: str, n: int = FEED_R
         if batch_id and tables.path_exists(spark, before):
             newest = search.recent(newest.unionByName(spark.read.schema(schemas.CERTIFICATE).parquet(before)), n)
         newest.write.mode("overwrite").parquet(f"{feed_path}/version={batch_id}")
+        # The version before stays until the next batch, as the start of a repeated one.
+        tables.delete_path(spark, f"{feed_path}/version={batch_id - 2}")
 
     return _start(certs, checkpoint, each, once)
 
 
 def read_feed(spark: SparkSession, feed_path: str) -> DataFrame:
     """The newest version of the feed."""
-    jpath, fs = tables._file_system(spark, feed_path)
+    jpath, fs = tables.file_system(spark, feed_path)
     versions = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(jpath)]
     return spark.read.schema(schemas.CERTIFICATE).parquet(f"{feed_path}/version={max(versions)}")
 

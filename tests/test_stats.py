@@ -125,3 +125,19 @@ def test_ingest_counts(certs):
     target = certs.frame({"fingerprint": "b"})
     row = rates.ingest_counts(batch, F.col("issuer_org") != "no", target).first()
     assert tuple(row) == (4, 1, 1, 2, 1)
+
+
+def test_stored_statistics_are_filled_once(spark, rows, tmp_path):
+    from certloom.operators import jobs, tables
+
+    path, rules = str(tmp_path / "hourly"), seed_rules(spark)
+
+    def stored():
+        return {r["period_start"]: r["computed_at"] for r in tables.read_periods(spark, path).collect()}
+
+    jobs.update_latest(spark, rows, path, HOUR, rules, 2 * HOUR + 5)
+    assert stored() == {HOUR: 2 * HOUR + 5}
+    jobs.update_stats(spark, rows, path, HOUR, rules, 2 * DAY + 5)
+    assert stored() == {0: 2 * DAY + 5, HOUR: 2 * HOUR + 5, DAY: 2 * DAY + 5}
+    jobs.update_stats(spark, rows, path, HOUR, rules, 3 * DAY, start=0, end=HOUR, force=True)
+    assert stored() == {0: 3 * DAY, HOUR: 2 * HOUR + 5, DAY: 2 * DAY + 5}
