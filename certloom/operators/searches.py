@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from certloom.functions import times
 from certloom.functions.hosts import has_wildcard
 from certloom.functions.predicates import SearchError, SearchSpec, Term
-from certloom.session import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, stored
+from certloom.session import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, scratch_dir, stored
 
 # White space in search texts, as the inside of a character class.
 SPACE = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -319,7 +319,7 @@ class SearchIndex:
     anchors: DataFrame
     kinds: frozenset[str]
     few: dict[str, list[str]]
-    broadcastable: bool
+    slices: int
 
 
 def index_searches(parsed: DataFrame, gram_counts: DataFrame | None = None) -> SearchIndex:
@@ -339,7 +339,7 @@ def index_searches(parsed: DataFrame, gram_counts: DataFrame | None = None) -> S
     for r in anchors.filter(F.col("kind").isin(list(few))).select("kind", "key").distinct().collect() if few else []:
         few[r["kind"]].append(r["key"])
     kinds = frozenset(r["kind"] for r in sizes)
-    return SearchIndex(anchors, kinds, few, rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES)
+    return SearchIndex(anchors, kinds, few, max(1, -(-rows // BROADCAST_ROWS), -(-size // BROADCAST_BYTES)))
 
 
 def match_index(certs: DataFrame, index: SearchIndex) -> DataFrame:
@@ -347,14 +347,23 @@ def match_index(certs: DataFrame, index: SearchIndex) -> DataFrame:
 
     Every certificate looks up its own keys among the searches, so a search meets only rows that
     share its key, and is verified there as a whole: AND, NOT and the filters need no regrouping.
-    With searches of checked size that is one scan, and only true matches are shuffled; beyond it
-    the keys are joined by shuffle. Searches without a match give no row.
+    That is one scan, and only true matches are shuffled. Searches beyond the broadcast bound are
+    taken in slices below it, each a scan of its own whose matches are stored; shuffling all keys
+    of all certificates would cost far more. Searches without a match give no row.
     """
-    anchors = index.anchors
+    if index.slices == 1:
+        return _match_slice(certs, index, index.anchors)
+    path = scratch_dir(certs.sparkSession, "matches")
+    for i in range(index.slices):
+        part = index.anchors.filter(F.pmod(F.xxhash64("search_id"), F.lit(index.slices)) == i)
+        matched = _match_slice(certs, index, part)
+        matched.write.mode("append").parquet(path)
+    return certs.sparkSession.read.schema(matched.schema).parquet(path)
+
+
+def _match_slice(certs: DataFrame, index: SearchIndex, anchors: DataFrame) -> DataFrame:
     # Nearly all keys of a row are unknown: dropping those first keeps that step in generated code.
-    known = anchors.select("key").distinct()
-    if index.broadcastable:
-        anchors, known = F.broadcast(anchors), F.broadcast(known)
+    known = F.broadcast(anchors.select("key").distinct())
     columns = ["fingerprint", "domains", "issuer_org", "subject_cn", "seen_at", "domain_count"]
     keys = _row_keys(index.kinds, index.few) if index.kinds else F.array().cast("array<string>")
     keyed = certs.select(
@@ -376,7 +385,7 @@ def match_index(certs: DataFrame, index: SearchIndex) -> DataFrame:
     )
     wild = F.col("wildcard").isNull() | (F.col("wildcard") == has_wildcard(F.col("domains")))
     verified = in_time & compared & wild & F.forall("terms", _term_holds)
-    found = keyed.join(known, "key", "left_semi").join(anchors, "key")
+    found = keyed.join(known, "key", "left_semi").join(F.broadcast(anchors), "key")
     return found.filter(verified).select("search_id", "fingerprint").distinct()
 
 

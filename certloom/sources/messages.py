@@ -18,7 +18,7 @@ def parse_messages(df: DataFrame, value_col: str = "value", now: Column | int |
     kept = [c for c in df.columns if c != value_col]
     # As a one-element list the parsed message is a row source of its own: the tests below stay
     # above it, and no message is parsed more than once.
-    message = F.inline(F.array(F.from_json(F.col(value_col), schemas.MESSAGE)))
+    message = F.inline(F.array(F.from_json(F.col(value_col).cast("string"), schemas.MESSAGE)))
     parsed = (
         df.select(*kept, message)
         .filter(F.col("message_type") == "certificate_update")

@@ -1,7 +1,5 @@
 """What the physical plans must look like to hold at scale."""
 
-from dataclasses import replace
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,8 +91,6 @@ def test_saved_searches_scan_once_and_shuffle_only_matches(spark, table):
 def test_no_products_and_no_python(spark, table, large):
     rules = seed_rules(spark)
     index = searches.index_searches(searches.parse_searches(derived.saved_searches(spark, SF)))
-    if large:
-        index = replace(index, broadcastable=False)
     frames = [
         periods.hourly_stats(table, rules, 1),
         periods.top_domains(table, 3600, rules),

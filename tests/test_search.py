@@ -133,12 +133,12 @@ def all_pairs(table, texts):
     return {(i, n) for i, t in enumerate(texts) for n in hits(table, t)}
 
 
-@pytest.mark.parametrize("broadcastable,few", [(True, True), (False, True), (True, False)])
-def test_all_searches_at_once_equal_each_alone(spark, table, broadcastable, few):
+@pytest.mark.parametrize("slices,few", [(1, True), (3, True), (1, False)])
+def test_all_searches_at_once_equal_each_alone(spark, table, slices, few):
     texts = [t for t, _ in SEARCHES]
     searches = spark.createDataFrame(list(enumerate(texts)), "search_id int, text string")
     index = index_searches(parse_searches(searches))
-    index = replace(index, broadcastable=broadcastable, few=index.few if few else {})
+    index = replace(index, slices=slices, few=index.few if few else {})
     numbered = table.select("fingerprint", "cert_index")
     got = match_index(table, index).join(numbered, "fingerprint").collect()
     assert {(r["search_id"], r["cert_index"]) for r in got} == {(i, n) for i, (_, e) in enumerate(SEARCHES) for n in e}

@@ -116,3 +116,11 @@ def test_union_keeps_rows_of_the_first(certs):
     b = certs.frame({"fingerprint": "x", "serial_number": "b"}, {"fingerprint": "y"})
     got = {r["fingerprint"]: r["serial_number"] for r in tables.dedupe_union(a, b).collect()}
     assert got["x"] == "a" and set(got) == {"x", "y"}
+
+
+def test_empty_inputs_insert_nothing(spark, certs, path):
+    empty = spark.createDataFrame([], schemas.CERTIFICATE)
+    assert tables.append_new(spark, path, empty) == 0
+    assert tables.copy_table(spark, empty, path, 7) == 0
+    assert tables.append_new(spark, path, certs.frame({})) == 1
+    assert tables.append_new(spark, path, certs.frame({}).filter("false")) == 0
