@@ -75,7 +75,8 @@ def ingest_stream(
     """Parse, filter and insert a message stream; every micro-batch also leaves one row of counters.
 
     Every micro-batch tests its fingerprints against the table, so a large table wants a longer
-    `interval` with more rows per batch.
+    `interval` with more rows per batch. Rows that a failed batch had inserted count as duplicates
+    when it is repeated.
     """
     keep = ingest_predicate(globs, substrings)
 
