@@ -36,7 +36,8 @@ def is_ipv4_shape(c: Column) -> Column:
 
 def bare_name(c: Column) -> Column:
     """Lower case, no outer white space, no leading `*.`."""
-    return F.regexp_replace(F.btrim(F.lower(c), F.lit(BLANKS)), r"\A\*\.", "")
+    name = F.btrim(F.lower(c), F.lit(BLANKS))
+    return F.when(is_wildcard(name), F.substring(name, 3, 2147483647)).otherwise(name)
 
 
 def drop_root_dot(c: Column) -> Column:
