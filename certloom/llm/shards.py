@@ -1,9 +1,9 @@
-"""Training-order materialisation: token-id sequences in a keyed random order, as binary shards of a fixed stride.
+"""Training-order materialisation: documents as token ids in a keyed random order, in binary shards of a fixed stride.
 
-Every sequence has an index; a Feistel permutation of the index, keyed and walked until it falls below the
-number of sequences, is its slot. Shard k holds the slots from k x per_shard on, in order, `stride` bytes each,
-so slot s stands at byte (s mod per_shard) x stride of shard s div per_shard: readers go through files from
-front to back and can go on anywhere.
+Each document's ids and an end id are a sequence. A Feistel permutation of the document's index, keyed and
+walked until it falls below their number, is its global slot. Shard k holds the slots from k x per_shard on,
+their ids laid end to end and cut into records of `stride` bytes, the last one padded: readers go through files
+from front to back and go on at any record.
 """
 
 from __future__ import annotations
@@ -23,12 +23,13 @@ from pyspark.sql import types as T
 from certloom.llm import byte_ids
 from certloom.llm.runtime import shared_dir, slices, stored
 
-LENGTH, PER_SHARD, KEY, ROUNDS = 2048, 4096, 20_240_607, 6
+LENGTH, PER_SHARD, KEY, ROUNDS = 2048, 1024, 20_240_607, 6
 PAD, END = 1, 1
+_ROW = (1 << 33) - 1  # the part of monotonically_increasing_id that counts a partition's rows
 
 
 def feistel(index: Column, domain: int, key: int = KEY, rounds: int = ROUNDS) -> Column:
-    """One pass of the permutation over [0, 2**(2 half)), the least such power that holds `domain` values."""
+    """One pass of the permutation over [0, 4**half), the least such power that holds `domain` values."""
     half = max(1, (max(domain - 1, 1).bit_length() + 1) // 2)
     mask = F.lit((1 << half) - 1).cast("long")
     left, right = F.shiftright(index, half), index.bitwiseAND(mask)
@@ -37,67 +38,18 @@ def feistel(index: Column, domain: int, key: int = KEY, rounds: int = ROUNDS) ->
     return F.shiftleft(left, half).bitwiseOR(right)
 
 
-def slots(df: DataFrame, domain: int, index: str = "index", key: int = KEY) -> DataFrame:
-    """`df` with column `slot`: a permutation of 0 .. domain - 1, by cycle-walking.
+def slot(index: Column, domain: int, key: int = KEY) -> Column:
+    """A permutation of 0 .. domain - 1 by cycle-walking.
 
-    A pass keeps at least a quarter of what it gets below `domain`, so the rows still walking die out
-    geometrically; 64 passes in one expression leave less than one in 10**8 for the next round.
+    A pass lands below `domain` with a chance of a quarter at least, so 256 passes fail for fewer than one index
+    in 10**31; such an index raises an error rather than take another's slot.
     """
-    walk = F.aggregate(
-        F.sequence(F.lit(1), F.lit(64)),
-        feistel(F.col(index), domain, key),
+    walked = F.aggregate(
+        F.sequence(F.lit(1), F.lit(255)),
+        feistel(index, domain, key),
         lambda at, _: F.when(at < domain, at).otherwise(feistel(at, domain, key)),
     )
-    df = df.withColumn("slot", walk)
-    while not df.where(F.col("slot") >= domain).isEmpty():
-        again = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.col("slot"), lambda at, _: F.when(at < domain, at).otherwise(feistel(at, domain, key)))
-        df = df.withColumn("slot", again)
-    return df
-
-
-def sequences(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, tokenizer: str = byte_ids.NAME) -> DataFrame:
-    """(task, row, doc_ids, n_tokens, ids): the ids of each task's documents laid end to end, an end id after each,
-    cut into sequences of `length`; the last of a task is padded. `ids` are little-endian unsigned 16-bit.
-
-    Null texts are empty. `doc_ids` are the distinct documents of a sequence in order of appearance.
-    """
-    source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("t"))
-    kind = source.schema["id"].dataType
-    fields = [("task", T.LongType()), ("row", T.LongType()), ("doc_ids", T.ArrayType(kind)), ("n_tokens", T.IntegerType()), ("ids", T.BinaryType())]
-    schema = T.StructType([T.StructField(n, k) for n, k in fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, row = byte_ids.encoder(tokenizer), TaskContext.get().partitionId(), 0
-        held, held_n, owners, id_type = [], 0, {}, None
-        end = np.array([END], "<u2")
-
-        def batch_of(made: list) -> pa.RecordBatch:
-            columns = list(zip(*made)) if made else [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.list_(id_type), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], [n for n, _ in fields])
-
-        for batch in batches:
-            id_type = batch.schema.field("id").type
-            names = batch.column("id").to_pylist()
-            for first, texts in slices(batch, "t"):
-                made = []
-                for name, text in zip(names[first:], texts):
-                    ids = np.append(np.frombuffer(encode(text), "<u4").astype("<u2"), end)
-                    while len(ids):
-                        part = ids[: length - held_n]
-                        ids = ids[len(part) :]
-                        held.append(part)
-                        held_n += len(part)
-                        owners[name] = None
-                        if held_n == length:
-                            made.append((task, row, list(owners), length, np.concatenate(held).tobytes()))
-                            row, held, held_n, owners = row + 1, [], 0, {}
-                yield batch_of(made)
-        if held_n:
-            padding = np.full(length - held_n, PAD, "<u2")
-            yield batch_of([(task, row, list(owners), held_n, np.concatenate([*held, padding]).tobytes())])
-
-    return source.mapInArrow(run, schema)
+    return F.when(walked < domain, walked).otherwise(F.raise_error(F.lit("the cycle walk did not end; take another key")).cast("long"))
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -114,57 +66,62 @@ def materialise(
     key: int = KEY,
     tokenizer: str = byte_ids.NAME,
 ) -> DataFrame:
-    """Writes the shards below `path` (a new shared folder if None) and returns one row per sequence:
-    slot, shard, byte_offset, n_tokens, ids_crc32, doc_ids.
-
-    A shard is written to a name of its own per attempt and then renamed, so a task that runs again or twice
-    leaves one whole file. The sequences are stored before slots are given, so every attempt sees the same.
-    An empty table gives no shard. Rows with repeated or null ids are documents of their own.
+    """Writes the shards below `path` (a new shared folder if None), and returns one row per document:
+    id, slot, shard, first_id (its place in the shard, counted in ids), n_tokens, ids_crc32.
+
+    Ids are little-endian unsigned 16-bit. Null texts are empty, so their end id alone. Rows with repeated or
+    null ids are documents of their own. An empty table gives no shard. `docs` must be read from files (store a
+    shuffled frame first): its partitions are counted, then read again, and an error ends the job if they differ.
+    A shard is written to a name of its own per attempt and then renamed, so a task that runs again leaves one
+    whole file.
     """
     spark = docs.sparkSession
-    made = stored(sequences(docs, id_column, text_column, length, tokenizer), "sequences")
-    # Tasks number their own rows; a few numbers per task give each task its first index.
-    sizes = {r["task"]: r["n"] for r in made.groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total, firsts = 0, {}
-    for task in sorted(sizes):
-        firsts[task], total = total, total + sizes[task]
-    bases = spark.createDataFrame(sorted(firsts.items()) or [], "task long, base long")
-    placed = slots(made.join(F.broadcast(bases), "task").withColumn("index", F.col("base") + F.col("row")), total, key=key)
+    source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("t"))
+    # A number per partition gives its first index; the texts are not read for it.
+    sizes = source.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).orderBy("task").collect()
+    total, firsts = 0, []
+    for r in sizes:
+        firsts.append((r["task"], total, r["n"]))
+        total += r["n"]
+    bases = F.broadcast(spark.createDataFrame(firsts, "task int, base long, size long"))
+    counted = source.select("*", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW)).alias("row"))
+    index = F.when(F.col("row") < F.col("size"), F.col("base") + F.col("row")).otherwise(F.raise_error(F.lit("the partitions of the documents changed")).cast("long"))
+    placed = counted.join(bases, "task", "left").select("id", "t", index.alias("index")).select("id", "t", slot(F.col("index"), total, key).alias("slot"))
     target = path or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    width = length * 2
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = byte_ids.encoder(tokenizer)
         system, folder = _open(target)
         system.create_dir(folder, recursive=True)
         attempt = f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}"
-        shard, sink, name, offset = None, None, None, 0
+        shard, sink, name, written = None, None, "", 0
 
         def close():
             if sink is not None:
+                sink.write(np.full(-written % length, PAD, "<u2").tobytes())
                 sink.close()
                 system.move(f"{folder}/_{name}-{attempt}", f"{folder}/{name}")
 
         for batch in batches:
-            slot, ids = batch.column("slot").to_pylist(), batch.column("ids")
-            found = []
-            for k, s in enumerate(slot):
-                if s // per_shard != shard:
-                    close()
-                    shard, offset = s // per_shard, 0
-                    name = f"shard-{shard:08d}.bin"
-                    sink = system.open_output_stream(f"{folder}/_{name}-{attempt}")
-                data = ids[k].as_py()
-                sink.write(data)
-                found.append((f"{folder}/{name}", offset, zlib.crc32(data)))
-                offset += width
-            files, offsets, sums = zip(*found) if found else ([], [], [])
-            columns = [batch.column("slot"), pa.array(files, pa.string()), pa.array(offsets, pa.int64()), batch.column("n_tokens"), pa.array(sums, pa.int64()), batch.column("doc_ids")]
-            yield pa.RecordBatch.from_arrays(columns, ["slot", "shard", "byte_offset", "n_tokens", "ids_crc32", "doc_ids"])
+            slots, found = batch.column("slot").to_pylist(), []
+            for first, texts in slices(batch, "t"):
+                for at, text in zip(slots[first:], texts):
+                    if at // per_shard != shard:
+                        close()
+                        shard, written = at // per_shard, 0
+                        name = f"shard-{shard:08d}.bin"
+                        sink = system.open_output_stream(f"{folder}/_{name}-{attempt}")
+                    data = np.append(np.frombuffer(encode(text), "<u4"), END).astype("<u2").tobytes()
+                    sink.write(data)
+                    found.append((f"{target}/{name}", written, len(data) // 2, zlib.crc32(data)))
+                    written += len(data) // 2
+            files, places, sizes, sums = zip(*found) if found else ([],) * 4
+            columns = [batch.column("id"), batch.column("slot"), pa.array(files, pa.string()), *[pa.array(c, pa.int64()) for c in (places, sizes, sums)]]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "slot", "shard", "first_id", "n_tokens", "ids_crc32"])
         close()
 
-    kind = made.schema["doc_ids"].dataType
-    fields = [("slot", T.LongType()), ("shard", T.StringType()), ("byte_offset", T.LongType()), ("n_tokens", T.IntegerType()), ("ids_crc32", T.LongType()), ("doc_ids", kind)]
-    # Whole shards stay together: a shard is the range of slots that one key stands for.
-    dealt = placed.select(F.floor(F.col("slot") / per_shard).alias("part"), "slot", "n_tokens", "doc_ids", "ids")
-    ordered = dealt.repartitionByRange("part").sortWithinPartitions("slot").drop("part")
-    return stored(ordered.mapInArrow(write, T.StructType([T.StructField(n, k) for n, k in fields])), "index")
+    longs = [T.StructField(n, T.LongType()) for n in ("first_id", "n_tokens", "ids_crc32")]
+    schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("slot", T.LongType()), T.StructField("shard", T.StringType()), *longs])
+    # A shard is the range of slots with one part number, so it stays within a task.
+    ordered = placed.withColumn("part", F.floor(F.col("slot") / per_shard)).repartitionByRange("part").sortWithinPartitions("slot")
+    return stored(ordered.select("id", "t", "slot").mapInArrow(write, schema), "index").withColumnRenamed("id", id_column)
