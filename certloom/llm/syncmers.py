@@ -24,7 +24,7 @@ def anchors(text: Column) -> Column:
     hashed = F.transform(words, lambda w: F.xxhash64(w))
     return F.aggregate(  # binds the array once: a lambda's argument is not computed again at each use
         F.array(hashed),
-        F.array().cast("array<bigint>"),
+        F.array().cast("array<int>"),
         lambda _, h: _anchors_of(h),
     )
 
@@ -36,14 +36,14 @@ def _anchors_of(hashed: Column) -> Column:
             pairs,
             lambda x, i: F.when(
                 (F.get(pairs, i + 2).isNotNull()) & (F.least(x, F.get(pairs, i + 2)) <= F.get(pairs, i + 1)),
-                F.xxhash64(x, F.get(pairs, i + 2)),
+                F.hash(x, F.get(pairs, i + 2)),
             ),
         )
         return F.sort_array(F.array_distinct(F.filter(ends, lambda h: h.isNotNull())))
 
     pairs = F.transform(F.slice(hashed, 1, F.size(hashed) - 1), lambda x, i: F.xxhash64(x, F.get(hashed, i + 1)))
-    many = F.aggregate(F.array(pairs), F.array().cast("array<bigint>"), lambda _, p: chosen(p))
-    return F.when(F.size(hashed) >= WINDOW, many).when(F.size(hashed) > 0, F.array(F.xxhash64(hashed))).otherwise(F.array().cast("array<bigint>"))
+    many = F.aggregate(F.array(pairs), F.array().cast("array<int>"), lambda _, p: chosen(p))
+    return F.when(F.size(hashed) >= WINDOW, many).when(F.size(hashed) > 0, F.array(F.hash(hashed))).otherwise(F.array().cast("array<int>"))
 
 
 def sketch(text: Column, size: int = SIZE) -> Column:
@@ -52,8 +52,8 @@ def sketch(text: Column, size: int = SIZE) -> Column:
 
 
 def shown(hashes: Column) -> Column:
-    """The fingerprint as text: 16 hex digits per hash; empty for a text without words."""
-    return F.lower(F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
+    """The fingerprint as text: 8 hex digits per hash; empty for a text without words."""
+    return F.lower(F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")), ""))
 
 
 def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
@@ -81,32 +81,34 @@ def successors(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return inside.join(edges, "range").select("id", F.coalesce("after", "beyond")["id"].alias("next"), "wanted")
 
 
+def _key(ident: Column) -> Column:
+    """An id as a join key that is never null, so that one shuffle by it serves all joins."""
+    return F.when(ident.isNull(), "").otherwise(F.concat(F.lit("="), ident.cast("string")))
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SIZE) -> DataFrame:
     """One row per row of `docs`: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is the text with its last floor(n_chars / 3) code points replaced by the first as many of
     the next document, by descending id; after the last comes the first, and null ids come last of all. Null
-    texts are empty. Of rows with one id, the one with the greatest text is the "next document" of others.
+    texts are empty. Of rows with one id, the one with the greatest beginning (then fingerprint) is the "next
+    document" of others.
     Other columns are not looked at.
     """
     after = successors(docs, id_column, text_column)
     text = F.coalesce(F.col(text_column), F.lit(""))
-    base = docs.select(F.col(id_column).alias("id"), text.alias("t"), sketch(F.col(text_column), size).alias("own"))
-    # For each document: who precedes it, and how much of its beginning that one takes.
-    asked = after.select(F.col("next").alias("id"), F.col("id").alias("asker"), "wanted")
-    left, right = base.alias("l"), asked.alias("r")
-    first = F.row_number().over(Window.partitionBy("id", "asker").orderBy(F.col("t").desc()))
-    given = (
-        left.join(right, F.col("l.id").eqNullSafe(F.col("r.id")))
-        .select("l.id", "asker", "wanted", "t", "own")
-        .withColumn("n", first)
-        .where("n = 1")
-        .select("asker", F.col("own").alias("next_own"), F.left("t", "wanted").alias("head"))
-    )
-    joined = base.join(given, F.col("id").eqNullSafe(F.col("asker")))
+    # Both uses of `base` read the same columns, so its one shuffle is used twice; the id comes back from its key.
+    base = docs.select(_key(F.col(id_column)).alias("k"), text.alias("t"), sketch(F.col(text_column), size).alias("own"))
+    ident = F.when(F.col("k") != "", F.substring("k", 2, 1 << 30)).cast(docs.schema[id_column].dataType)
+    # For each document: who precedes it, and how much of its beginning that one takes. Only beginnings move on.
+    asked = after.select(_key(F.col("next")).alias("k"), _key(F.col("id")).alias("asker"), "wanted")
+    heads = base.join(asked, "k").select("asker", F.col("own").alias("next_own"), F.left("t", "wanted").alias("head"))
+    first = F.row_number().over(Window.partitionBy("asker").orderBy(F.col("head").desc(), F.col("next_own").desc()))
+    given = heads.withColumn("n", first).where("n = 1").drop("n")
+    joined = base.join(given, F.col("k") == F.col("asker"))
     n = F.length("t").cast("long")
     third = F.floor(n / 3).cast("int")
-    edited = joined.select("id", n.alias("n_chars"), "own", "next_own", F.concat(F.left("t", (n - third).cast("int")), F.left("head", third)).alias("edited"))
+    edited = joined.select(ident.alias("id"), n.alias("n_chars"), "own", "next_own", F.concat(F.left("t", (n - third).cast("int")), F.left("head", third)).alias("edited"))
     both = edited.select("*", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited"), size).alias("other"))
     return both.select(
         F.col("id").alias(id_column),
