@@ -143,7 +143,7 @@ def facet_counts(df: DataFrame, rules: SuffixRules, step: int, hours: bool = Fal
     facet = F.when(pos < len(slots), pos).otherwise(F.lit(DOMAIN))
     value = F.when(pos < len(slots), F.col("col")).otherwise(hosts.bare_name(F.col("col")))
     raw = (
-        df.select(_period(step), F.posexplode(F.concat(F.array(*slots), F.col("domains"))))
+        df.select(_period(step), F.posexplode(F.concat(F.array(*slots), F.coalesce("domains", F.array().cast("array<string>")))))
         .filter((pos != ISSUER) | F.col("col").isNotNull())
         .groupBy("period_start", facet.alias("facet"), value.alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from certloom import schemas
 from certloom.functions import times
 from certloom.functions.predicates import seen_between
-from certloom.session import BROADCAST_ROWS, scratch_dir, small_enough
+from certloom.session import broadcast_if_small, scratch_dir, small_enough
 from certloom.sources.messages import to_certificates
 
 DAY = times.DAY
@@ -65,14 +65,18 @@ def insert_new(
 
     Only fingerprints of the target are read, and it is never shuffled while the batch is small:
     a micro-batch of known size is tested by value, so that the files' bloom filters apply, and
-    the fingerprints of a larger one are broadcast. The batch is counted unless `batch_rows`
-    tells its size.
+    the fingerprints of a larger one are broadcast after a count of the batch. `batch_rows` is a
+    hint that a batch is small; a wrong one costs time, not memory.
     """
     fresh = first_per_key(batch, ["fingerprint"], [F.col(order).asc(), F.col("seen_at").asc()])
     known, keys = target.select("fingerprint"), batch.select("fingerprint").distinct()
+    listed = None
     if batch_rows is not None and batch_rows <= LISTED_KEYS:
-        known = known.filter(F.col("fingerprint").isin([r[0] for r in keys.collect()]))
-    elif small_enough(batch, F.length("fingerprint")) if batch_rows is None else batch_rows <= BROADCAST_ROWS:
+        # The caller's number is a hint: one key more than the bound is enough to see that it was wrong.
+        listed = [r[0] for r in keys.limit(LISTED_KEYS + 1).collect()]
+    if listed is not None and len(listed) <= LISTED_KEYS:
+        known = known.filter(F.col("fingerprint").isin(listed))
+    elif small_enough(batch, F.length("fingerprint")):
         known = known.join(F.broadcast(keys), "fingerprint", "left_semi")
     return fresh.join(known, "fingerprint", "left_anti").select(*batch.columns)
 
@@ -237,7 +241,7 @@ def save_periods(spark: SparkSession, path: str, rows: DataFrame, schema=schemas
     merged = new
     if path_exists(spark, path):
         old = read_periods(spark, path, schema)
-        touched = F.broadcast(new.select("period_date").distinct())
+        touched = broadcast_if_small(new.select("period_date").distinct(), F.lit(8))
         merged = upsert_periods(old.join(touched, "period_date", "left_semi"), new)
     merged_at = scratch_dir(spark, "periods-merged")
     merged.hint("rebalance", "period_date").write.partitionBy("period_date").parquet(merged_at)

@@ -141,3 +141,10 @@ def test_stored_statistics_are_filled_once(spark, rows, tmp_path):
     assert stored() == {0: 2 * DAY + 5, HOUR: 2 * HOUR + 5, DAY: 2 * DAY + 5}
     jobs.update_stats(spark, rows, path, HOUR, rules, 3 * DAY, start=0, end=HOUR, force=True)
     assert stored() == {0: 3 * DAY, HOUR: 2 * HOUR + 5, DAY: 2 * DAY + 5}
+
+
+def test_null_names_lose_no_certificate(spark, rows):
+    nulled = rows.withColumn("domains", F.when(F.col("seen_at") % 20 != 10, F.col("domains")))
+    whole = periods.period_basics(nulled, DAY).agg(F.sum("total_certificates")).first()[0]
+    daily = periods.daily_stats(nulled, seed_rules(spark), 99).collect()
+    assert sum(r["total_certificates"] for r in daily) == whole == 5
