@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from certloom import schemas
 from certloom.functions import times
 from certloom.functions.predicates import seen_between
-from certloom.session import broadcast_if_small, scratch_dir, small_enough
+from certloom.session import broadcast_if_small, delete_path, file_system, scratch, small_enough
 from certloom.sources.messages import to_certificates
 
 DAY = times.DAY
@@ -26,8 +27,15 @@ FILE_OPTIONS = {
     "parquet.bloom.filter.candidates.number#fingerprint": "12",
 }
 
-# A batch of at most this many rows looks its fingerprints up by value.
-LISTED_KEYS = 1000
+# Fingerprints of a stored table are kept once more in this many hash buckets, in a folder that readers of
+# the table skip; a batch opens only the buckets of its own fingerprints.
+KEY_BUCKETS = 64
+KEY = T.StructType([T.StructField("fingerprint", T.StringType()), T.StructField("batch", T.StringType())])
+
+
+def arrival() -> list[Column]:
+    """Order in which rows came in. An index counts within one log, so it only settles ties of one log."""
+    return [F.col(c).asc_nulls_last() for c in ("seen_at", "log_url", "cert_index", "serial_number", "created_at")]
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -58,26 +66,16 @@ def existing_certificates(spark: SparkSession, path: str) -> DataFrame:
     return read_certificates(spark, path) if path_exists(spark, path) else spark.createDataFrame([], schemas.CERTIFICATE)
 
 
-def insert_new(
-    target: DataFrame, batch: DataFrame, order: str = "cert_index", batch_rows: int | None = None
-) -> DataFrame:
+def insert_new(target: DataFrame, batch: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """Rows of `batch` whose fingerprint is not in `target`; the first of equal ones stays.
 
-    Only fingerprints of the target are read, and it is never shuffled while the batch is small:
-    a micro-batch of known size is tested by value, so that the files' bloom filters apply, and
-    the fingerprints of a larger one are broadcast after a count of the batch. `batch_rows` is a
-    hint that a batch is small; a wrong one costs time, not memory.
+    Only fingerprints of the target are read. It is not shuffled while the batch was counted to be
+    small enough for a broadcast of its fingerprints. For a stored table use `append_new`.
     """
-    fresh = first_per_key(batch, ["fingerprint"], [F.col(order).asc(), F.col("seen_at").asc()])
-    known, keys = target.select("fingerprint"), batch.select("fingerprint").distinct()
-    listed = None
-    if batch_rows is not None and batch_rows <= LISTED_KEYS:
-        # The caller's number is a hint: one key more than the bound is enough to see that it was wrong.
-        listed = [r[0] for r in keys.limit(LISTED_KEYS + 1).collect()]
-    if listed is not None and len(listed) <= LISTED_KEYS:
-        known = known.filter(F.col("fingerprint").isin(listed))
-    elif small_enough(batch, F.length("fingerprint")):
-        known = known.join(F.broadcast(keys), "fingerprint", "left_semi")
+    fresh = first_per_key(batch, ["fingerprint"], order or arrival())
+    known = target.select("fingerprint")
+    if small_enough(batch, F.length("fingerprint")):
+        known = known.join(F.broadcast(batch.select("fingerprint").distinct()), "fingerprint", "left_semi")
     return fresh.join(known, "fingerprint", "left_anti").select(*batch.columns)
 
 
@@ -90,17 +88,85 @@ def _write_days(df: DataFrame, path: str, mode: str) -> None:
     df.write.mode(mode).options(**FILE_OPTIONS).partitionBy("seen_date").parquet(path)
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("fingerprint"), F.lit(KEY_BUCKETS)).cast("int").alias("bucket")
+
+
+def read_keys(spark: SparkSession, path: str, buckets: list[int]) -> DataFrame:
+    """`(fingerprint, batch)` of some buckets; the folders of the others are not even listed."""
+    folders = [f"{path}/_keys/bucket={b}" for b in buckets]
+    found = [folder for folder in folders if path_exists(spark, folder)]
+    return spark.read.schema(KEY).parquet(*found) if found else spark.createDataFrame([], KEY)
+
+
+def _write_keys(df: DataFrame, path: str) -> None:
+    df.repartition("bucket").sortWithinPartitions("bucket", "fingerprint").write.mode("append").options(
+        **FILE_OPTIONS
+    ).partitionBy("bucket").parquet(path)
+
+
+def rebuild_keys(spark: SparkSession, path: str) -> None:
+    """Write the bucketed fingerprints of the table at `path` anew, with few files per bucket.
+
+    Needed after rows were removed, or added by other means than `append_new` and `copy_table`. Until
+    the new folder is in place there is either the old one or none, and then the next insert rebuilds it.
+    """
+    built = f"{path}/_keys-{uuid.uuid4().hex}"
+    keys = existing_certificates(spark, path).select("fingerprint", F.lit("").alias("batch"), _bucket())
+    # Hash partitions of bucket and value split a bucket into pieces of equal size.
+    keys.repartition("bucket", F.pmod(F.xxhash64("fingerprint", F.lit(1)), F.lit(16))).sortWithinPartitions(
+        "bucket", "fingerprint"
+    ).write.options(**FILE_OPTIONS).partitionBy("bucket").parquet(built)
+    for old in ("_keys", "_open"):
+        delete_path(spark, f"{path}/{old}")
+    move(spark, built, f"{path}/_keys")
+
+
 def append_new(
-    spark: SparkSession, path: str, batch: DataFrame, order: str = "cert_index", batch_rows: int | None = None
+    spark: SparkSession, path: str, batch: DataFrame, order: list[Column] | None = None, tag: str | None = None
 ) -> int:
-    """Insert a batch into the table at `path` and return the number of inserted rows.
+    """Insert a batch into the table at `path` and return the number of rows it inserted.
+
+    Running it again with the same batch inserts nothing. `tag` names the batch: when a batch of that name
+    is repeated, rows that it had inserted before are counted again.
 
-    Running it again with the same batch inserts nothing.
+    The batch is evaluated once. Its fingerprints meet those of their own buckets, never the certificates.
+    Fingerprints are written before certificates, under a mark that is taken away at the end; those
+    of a batch whose mark is still there are looked up in the certificates, so no row is lost or doubled.
     """
-    rows = insert_new(existing_certificates(spark, path), batch, order, batch_rows)
-    counted = Observation()
-    _write_days(by_day(rows).observe(counted, F.count(F.lit(1)).alias("n")), path, "append")
-    return counted.get["n"]
+    with scratch(spark) as keep:
+        fresh = keep(first_per_key(batch, ["fingerprint"], order or arrival()).withColumn("bucket", _bucket()), "batch")
+        # At most KEY_BUCKETS numbers.
+        buckets = [r[0] for r in fresh.select("bucket").distinct().collect()]
+        if not buckets:
+            return 0
+        if not path_exists(spark, f"{path}/_keys") and path_exists(spark, path):
+            rebuild_keys(spark, path)
+        tag = tag or uuid.uuid4().hex
+        opened = folder_names(spark, f"{path}/_open")
+        own = broadcast_if_small(fresh.select("fingerprint"), F.length("fingerprint"))
+        known = keep(read_keys(spark, path, buckets).join(own, "fingerprint", "left_semi"), "known")
+        doubtful = known.filter(F.col("batch").isin(tag, *opened))
+        rows = fresh.join(known.filter(~F.col("batch").isin(tag, *opened)), "fingerprint", "left_anti")
+        repeated = 0
+        if not doubtful.isEmpty():
+            asked = doubtful.select("fingerprint").distinct()
+            landed = keep(
+                existing_certificates(spark, path)
+                .select("fingerprint")
+                .join(broadcast_if_small(asked, F.length("fingerprint")), "fingerprint", "left_semi"),
+                "landed",
+            )
+            repeated = landed.join(known.filter(F.col("batch") == tag), "fingerprint", "left_semi").distinct().count()
+            rows = rows.join(landed, "fingerprint", "left_anti")
+        rows = keep(rows, "rows")
+        inserted = rows.count()
+        if inserted:
+            mark(spark, f"{path}/_open/{tag}")
+            _write_keys(rows.select("fingerprint", F.lit(tag).alias("batch"), "bucket"), f"{path}/_keys")
+            _write_days(by_day(rows.select(*batch.columns)), path, "append")
+            delete_path(spark, f"{path}/_open/{tag}")
+        return inserted + repeated
 
 
 def rewrite_daily(df: DataFrame, path: str, partitions: int | None = None) -> None:
@@ -134,47 +200,46 @@ def enforce_retention(spark: SparkSession, path: str, days: int, now: int) -> in
     deleted = retention_count(table, days, now).first()["deleted"]
     if deleted:
         boundary = date(1970, 1, 1) + timedelta(days=limit // DAY)
-        kept = scratch_dir(spark, "retention")
+        kept = f"{path}/_staged-{uuid.uuid4().hex}"
         one_day = table.filter(F.col("seen_date") == F.lit(boundary))
-        _write_days(by_day(apply_retention(one_day, days, now)), kept, "errorifexists")
-        replace_days(spark, kept, path, keep_missing=[boundary])
+        rewrite_daily(apply_retention(one_day, days, now), kept)
+        publish_days(spark, kept, path, emptied=[boundary])
         for day in day_partitions(spark, path):
             if day < boundary:
                 delete_path(spark, f"{path}/seen_date={day.isoformat()}")
+        if path_exists(spark, f"{path}/_keys"):
+            rebuild_keys(spark, path)
     return deleted
 
 
 def compact(df: DataFrame, keys: tuple[str, ...] = ("seen_at", "fingerprint")) -> DataFrame:
     """One row per key, the last inserted one."""
-    return first_per_key(df, list(keys), [F.col("created_at").desc(), F.col("cert_index").asc_nulls_last()])
+    return first_per_key(df, list(keys), [F.col("created_at").desc(), *arrival()])
 
 
 def compact_days(spark: SparkSession, path: str, start: date, end: date) -> None:
-    """Compact the days `[start, end)` of the table at `path`: one row per key and few, sorted files."""
+    """Compact the days `[start, end)` of the table at `path`: one row per key and sorted files,
+    those of a heavy day without overlap in time."""
     chosen = read_certificates(spark, path).filter((F.col("seen_date") >= F.lit(start)) & (F.col("seen_date") < F.lit(end)))
-    staged = scratch_dir(spark, "compact")
-    _write_days(by_day(compact(chosen)), staged, "errorifexists")
-    replace_days(spark, staged, path)
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    rewrite_daily(compact(chosen), staged)
+    publish_days(spark, staged, path)
 
 
-def replace_days(spark: SparkSession, staged: str, path: str, keep_missing: list[date] = ()) -> None:
-    """Overwrite the days of the table at `path` that are present in `staged`.
+def publish_days(spark: SparkSession, staged: str, path: str, emptied: list[date] = (), column: str = "seen_date") -> None:
+    """Put the days staged below `path` in the place of those of the table, by renaming, and remove the staged folder.
 
-    A day of `keep_missing` that has no staged rows is removed.
+    A day of `emptied` that has no staged rows is removed. An old day stays in the staged folder until
+    all new ones are in place.
     """
-    present = set(day_partitions(spark, staged))
-    if present:
-        rows = read_certificates(spark, staged)
-        by_day(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(
-            **FILE_OPTIONS
-        ).partitionBy("seen_date").parquet(path)
-    for day in set(keep_missing) - present:
-        delete_path(spark, f"{path}/seen_date={day.isoformat()}")
-
-
-def file_system(spark: SparkSession, path: str):
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    present = day_partitions(spark, staged, column)
+    for day in sorted({*present, *emptied}):
+        folder = f"{column}={day.isoformat()}"
+        if path_exists(spark, f"{path}/{folder}"):
+            move(spark, f"{path}/{folder}", f"{staged}/_old/{folder}")
+        if day in present:
+            move(spark, f"{staged}/{folder}", f"{path}/{folder}")
+    delete_path(spark, staged)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -182,30 +247,39 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename within one file system."""
+    jtarget, fs = file_system(spark, target)
+    fs.mkdirs(jtarget.getParent())
+    if not fs.rename(file_system(spark, source)[0], jtarget):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file at `path`."""
     jpath, fs = file_system(spark, path)
-    fs.delete(jpath, True)
+    fs.create(jpath, True).close()
 
 
-def day_partitions(spark: SparkSession, path: str) -> list[date]:
-    """Days with a folder in the table; the list grows with days, not with rows."""
+def folder_names(spark: SparkSession, path: str) -> list[str]:
     jpath, fs = file_system(spark, path)
-    names = [s.getPath().getName() for s in fs.listStatus(jpath)] if fs.exists(jpath) else []
-    return sorted(date.fromisoformat(n.split("=", 1)[1]) for n in names if n.startswith("seen_date="))
+    return sorted(s.getPath().getName() for s in fs.listStatus(jpath)) if fs.exists(jpath) else []
+
+
+def day_partitions(spark: SparkSession, path: str, column: str = "seen_date") -> list[date]:
+    """Days with a folder in the table; the list grows with days, not with rows."""
+    return [date.fromisoformat(n.split("=", 1)[1]) for n in folder_names(spark, path) if n.startswith(f"{column}=")]
 
 
 def dedupe_union(first: DataFrame, second: DataFrame) -> DataFrame:
     """Both tables without repeated fingerprints; rows of `first` win."""
     both = first.withColumn("_source", F.lit(0)).unionByName(second.withColumn("_source", F.lit(1)))
-    order = [F.col("_source").asc(), F.col("seen_at").asc(), F.col("cert_index").asc_nulls_last()]
-    return first_per_key(both, ["fingerprint"], order).drop("_source")
+    return first_per_key(both, ["fingerprint"], [F.col("_source").asc(), *arrival()]).drop("_source")
 
 
 def copy_rows(source: DataFrame, target: DataFrame) -> DataFrame:
     """Rows of `source` that `target` lacks; the earliest of equal fingerprints is taken."""
-    fresh = first_per_key(
-        source, ["fingerprint"], [F.col("seen_at").asc(), F.col("cert_index").asc_nulls_last()]
-    )
+    fresh = first_per_key(source, ["fingerprint"], arrival())
     return fresh.join(target.select("fingerprint"), "fingerprint", "left_anti")
 
 
@@ -217,13 +291,10 @@ def copy_table(
     Running it again, also after a broken run, adds only what is missing. `chunks` are
     `[after, before)` second ranges in ascending order, each committed on its own.
     """
-    inserted = 0
-    for part in [source] if chunks is None else [source.filter(seen_between(*c)) for c in chunks]:
-        rows = to_certificates(copy_rows(part, existing_certificates(spark, target_path)).select(*schemas.INGEST_COLUMNS), created_at)
-        counted = Observation()
-        _write_days(by_day(rows).observe(counted, F.count(F.lit(1)).alias("n")), target_path, "append")
-        inserted += counted.get["n"]
-    return inserted
+    parts = [source] if chunks is None else [source.filter(seen_between(*c)) for c in chunks]
+    return sum(
+        append_new(spark, target_path, to_certificates(part.select(*schemas.INGEST_COLUMNS), created_at)) for part in parts
+    )
 
 
 def upsert_periods(target: DataFrame, rows: DataFrame) -> DataFrame:
@@ -235,25 +306,30 @@ def save_periods(spark: SparkSession, path: str, rows: DataFrame, schema=schemas
     """Upsert into the statistics table at `path`, rewriting only the days it touches."""
     day = times.seen_date(F.col("period_start")).alias("period_date")
     rows = rows.select(*schema.fieldNames(), day)
-    staged = scratch_dir(spark, "periods")
-    rows.write.partitionBy("period_date").parquet(staged)
-    new = read_periods(spark, staged, schema)
-    merged = new
-    if path_exists(spark, path):
-        old = read_periods(spark, path, schema)
-        touched = broadcast_if_small(new.select("period_date").distinct(), F.lit(8))
-        merged = upsert_periods(old.join(touched, "period_date", "left_semi"), new)
-    merged_at = scratch_dir(spark, "periods-merged")
-    merged.hint("rebalance", "period_date").write.partitionBy("period_date").parquet(merged_at)
-    read_periods(spark, merged_at, schema).hint("rebalance", "period_date").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("period_date").parquet(path)
+    with scratch(spark) as keep:
+        new = keep(rows, "periods")
+        merged = new
+        if path_exists(spark, path):
+            touched = broadcast_if_small(new.select("period_date").distinct(), F.lit(8))
+            merged = upsert_periods(read_periods(spark, path, schema).join(touched, "period_date", "left_semi"), new)
+        staged = f"{path}/_staged-{uuid.uuid4().hex}"
+        merged.hint("rebalance", "period_date").write.partitionBy("period_date").parquet(staged)
+        publish_days(spark, staged, path, column="period_date")
 
 
 def read_periods(spark: SparkSession, path: str, schema=schemas.HOURLY_STATS) -> DataFrame:
     return spark.read.schema(T.StructType(schema.fields + [T.StructField("period_date", T.DateType())])).parquet(path)
 
 
+def save_metadata(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """Append `(key, value, updated_at)` rows; `read_metadata` takes the last of each key."""
+    rows.select(*schemas.METADATA.fieldNames()).write.mode("append").parquet(path)
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    return latest_by_key(spark.read.schema(schemas.METADATA).parquet(path), ["key"], "updated_at")
+
+
 def read_stats(df: DataFrame, start: int, end: int) -> DataFrame:
     """Rows with `start <= period_start < end`, oldest first."""
     return df.filter((F.col("period_start") >= start) & (F.col("period_start") < end)).orderBy("period_start")

@@ -39,7 +39,7 @@ def _(spark, sf):
 
 
 FIRST_COPY = """first_copy AS (SELECT * FROM certs QUALIFY
-  row_number() OVER (PARTITION BY fingerprint ORDER BY cert_index, seen_at) = 1)"""
+  row_number() OVER (PARTITION BY fingerprint ORDER BY seen_at, log_url, cert_index) = 1)"""
 
 
 @query(
@@ -47,7 +47,7 @@ FIRST_COPY = """first_copy AS (SELECT * FROM certs QUALIFY
     COPIED
     + f""", target AS (SELECT * FROM certs WHERE seen_at < {JAN_15}),
   batch AS (SELECT * FROM certs WHERE seen_at >= {JAN_10} QUALIFY
-    row_number() OVER (PARTITION BY fingerprint ORDER BY cert_index, seen_at) = 1)
+    row_number() OVER (PARTITION BY fingerprint ORDER BY seen_at, log_url, cert_index) = 1)
   SELECT {FLAT} FROM batch WHERE fingerprint NOT IN (SELECT fingerprint FROM target)""",
 )
 def _(spark, sf):
@@ -134,7 +134,7 @@ def _(spark, sf):
 
 
 @query("a7_copy_table", COPIED + ", kept AS (SELECT * FROM certs QUALIFY row_number() OVER "
-       "(PARTITION BY fingerprint ORDER BY seen_at, cert_index) = 1) "
+       "(PARTITION BY fingerprint ORDER BY seen_at, log_url, cert_index) = 1) "
        f"SELECT {FLAT.replace('created_at', '7 AS created_at')} FROM kept")
 def _(spark, sf):
     """A copy in two ranges over a target that holds a part of it already."""
@@ -180,7 +180,7 @@ def _(spark, sf):
 
 
 @query("a10_compact", COPIED + f""", kept AS (SELECT * FROM certs QUALIFY row_number() OVER
-  (PARTITION BY fingerprint ORDER BY created_at DESC, cert_index) = 1) SELECT {FLAT} FROM kept""")
+  (PARTITION BY fingerprint ORDER BY created_at DESC, seen_at, log_url, cert_index) = 1) SELECT {FLAT} FROM kept""")
 def _(spark, sf):
     return flat(tables.compact(derived.copied_certs(spark, sf), keys=("fingerprint",)))
 

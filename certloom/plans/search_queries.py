@@ -326,7 +326,8 @@ def _(spark, sf):
     return flags(spark, sf, some=some, none=~hosts.has_wildcard(F.col("domains")))
 
 
-@query("c4_conflict_ignoring_insert", "WITH " + certs_sql(copies=3) + """ SELECT fingerprint, min(cert_index) AS cert_index FROM certs GROUP BY 1""")
+@query("c4_conflict_ignoring_insert", "WITH " + certs_sql(copies=3) + """ SELECT fingerprint, cert_index FROM certs
+  QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY seen_at, log_url, cert_index) = 1""")
 def _(spark, sf):
     from certloom.operators.tables import insert_new
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +18,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Value lists up to this length reach the bloom filters of the files.
-    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
+    # State of long windows belongs on disk, with increments as checkpoints.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 
@@ -51,6 +54,31 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """`keep(df, label)` as `stored`, for tables that are deleted when the job that needs them ends."""
+    base = scratch_dir(spark, "job")
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        df.write.parquet(f"{base}/{label}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{label}")
+
+    try:
+        yield keep
+    finally:
+        delete_path(spark, base)
+
+
+def file_system(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    jpath, fs = file_system(spark, path)
+    fs.delete(jpath, True)
+
+
 def small_enough(df: DataFrame, width: Column, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Count `df` and add up `width` (bytes per row) to decide whether it may be broadcast."""
     size = df.agg(

@@ -7,6 +7,7 @@ inserting it twice adds nothing. Batch size and back-pressure are options of the
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,7 @@ from certloom.functions.hosts import has_wildcard
 from certloom.functions.predicates import SearchSpec, match_spec
 from certloom.operators import search, tables
 from certloom.operators.searches import index_searches, match_index
+from certloom.session import delete_path
 from certloom.sources.messages import ingest_predicate, parse_messages, to_certificates
 
 # Batch interval, and lines of the live feed.
@@ -53,12 +55,26 @@ def dedupe_stream(certs: DataFrame, delay: str) -> DataFrame:
 def _start(
     stream: DataFrame,
     checkpoint: str,
-    each: Callable[[DataFrame, int], None],
+    each: Callable[[DataFrame, int, str], None],
     once: bool,
     interval: str = BATCH_INTERVAL,
 ) -> StreamingQuery:
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
+    """Start `each(batch, batch_id, run)`; `run` is the id that the checkpoint gives to all its restarts.
+
+    Batch ids start again with a new checkpoint, so whatever a batch writes is named by both.
+    """
+    known = threading.Event()
+    run: list[str] = []
+
+    def call(batch: DataFrame, batch_id: int) -> None:
+        known.wait()
+        each(batch, batch_id, run[0])
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(call)
+    query = (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
+    run.append(str(query.id))
+    known.set()
+    return query
 
 
 def ingest_stream(
@@ -74,19 +90,18 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Parse, filter and insert a message stream; every micro-batch also leaves one row of counters.
 
-    Every micro-batch tests its fingerprints against the table, so a large table wants a longer
-    `interval` with more rows per batch. Rows that a failed batch had inserted count as duplicates
-    when it is repeated.
+    A micro-batch opens only the buckets of its own fingerprints (`tables.append_new`). Rows that a failed
+    batch had inserted still count as inserted when it is repeated.
     """
     keep = ingest_predicate(globs, substrings)
 
-    def each(batch: DataFrame, batch_id: int) -> None:
+    def each(batch: DataFrame, batch_id: int, run: str) -> None:
         spark = batch.sparkSession
         parsed = parse_messages(batch, now=now).withColumn("_keep", keep).persist()
         try:
             seen = parsed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.count_if("_keep"), F.lit(0)).alias("kept")).first()
             kept = to_certificates(parsed.filter("_keep").drop("_keep"), now)
-            inserted = tables.append_new(spark, table_path, kept, batch_rows=seen["kept"]) if seen["kept"] else 0
+            inserted = tables.append_new(spark, table_path, kept, tag=f"{run}-{batch_id}") if seen["kept"] else 0
             row = (
                 batch_id,
                 seen["n"],
@@ -95,8 +110,9 @@ def ingest_stream(
                 seen["kept"] - inserted,
                 1 if seen["kept"] else 0,
             )
-            # One folder per batch, so that a repeated batch replaces its row.
-            spark.createDataFrame([row], COUNTERS).write.mode("overwrite").parquet(f"{counters_path}/batch={batch_id}")
+            # One folder per run and batch, so that a repeated batch replaces its row.
+            target = f"{counters_path}/run={run}/batch={batch_id}"
+            spark.createDataFrame([row], COUNTERS).write.mode("overwrite").parquet(target)
         finally:
             parsed.unpersist()
 
@@ -104,32 +120,52 @@ def ingest_stream(
 
 
 def read_counters(spark: SparkSession, path: str) -> DataFrame:
-    """Running totals of the ingest counters."""
+    """Running totals of the ingest counters, over all runs."""
     rows = spark.read.schema(COUNTERS).parquet(path)
     return rows.agg(*[F.sum(c).alias(c) for c in COUNTERS.fieldNames()[1:]])
 
 
+def _feed_versions(spark: SparkSession, feed_path: str) -> list[tuple[int, str, int]]:
+    """(version, run, batch) of the feed's folders, oldest first."""
+    names = [n for n in tables.folder_names(spark, feed_path) if n.startswith("version=")]
+    parts = [n.removeprefix("version=").split("_") for n in names]
+    return sorted((int(version), run, int(batch)) for version, run, batch in parts)
+
+
+def _feed_folder(feed_path: str, version: tuple[int, str, int]) -> str:
+    return f"{feed_path}/version=" + "_".join(map(str, version))
+
+
 def live_feed(certs: DataFrame, feed_path: str, checkpoint: str, n: int = FEED_ROWS, once: bool = False) -> StreamingQuery:
-    """Keep the `n` newest certificates; each micro-batch writes the next version of a tiny table."""
+    """Keep the `n` newest log entries; each micro-batch writes the next version of a tiny table.
+
+    A run with a new checkpoint goes on from the last version of the run before. An entry that
+    is delivered again is shown once.
+    """
+    entry = ["fingerprint", "seen_at", "log_url", "cert_index"]
 
-    def each(batch: DataFrame, batch_id: int) -> None:
+    def each(batch: DataFrame, batch_id: int, run: str) -> None:
         spark = batch.sparkSession
-        newest = search.recent(batch.select(*schemas.CERTIFICATE_COLUMNS), n)
-        before = f"{feed_path}/version={batch_id - 1}"
-        if batch_id and tables.path_exists(spark, before):
-            newest = search.recent(newest.unionByName(spark.read.schema(schemas.CERTIFICATE).parquet(before)), n)
-        newest.write.mode("overwrite").parquet(f"{feed_path}/version={batch_id}")
+        there = _feed_versions(spark, feed_path)
+        # Versions rise by one per batch of a run, and a repeated batch has the version it had before.
+        start = next((v - b for v, r, b in there if r == run), there[-1][0] + 1 - batch_id if there else 0)
+        version = start + batch_id
+        newest = batch.select(*schemas.CERTIFICATE_COLUMNS)
+        for before in [v for v in there if v[0] < version][-1:]:
+            newest = newest.unionByName(spark.read.schema(schemas.CERTIFICATE).parquet(_feed_folder(feed_path, before)))
+        written = search.recent(newest.dropDuplicates(entry), n)
+        written.write.mode("overwrite").parquet(_feed_folder(feed_path, (version, run, batch_id)))
         # The version before stays until the next batch, as the start of a repeated one.
-        tables.delete_path(spark, f"{feed_path}/version={batch_id - 2}")
+        for old in [v for v in there if v[0] < version - 1]:
+            delete_path(spark, _feed_folder(feed_path, old))
 
     return _start(certs, checkpoint, each, once)
 
 
 def read_feed(spark: SparkSession, feed_path: str) -> DataFrame:
     """The newest version of the feed."""
-    jpath, fs = tables.file_system(spark, feed_path)
-    versions = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(jpath)]
-    return spark.read.schema(schemas.CERTIFICATE).parquet(f"{feed_path}/version={max(versions)}")
+    newest = _feed_versions(spark, feed_path)[-1]
+    return spark.read.schema(schemas.CERTIFICATE).parquet(_feed_folder(feed_path, newest))
 
 
 def spec_alerts(certs: DataFrame, spec: SearchSpec) -> DataFrame:
@@ -141,12 +177,17 @@ def search_alerts(certs: DataFrame, parsed: DataFrame, out_path: str, checkpoint
     """`(search_id, fingerprint)` of a table of saved searches, written once per micro-batch."""
     index = index_searches(parsed)
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        match_index(batch, index).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+    def each(batch: DataFrame, batch_id: int, run: str) -> None:
+        match_index(batch, index).write.mode("overwrite").parquet(f"{out_path}/run={run}/batch={batch_id}")
 
     return _start(certs, checkpoint, each, once)
 
 
+def read_alerts(spark: SparkSession, out_path: str) -> DataFrame:
+    """The alerts of all runs; what was delivered again is alerted once."""
+    return spark.read.schema("search_id bigint, fingerprint string").parquet(out_path).select("search_id", "fingerprint").distinct()
+
+
 def tumbling_stats(certs: DataFrame, length: str, delay: str) -> DataFrame:
     """Statistics of closed periods; distinct issuers come from a sketch, which a stream can keep."""
     timed = certs.withColumn("seen_time", F.timestamp_seconds("seen_at")).withWatermark("seen_time", delay)
@@ -163,11 +204,15 @@ def tumbling_stats(certs: DataFrame, length: str, delay: str) -> DataFrame:
 
 
 def rolling_insert_rate(certs: DataFrame, delay: str, slide: str = "5 seconds") -> DataFrame:
-    """Rows per second of the trailing minute, every `slide`."""
+    """Rows per second of the trailing minute, every `slide`, which must divide a minute.
+
+    Rows are counted per slide first; only those counts are spread over the windows that hold them.
+    """
     timed = certs.withColumn("seen_time", F.timestamp_seconds("seen_at")).withWatermark("seen_time", delay)
+    counts = timed.groupBy(F.window("seen_time", slide)).agg(F.count(F.lit(1)).alias("n"))
     return (
-        timed.groupBy(F.window("seen_time", "60 seconds", slide))
-        .agg(F.count(F.lit(1)).alias("total"))
+        counts.groupBy(F.window(F.window_time("window"), "60 seconds", slide))
+        .agg(F.sum("n").alias("total"))
         .select(
             F.unix_seconds("window.end").alias("window_end"),
             "total",

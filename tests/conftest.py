@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import SparkSession
 
@@ -32,27 +34,15 @@ class Certs:
 
     def row(self, **fields):
         self.n += 1
-        seen = fields.get("seen_at", 1700000000)
-        domains = fields.get("domains", [f"test{self.n}.example.com"])
-        base = {
-            "fingerprint": "abcdef" + str(self.n).zfill(58),
-            "domains": domains,
-            "domain_count": len(domains),
-            "issuer_org": "Test CA",
-            "issuer_cn": "Test CA CN",
-            "subject_cn": f"test{self.n}.example.com",
-            "not_before": 1700000000,
-            "not_after": 1731536000,
-            "serial_number": f"SN{self.n}",
-            "log_name": "test-log",
-            "log_url": "https://ct.test/log",
-            "cert_index": self.n,
-            "cert_link": f"https://ct.test/cert/{self.n}",
-            "seen_at": seen,
-            "created_at": seen + 60,
-        }
-        base.update(fields)
-        return base
+        host = f"host-{self.n}.example.com"
+        made = {"seen_at": 1_650_000_000, "domains": [host], "subject_cn": host, "cert_index": self.n, **fields}
+        made.setdefault("fingerprint", hashlib.md5(b"%d" % self.n).hexdigest())
+        made.setdefault("domain_count", len(made["domains"]))
+        made.setdefault("created_at", made["seen_at"] + 60)
+        rest = {"issuer_org": "Oak Trust", "issuer_cn": "Oak Trust R2", "log_name": "elm", "log_url": "https://elm.invalid/"}
+        lifetime = {"not_before": 1_640_995_200, "not_after": 1_672_531_199}
+        links = {"serial_number": f"0x{self.n:x}", "cert_link": f"https://elm.invalid/{self.n}"}
+        return {**rest, **lifetime, **links, **made}
 
     def frame(self, *rows):
         from pyspark.sql import functions as F

@@ -96,7 +96,7 @@ def test_no_products_and_no_python(spark, table, large):
         periods.top_domains(table, 3600, rules),
         registrable_domain(table.select(F.explode("domains").alias("d")), "d", rules, via="shuffle" if large else "lookup"),
         searches.match_index(table, index),
-        tables.insert_new(table, table, batch_rows=10**9 if large else 1),
+        tables.insert_new(table, table),
         tables.copy_rows(table, table),
     ]
     for df in frames:

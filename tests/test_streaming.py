@@ -46,6 +46,26 @@ def test_ingest_continues_and_replays(spark, tmp_path):
     # Everything again, as after a lost checkpoint.
     assert run(spark, tmp_path, checkpoint="other", **kept) == {"aa01", "aa02", "aa03"}
     assert tables.read_certificates(spark, str(tmp_path / "table")).count() == 3
+    # The counters of the first run stay beside those of the second.
+    totals = ingest.read_counters(spark, str(tmp_path / "counters")).first()
+    assert totals.asDict() == {"received": 12, "filtered": 2, "inserted": 3, "duplicate": 7, "batches": 6}
+
+
+def test_a_batch_that_failed_behind_its_insert_counts_its_rows(spark, tmp_path, monkeypatch):
+    write_file(tmp_path / "in", "1.txt", with_print("AA:01"), with_print("AA:02"), with_print("AA:01"))
+    real = tables.append_new
+
+    def failing(*args, **options):
+        real(*args, **options)
+        raise OSError("lost before the counters")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(tables, "append_new", failing)
+        with pytest.raises(Exception):
+            run(spark, tmp_path)
+    assert run(spark, tmp_path) == {"aa01", "aa02"}
+    totals = ingest.read_counters(spark, str(tmp_path / "counters")).first()
+    assert totals.asDict() == {"received": 3, "filtered": 0, "inserted": 2, "duplicate": 1, "batches": 1}
 
 
 @pytest.fixture
@@ -66,6 +86,30 @@ def test_feed_holds_the_newest_over_all_batches(spark, cert_files, tmp_path):
     assert sorted(feed.collect()) == sorted(search.recent(rows, 25).collect())
 
 
+def test_feed_goes_on_with_a_new_checkpoint(spark, certs, tmp_path):
+    feed = str(tmp_path / "feed")
+    old, new = certs.frame(*[{"seen_at": i} for i in range(40)]), certs.frame(*[{"seen_at": 35 + i} for i in range(10)])
+    for name, rows in (("1", old), ("2", new), ("3", new)):
+        path = str(tmp_path / name)
+        rows.coalesce(1).write.option("maxRecordsPerFile", 10).parquet(path)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        ingest.live_feed(stream, feed, str(tmp_path / f"cp{name}"), once=True).awaitTermination()
+    shown = ingest.read_feed(spark, feed)
+    assert sorted(shown.collect()) == sorted(search.recent(old.unionByName(new), 25).collect())
+    assert len(tables.folder_names(spark, feed)) == 2
+
+
+def test_rates_equal_the_batch(spark, certs, tmp_path):
+    rows = certs.frame(*[{"seen_at": s} for s in [0, 1, 5, 5, 9, 58, 60, 61, 119, 300, 301, 500, 900]])
+    rows.coalesce(1).write.parquet(str(tmp_path / "certs"))
+    rates = ingest.rolling_insert_rate(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "certs")), "10 seconds")
+    ingest.to_table(rates, str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
+    got = {r["window_end"]: r["total"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    seen = [r["seen_at"] for r in rows.collect()]
+    ends = {s - s % 5 + 60 - 5 * k for s in seen for k in range(12)}
+    assert got == {e: sum(e - 60 <= s < e for s in seen) for e in ends if e <= 890}
+
+
 def test_closed_hours_equal_the_batch(spark, cert_files, tmp_path):
     rows, stream = cert_files
     hours = ingest.tumbling_stats(stream, "1 hour", "0 seconds")
@@ -93,7 +137,8 @@ def test_alerts_equal_the_batch(spark, cert_files, tmp_path):
     searches = spark.createDataFrame([(1, "n7"), (2, "issuer:I1 -x.com"), (3, '"n3.com" OR domain:n4.com')], "search_id int, text string")
     parsed = parse_searches(searches)
     ingest.search_alerts(stream, parsed, str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).select("search_id", "fingerprint")
+    ingest.search_alerts(stream, parsed, str(tmp_path / "out"), str(tmp_path / "cp2"), once=True).awaitTermination()
+    got = ingest.read_alerts(spark, str(tmp_path / "out"))
     from certloom.operators.searches import match_searches
 
     assert sorted(got.collect()) == sorted(match_searches(rows, parsed).collect())

@@ -3,7 +3,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from certloom import schemas
+from certloom import schemas, session
 from certloom.operators import tables
 from certloom.operators.periods import seen_between
 
@@ -30,9 +30,102 @@ def test_first_of_equal_rows_is_inserted(spark, certs, path):
     assert stored.schema.fieldNames() == schemas.CERTIFICATE_COLUMNS
 
 
-def test_a_batch_beyond_the_broadcast_bound(certs):
+@pytest.mark.parametrize("small", [True, False])
+def test_a_batch_beyond_the_broadcast_bound(certs, monkeypatch, small):
+    monkeypatch.setattr(tables, "small_enough", lambda *args: small)
     target, batch = certs.frame({"fingerprint": "a"}), certs.frame({"fingerprint": "a"}, {"fingerprint": "b"})
-    assert fingerprints(tables.insert_new(target, batch, batch_rows=10**9)) == ["b"]
+    assert fingerprints(tables.insert_new(target, batch)) == ["b"]
+
+
+def test_the_first_arrival_stays(certs):
+    batch = certs.frame(
+        {"fingerprint": "a", "seen_at": 9, "cert_index": 1, "log_url": "m"},
+        {"fingerprint": "a", "seen_at": 5, "cert_index": None, "log_url": "z"},
+        {"fingerprint": "a", "seen_at": 5, "cert_index": 8, "log_url": "m"},
+        {"fingerprint": "a", "seen_at": 5, "cert_index": 4, "log_url": "z"},
+    )
+    (row,) = tables.insert_new(certs.frame({}), batch).collect()
+    assert (row["seen_at"], row["log_url"], row["cert_index"]) == (5, "m", 8)
+
+
+@pytest.mark.parametrize("step", ["_write_keys", "_write_days", "delete_path"])
+@pytest.mark.parametrize("tag", [None, "run-0"])
+def test_a_broken_insert_is_repeated_without_loss(spark, certs, path, monkeypatch, step, tag):
+    tables.append_new(spark, path, certs.frame({"fingerprint": "old"}))
+    batch = certs.frame({"fingerprint": "old"}, {"fingerprint": "a"}, {"fingerprint": "b"})
+    real = getattr(tables, step)
+
+    def broken(*args, **options):
+        if step == "delete_path" and "_open" not in args[1]:
+            return real(*args, **options)
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(tables, step, broken)
+        with pytest.raises(OSError):
+            tables.append_new(spark, path, batch, tag=tag)
+    # Named batches count what they had inserted; others find it there.
+    landed = step == "delete_path" and tag is None
+    assert tables.append_new(spark, path, batch, tag=tag) == (0 if landed else 2)
+    assert fingerprints(tables.read_certificates(spark, path)) == ["a", "b", "old"]
+    assert tables.append_new(spark, path, batch) == 0
+    assert fingerprints(tables.read_certificates(spark, path)) == ["a", "b", "old"]
+
+
+def test_a_named_batch_repeated_after_its_end_counts_again(spark, certs, path):
+    batch = certs.frame({"fingerprint": "a"}, {"fingerprint": "b"})
+    assert [tables.append_new(spark, path, batch, tag="run-3") for _ in range(3)] == [2, 2, 2]
+    assert fingerprints(tables.read_certificates(spark, path)) == ["a", "b"]
+
+
+def test_an_insert_reads_its_own_buckets_only(spark, certs, path):
+    tables.append_new(spark, path, certs.frame(*[{"fingerprint": f"f{i}"} for i in range(500)]))
+    one = spark.createDataFrame([("f7",)], "fingerprint string").select(tables._bucket()).first()[0]
+    keys = tables.read_keys(spark, path, [one])
+    assert all(f"bucket={one}/" in f for f in keys.inputFiles()) and 0 < keys.count() < 50
+    assert keys.filter("fingerprint = 'f7'").count() == 1
+
+
+def test_keys_follow_the_table(spark, certs, path):
+    """A table without keys gets them at its first insert; rows removed by retention may come again."""
+    now = 200 * DAY
+    rows = certs.frame({"fingerprint": "old", "seen_at": 100 * DAY}, {"fingerprint": "new", "seen_at": now - DAY})
+    tables.rewrite_daily(rows, path)
+    assert tables.append_new(spark, path, rows) == 0
+    assert tables.enforce_retention(spark, path, 90, now) == 1
+    assert tables.append_new(spark, path, rows) == 1
+
+
+def test_jobs_leave_nothing_behind(spark, certs, tmp_path, monkeypatch):
+    path, shared = str(tmp_path / "table"), tmp_path / "shared"
+    monkeypatch.setattr(session, "scratch_dir", lambda spark, label: str(shared / label))
+    tables.append_new(spark, path, certs.frame({}, {"seen_at": DAY}))
+    tables.compact_days(spark, path, date(1970, 1, 1), date(2030, 1, 1))
+    tables.enforce_retention(spark, path, 5, 10 * DAY)
+    tables.save_periods(spark, str(tmp_path / "hours"), spark.createDataFrame([stats_row(0, 1)], schemas.HOURLY_STATS))
+    assert list(shared.iterdir()) == []
+    assert {n for n in tables.folder_names(spark, path) if n.startswith("_")} <= {"_keys", "_open", "_SUCCESS"}
+
+
+def test_compaction_keeps_a_heavy_day_in_order(spark, certs, path):
+    tables.rewrite_daily(certs.frame(*[{"seen_at": i % 500} for i in range(2000)]), path, partitions=4)
+    with_small_files = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in with_small_files.items():
+        spark.conf.set(key, value)
+    try:
+        tables.compact_days(spark, path, date(1970, 1, 1), date(1970, 1, 2))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = tables.read_certificates(spark, path).groupBy(F.input_file_name()).agg(F.min("seen_at"), F.max("seen_at"))
+    bounds = sorted(tuple(r)[1:] for r in files.collect())
+    assert len(bounds) > 1
+    assert all(a[1] <= b[0] for a, b in zip(bounds, bounds[1:]))
+
+
+def test_metadata_is_written_and_read(spark, path):
+    for rows in ([("k", "old", 1), ("j", "x", 1)], [("k", "new", 3)]):
+        tables.save_metadata(spark, path, spark.createDataFrame(rows, schemas.METADATA))
+    assert {r["key"]: r["value"] for r in tables.read_metadata(spark, path).collect()} == {"k": "new", "j": "x"}
 
 
 def test_copy_is_idempotent(spark, certs, path):
