@@ -305,13 +305,16 @@ def issuer_set(df: DataFrame, step: int) -> DataFrame:
     return df.filter(F.col("issuer_org").isNotNull()).select(_period(step), "issuer_org").distinct()
 
 
-def approx_stats(df: DataFrame, step: int) -> DataFrame:
-    """Mergeable sketches per period: issuers and raw names."""
-    sketch = F.hll_sketch_agg
+def approx_stats(df: DataFrame, step: int, rules: SuffixRules) -> DataFrame:
+    """Mergeable sketches per period: issuers and registrable domains, from the counts of `facet_counts`."""
+    facet, value = F.col("facet"), F.col("value")
     return (
-        df.select(_period(step), "issuer_org", F.explode_outer("domains").alias("domain"))
+        facet_counts(df, rules, step)
         .groupBy("period_start")
-        .agg(sketch("issuer_org").alias("issuer_sketch"), sketch("domain").alias("domain_sketch"))
+        .agg(
+            F.hll_sketch_agg(F.when(facet == ISSUER, value)).alias("issuer_sketch"),
+            F.hll_sketch_agg(F.when(facet == DOMAIN, value)).alias("domain_sketch"),
+        )
     )
 
 

@@ -8,6 +8,7 @@ from certloom import schemas
 from certloom.functions import text, times
 from certloom.functions.predicates import SearchSpec, Term, seen_between
 from certloom.operators import periods, present, search, tables
+from certloom.operators.filters import filter_by_patterns
 from certloom.plans import derived
 from certloom.plans.registry import CERTS, COPIED, FLAT, flat, query
 from certloom.session import scratch_dir
@@ -38,6 +39,13 @@ def _(spark, sf):
     return flat(rows.filter(seen_between(JAN_10, JAN_20)))
 
 
+@query("a2_read_table", CERTS + f" SELECT {FLAT} FROM certs")
+def _(spark, sf):
+    path = scratch_dir(spark, "certificates")
+    tables.rewrite_daily(derived.certs(spark, sf), path)
+    return flat(tables.read_certificates(spark, path))
+
+
 FIRST_COPY = """first_copy AS (SELECT * FROM certs QUALIFY
   row_number() OVER (PARTITION BY fingerprint ORDER BY seen_at, log_url, cert_index) = 1)"""
 
@@ -197,6 +205,16 @@ def _(spark, sf):
     return flat(tables.read_certificates(spark, path))
 
 
+@query("a11_metadata_table", """SELECT 'user' || user_id AS key, arg_max(event_type || '-' || event_id, v) AS value, max(v) AS updated_at
+  FROM (SELECT *, epoch_us(ts) // 1000000 * 1000000 + event_id AS v FROM events) GROUP BY user_id""")
+def _(spark, sf):
+    """Written in two appends and read back."""
+    path, rows = scratch_dir(spark, "metadata"), derived.metadata_versions(spark, sf)
+    for part in (F.col("updated_at") % 2 == 0, F.col("updated_at") % 2 == 1):
+        tables.save_metadata(spark, path, rows.filter(part))
+    return tables.read_metadata(spark, path)
+
+
 @query("a11_latest_by_key", """SELECT 'user' || user_id AS key, arg_max(event_type || '-' || event_id, v) AS value, max(v) AS updated_at
   FROM (SELECT *, (epoch_us(ts) // 1000000) * 1000000 + event_id AS v FROM events) GROUP BY 1""")
 def _(spark, sf):
@@ -309,6 +327,18 @@ def _(spark, sf):
     return flat(ingest_filter(derived.certs(spark, sf), ["*.GITHUB.io", "*.u1?.co.uk"], ["View"]))
 
 
+@query("b8_filter_table", CERTS + f""", hit AS (SELECT fingerprint FROM (SELECT fingerprint, unnest(domains) AS d FROM certs)
+    JOIN (SELECT DISTINCT user_id FROM events WHERE user_id % 3 = 0) ON d = 'a.b.u' || user_id || '.net')
+  SELECT {FLAT} FROM certs WHERE fingerprint IN (SELECT fingerprint FROM hit) OR issuer_org ILIKE '%view%'
+    OR len(list_filter(domains, lambda d: d ILIKE '%.github.io' OR d ILIKE '%.u1_.co.uk')) > 0""")
+def _(spark, sf):
+    """The patterns of `b8_ingest_filter` and one for every third user, as a table."""
+    users = derived.events(spark, sf).filter(F.col("user_id") % 3 == 0).select("user_id").distinct()
+    own = users.select(F.lit("domain").alias("kind"), F.concat(F.lit("*.U"), F.col("user_id").cast("string"), F.lit(".net")).alias("pattern"))
+    fixed = spark.createDataFrame([("domain", "*.GITHUB.io"), ("domain", "*.u1?.co.uk"), ("issuer", "View")], own.schema)
+    return flat(filter_by_patterns(derived.certs(spark, sf), own.unionByName(fixed)))
+
+
 # --- Views of a row --------------------------------------------------------------------------
 
 MIN = "strftime(make_timestamp({} * 1000000), '%Y-%m-%d %H:%M')"
@@ -393,6 +423,15 @@ def _(spark, sf):
     return flat(search.first_page(derived.certs(spark, sf), GITHUB, 50))
 
 
+@query("f4_page_with_total", f"""{CERTS}, m AS (SELECT count(*) AS n FROM certs WHERE {GITHUB_SQL})
+  SELECT n AS total, cast(ceil(n / 50) AS bigint) AS total_pages, least(n, 50) AS shown FROM m""")
+def _(spark, sf):
+    """Page one with its total, which is counted only where there is more than a page."""
+    page = search.fetch_page(derived.certs(spark, sf), GITHUB, 1, 50)
+    values = {"total": page.total, "total_pages": page.total_pages, "shown": len(page.rows)}
+    return spark.range(1).select(*[F.lit(v).cast("bigint").alias(k) for k, v in values.items()])
+
+
 @query("f6_export_order", f"{CERTS} SELECT {FLAT} FROM certs ORDER BY seen_at, fingerprint")
 def _(spark, sf):
     return flat(search.export_order(derived.certs(spark, sf)))

@@ -386,7 +386,7 @@ def _(spark, sf):
 def _(spark, sf):
     users = derived.events(spark, sf).select(F.col("user_id").alias("text_id")).distinct()
     texts = users.withColumn("text", F.concat(F.lit("u"), F.col("text_id").cast("string"), F.lit(".net")))
-    return searches.trigram_candidates(searches.trigrams(derived.certs(spark, sf)), texts)
+    return searches.trigram_candidates(derived.certs(spark, sf), texts)
 
 
 @query("g1_union_of_groups", f"{CERTS} SELECT cert_index FROM certs WHERE {any_name("contains(d, 'github')")} OR {ORG} = 'CA view'")

@@ -181,6 +181,26 @@ def _(spark, sf):
     return summaries.range_summary(week(spark, sf))
 
 
+@query("d10_null_names", f"""{CERTS} SELECT {period(DAY)}, count(*) AS total_certificates, count(DISTINCT issuer_org) AS unique_issuers,
+  count(*) FILTER ({WILD} AND cert_index % 2 = 1) AS wildcard_count FROM certs GROUP BY 1""")
+def _(spark, sf):
+    """Half of the certificates without a list of names."""
+    c = derived.certs(spark, sf).withColumn("domains", F.when(F.col("cert_index") % 2 == 1, F.col("domains")))
+    stats = periods.daily_stats(c, seed_rules(spark), 9)
+    return stats.select("period_start", "total_certificates", "unique_issuers", "wildcard_count")
+
+
+for name, step, label in (("24h", HOUR, "last_day"), ("30d", DAY, "last_month")):
+    since = SUMMARY_NOW - summaries.RANGES[name][0]
+
+    @query(f"d13_{label}_totals", f"""{CERTS} SELECT count(*) AS total_certificates, count(*) FILTER ({WILD}) AS wildcard_count
+      FROM certs WHERE seen_at - seen_at % {step} >= {since} AND seen_at - seen_at % {step} < {SUMMARY_NOW}""")
+    def _(spark, sf, name=name):
+        c, rules = derived.certs(spark, sf), seed_rules(spark)
+        rows = summaries.in_range(periods.hourly_stats(c, rules, 9), periods.daily_stats(c, rules, 9), name, SUMMARY_NOW)
+        return summaries.range_summary(rows).select("total_certificates", "wildcard_count")
+
+
 @query("d13_last_day_issuers", f"""{CERTS}, tops AS ({top_sql(HOUR, 'certs', 'issuer_org', 'issuer_org IS NOT NULL')}),
   m AS (SELECT value, sum(count) AS count FROM tops WHERE period_start >= {SUMMARY_NOW - 86400} AND period_start < {SUMMARY_NOW} GROUP BY 1)
   SELECT row_number() OVER (ORDER BY count DESC, value) AS rank, value, cast(count AS bigint) AS count FROM m ORDER BY 1 LIMIT 100""")
@@ -230,17 +250,16 @@ def _(spark, sf):
     return periods.issuer_set(derived.certs(spark, sf), DAY)
 
 
-@query("d21_approx_stats", f"""{CERTS}{NAMES}, i AS (SELECT {period(DAY)}, count(DISTINCT issuer_org) AS issuers FROM certs GROUP BY 1),
-  n AS (SELECT {period(DAY)}, count(DISTINCT d) AS domains FROM names GROUP BY 1)
+@query("d21_approx_stats", f"""{REG}, i AS (SELECT {period(DAY)}, count(DISTINCT issuer_org) AS issuers FROM certs GROUP BY 1),
+  n AS (SELECT {period(DAY)}, count(DISTINCT registrable) AS domains FROM {NAMED} GROUP BY 1)
   SELECT *, true AS issuers_close, true AS domains_close FROM i JOIN n USING (period_start)""")
 def _(spark, sf):
     """Daily sketches as unions of hourly ones, held against the exact counts (five percent)."""
-    c = derived.certs(spark, sf)
-    approx = periods.approx_counts(periods.merge_approx(periods.approx_stats(c, HOUR), DAY))
-    names = domain_counts(c.withColumn("period_start", periods._period(DAY)), "period_start")
-    exact = periods.issuer_set(c, DAY).groupBy("period_start").agg(F.count(F.lit(1)).alias("issuers")).join(
-        names.groupBy("period_start").agg(F.count(F.lit(1)).alias("domains")), "period_start"
-    )
+    c, rules = derived.certs(spark, sf), seed_rules(spark)
+    approx = periods.approx_counts(periods.merge_approx(periods.approx_stats(c, HOUR, rules), DAY))
+    issuers = periods.issuer_set(c, DAY).groupBy("period_start").agg(F.count(F.lit(1)).alias("issuers"))
+    domains = periods.unique_domains(c, DAY, rules).withColumnRenamed("unique_domains", "domains")
+    exact = issuers.join(domains, "period_start")
 
     def close(a, b):
         return F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(1.0), F.col(b) * 0.05)

@@ -84,11 +84,10 @@ def _(spark, sf):
     return rows.select("table_rows", first.alias("first_inserted"), second.alias("second_inserted"))
 
 
-@query("h6_rate_limit", "SELECT unnest(range(0, 5)) AS batch_id, true AS bounded")
+@query("h6_rate_limit", f"{CERTS}, {RECEIVED} SELECT count(*) AS received, 5 AS batches, true AS bounded FROM received")
 def _(spark, sf):
-    """With two files per micro-batch no batch takes more than its two files hold."""
-    files = 10
-    messages = derived.message_files(spark, sf, scratch_dir(spark, "messages"), files)
+    """With two of ten files per micro-batch all messages arrive, in five batches of about equal size."""
+    messages = derived.message_files(spark, sf, scratch_dir(spark, "messages"), 10)
     counters = scratch_dir(spark, "counters")
     finish(
         ingest.ingest_stream(
@@ -100,9 +99,11 @@ def _(spark, sf):
             once=True,
         )
     )
-    total = spark.read.text(messages).agg(F.count(F.lit(1))).scalar()
     rows = spark.read.schema(ingest.COUNTERS).parquet(counters)
-    return rows.select("batch_id", (F.col("received") <= F.ceil(total * 2 / files) + 20).alias("bounded"))
+    total = F.sum("received")
+    return rows.agg(
+        total.alias("received"), F.sum("batches").alias("batches"), (F.max("received") <= total / 4 + 20).alias("bounded")
+    )
 
 
 @query("h7_live_feed", f"{CERTS} SELECT {FLAT} FROM certs {NEWEST} LIMIT 25")
@@ -121,6 +122,21 @@ def _(spark, sf):
     return ingest.read_counters(spark, counters[0]).drop("batches")
 
 
+@query("h8_restart", f"""{COPIED}, {RECEIVED}, kept AS (SELECT * FROM received WHERE {KEPT})
+  SELECT 2 * (SELECT count(*) FROM received) AS received, 2 * ((SELECT count(*) FROM received) - (SELECT count(*) FROM kept)) AS filtered,
+   (SELECT count(DISTINCT fingerprint) FROM kept) AS inserted,
+   (SELECT 2 * count(*) - count(DISTINCT fingerprint) FROM kept) AS duplicate""")
+def _(spark, sf):
+    """A second run with a new checkpoint adds to the counters of the first one in the same folder."""
+    messages = derived.message_files(spark, sf, scratch_dir(spark, "messages"), 3, copies=2)
+    table, counters = scratch_dir(spark, "table"), scratch_dir(spark, "counters")
+    for _ in range(2):
+        source = ingest.read_message_files(spark, messages)
+        checkpoint = scratch_dir(spark, "checkpoint")
+        finish(ingest.ingest_stream(source, table, counters, checkpoint, NOW, GLOBS, ISSUERS, once=True))
+    return ingest.read_counters(spark, counters).drop("batches")
+
+
 @query("h9_tumbling_stats", f"""{CERTS} SELECT seen_at - seen_at % 3600 AS period_start, count(*) AS total_certificates,
   sum(domain_count) AS total_domain_count, count(*) FILTER (len(list_filter(domains, lambda d: d LIKE '*.%')) > 0) AS wildcard_count,
   count(DISTINCT issuer_org) AS approx_issuers FROM certs GROUP BY 1
@@ -137,8 +153,7 @@ def _(spark, sf):
     out = scratch_dir(spark, "alerts")
     parsed = parse_searches(derived.saved_searches(spark, sf))
     finish(ingest.search_alerts(derived.cert_stream(spark, sf), parsed, out, scratch_dir(spark, "checkpoint"), once=True))
-    alerts = spark.read.schema("search_id bigint, fingerprint string").parquet(out)
-    return alerts.select("search_id", "fingerprint")
+    return ingest.read_alerts(spark, out)
 
 
 @query("h10_spec_alerts", f"{CERTS} SELECT cert_index FROM certs WHERE {SPEC_SQL}")

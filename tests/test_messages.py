@@ -3,6 +3,7 @@ import json
 import pytest
 
 from certloom.functions.text import glob_match
+from certloom.operators.filters import filter_by_patterns
 from certloom.sources.messages import ingest_filter, parse_messages, to_certificates
 
 
@@ -92,6 +93,22 @@ def test_ingest_filter(certs, globs, issuers, expected):
     assert {r["cert_index"] for r in ingest_filter(df, globs, issuers).collect()} == expected
 
 
+@pytest.mark.parametrize("globs,issuers,expected", FILTERS[1:])
+def test_a_table_of_patterns_equals_the_list(spark, certs, globs, issuers, expected):
+    df = certs.frame({"domains": ["bank.net"], "issuer_org": "Elm and Sons"}, {"domains": ["a.pay.org"], "issuer_org": None})
+    rows = [("domain", g) for g in globs] + [("issuer", i) for i in issuers] + [("domain", None), ("other", "*")]
+    patterns = spark.createDataFrame(rows, "kind string, pattern string")
+    assert {r["cert_index"] for r in filter_by_patterns(df, patterns).collect()} == expected
+
+
+@pytest.mark.parametrize("glob,expected", [("*", {1, 2, 3}), ("a+b.*", {1}), ("", set()), ("?.[x]", {3}), ("*.*", {1, 3})])
+def test_globs_with_few_or_strange_literals(spark, certs, glob, expected):
+    df = certs.frame({"domains": ["a+b.com"]}, {"domains": ["aab"]}, {"domains": ["q.[x]"]}, {"domains": []})
+    patterns = spark.createDataFrame([("domain", glob)], "kind string, pattern string")
+    assert {r["cert_index"] for r in filter_by_patterns(df, patterns).collect()} == expected
+    assert {r["cert_index"] for r in ingest_filter(df, [glob]).collect()} == expected
+
+
 def test_glob_takes_other_signs_literally(spark):
     df = spark.createDataFrame([("a.b",), ("axb",), ("a+b",), ("(a)\n",), ("(a)",)], "d string")
     got = df.select("d", glob_match(df.d, "a.b", "(?)").alias("hit")).collect()

@@ -1,5 +1,7 @@
 """What the physical plans must look like to hold at scale."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +89,21 @@ def test_saved_searches_scan_once_and_shuffle_only_matches(spark, table):
     assert text.count("Exchange hashpartitioning(search_id") == 1
 
 
+def test_a_large_set_of_searches_scans_once(spark, table):
+    index = searches.index_searches(searches.parse_searches(derived.saved_searches(spark, SF)))
+    text = plan(searches.match_index(table, replace(index, rows=2**40)))
+    assert sum("FileScan" in line and "seen_at" in line for line in text.splitlines()) == 1
+
+
+def test_trigrams_are_cut_once(spark, table, monkeypatch):
+    made = []
+    real = searches.stored
+    monkeypatch.setattr(searches, "stored", lambda df, label: (made.append(plan(df)), real(df, label))[1])
+    texts = spark.createDataFrame([(1, "github"), (2, "u1.net")], "text_id int, text string")
+    last = plan(searches.trigram_candidates(table, texts))
+    assert sum(text.count("Generate explode(array_distinct") for text in [*made, last]) == 1
+
+
 @pytest.mark.parametrize("large", [False, True])
 def test_no_products_and_no_python(spark, table, large):
     rules = seed_rules(spark)

@@ -42,14 +42,14 @@ SEARCHES = [
     ("justlime justplum", set()),
     ("justlime OR justplum", {8, 9}),
     ("domain:market.com", {4, 5}),
-    ("domain:BOUNDTEST.com or domain:justlime.com", {4, 5, 8}),
+    ("domain:MARKET.com or domain:justlime.com", {4, 5, 8}),
     ("market -sub", {4, 6}),
     ("market -issuer", {4, 5, 6}),
     ("just after:1200000000 before:1800000000", {8}),
     ("just after:2010-09-10", {8, 9}),
     ("market wildcard:true", {5}),
     ("market wildcard:false", {4, 6}),
-    ("domain:a domain_count:>=3", {9, 10}),
+    ("domain:a domain_count:>=3", {10}),
     ("just domain_count:<2", {8}),
     ("x_y", {9}),
     ("100%", {9}),
@@ -133,12 +133,12 @@ def all_pairs(table, texts):
     return {(i, n) for i, t in enumerate(texts) for n in hits(table, t)}
 
 
-@pytest.mark.parametrize("slices,few", [(1, True), (3, True), (1, False)])
-def test_all_searches_at_once_equal_each_alone(spark, table, slices, few):
+@pytest.mark.parametrize("large", [{}, {"few": {}}, {"size": 2**40}, {"rows": 2**40}])
+def test_all_searches_at_once_equal_each_alone(spark, table, large):
     texts = [t for t, _ in SEARCHES]
     searches = spark.createDataFrame(list(enumerate(texts)), "search_id int, text string")
     index = index_searches(parse_searches(searches))
-    index = replace(index, slices=slices, few=index.few if few else {})
+    index = replace(index, **large)
     numbered = table.select("fingerprint", "cert_index")
     got = match_index(table, index).join(numbered, "fingerprint").collect()
     assert {(r["search_id"], r["cert_index"]) for r in got} == {(i, n) for i, (_, e) in enumerate(SEARCHES) for n in e}

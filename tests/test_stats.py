@@ -100,7 +100,7 @@ def test_volume_of_tiny_periods_and_of_nothing(spark):
 
 
 def test_sketches_merge(spark, rows):
-    day = periods.approx_counts(periods.merge_approx(periods.approx_stats(rows, HOUR), DAY)).orderBy("period_start")
+    day = periods.approx_counts(periods.merge_approx(periods.approx_stats(rows, HOUR, seed_rules(spark)), DAY)).orderBy("period_start")
     assert [tuple(r) for r in day.collect()] == [(0, 2, 7), (DAY, 0, 1)]
 
 
