@@ -4,6 +4,10 @@ Fingerprints that differ in at most r bits agree on at least 8 - r of their 8 by
 fingerprint is dealt out once per choice of 8 - r bytes; those that agree on such a choice meet in one
 sorted run, where they are compared bit-sliced. A run holds distinct values that differ in r bytes only,
 so it has at most 2**(8 r) members (65,536 for r = 2), however large a group of copies is.
+
+A radius that few bits allow finds hardly more than exact copies. `similar` therefore has wide fingerprints, of
+the set of five-word shingles: texts of similarity 0.8 differ in 15 % of the bits. Rows that agree on a band of 16
+bits meet, and 256 other bits, compared bit-sliced with the same counters, decide.
 """
 
 from __future__ import annotations
@@ -23,15 +27,19 @@ from certloom.llm.runtime import slices, stored
 from certloom.session import broadcast_if_small
 
 WORDS, SEED, RADIUS = 3, 42, 2
+# Of similarity 0.8: 39 of 256 bits differ on average (standard deviation 6), and one of 48 bands is equal with
+# probability 0.97. At 0.85 that is 33 bits and 0.996, at 0.6 it is 59 bits; unrelated texts differ in 128.
+WIDE_WORDS, WIDE_BITS, WIDE_RADIUS, BANDS = 5, 256, 48, 48
+_RUN = 2048  # members of a run that are compared with each other before classes are left with one member
 _CHUNK = 50_000  # shingles, or pairs of a query and a block, that are held as arrays at a time
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
-    """The unsigned fingerprint of one whole text; 0 if it has no words."""
+def _shingles(text: str | None, words: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles, as little-endian words, some at a time; none if there are no words."""
     parts = (text or "").encode().lower().split()  # of bytes: both know ASCII letters and white space only
     if not parts:
-        return 0
+        return
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -39,14 +47,44 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
         starts, ends = starts[: len(parts) - words + 1], ends[words - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    digest, counts, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(starts)
-    for k in range(0, n, _CHUNK):
+    digest = xxhash.xxh64_intdigest
+    for k in range(0, len(starts), _CHUNK):
         spans = zip(starts[k : k + _CHUNK].tolist(), ends[k : k + _CHUNK].tolist())
-        hashes = np.array([digest(joined[a:b], seed) for a, b in spans], "<u8")
+        yield np.array([digest(joined[a:b], seed) for a, b in spans], "<u8")
+
+
+def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
+    """The unsigned fingerprint of one whole text; 0 if it has no words."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in _shingles(text, words, seed):
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def _mixed(hashes: np.ndarray, n: int) -> np.ndarray:
+    """`n` independent words for each hash: steps of a Weyl sequence, finished by two multiplications."""
+    x = hashes[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(text: str | None, words: int = WIDE_WORDS, seed: int = SEED) -> np.ndarray:
+    """WIDE_BITS bits and then BANDS bands of 16 bits of one whole text, as words; zero if it has no words.
+
+    Repeated shingles count once, so that the share of differing bits follows the similarity of the sets.
+    """
+    bits = WIDE_BITS + 16 * BANDS
+    found = list(_shingles(text, words, seed))
+    hashes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    counts = np.zeros(bits, np.int64)
+    for k in range(0, len(hashes), 255):
+        mixed = _mixed(hashes[k : k + 255], bits // 64)
+        counts += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)  # at most 255
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, fp): the fingerprint as a signed long. Null texts count as empty."""
 
@@ -60,28 +98,24 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
 
-def _within(ones, twos, over, radius: int):
-    """Lanes whose two-bit count, with `over` for four and more, is at most the radius."""
-    wrong = over
-    for count in range(radius + 1, 4):
-        wrong = wrong | ((ones if count & 1 else ~ones) & (twos if count & 2 else ~twos))
-    return ~wrong
-
-
 def near_pairs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of one run whose values differ in at most `radius` (0 to 3) bits.
+    """Index pairs i < j of one run whose values differ in at most `radius` bits.
 
-    `values` are uint64, run after run. 64 neighbouring values make a block, held as 64 bit planes of one
-    word. A query meets the blocks of its run: each plane is compared with the query's bit in all 64 lanes
-    at once, carry-save counters add the differing bits, and a pair of query and block is given up as soon
-    as all its lanes exceed the radius.
+    `values` are uint64 (or rows of several), run after run. 64 neighbouring values make a block, held as bit
+    planes of one word. A query meets the blocks of its run: each plane is compared with the query's bit in all
+    64 lanes at once, and carry-save counters add the differing bits. They start so that they overflow at
+    radius + 1; a pair of query and block is given up as soon as all its lanes have.
     """
     n = len(values)
+    values = values if values.ndim == 2 else values[:, None]
+    width = values.shape[1]
     blocks = -(-n // 64)
-    padded = np.zeros(blocks * 64, "<u8")
+    padded = np.zeros((blocks * 64, width), "<u8")
     padded[:n] = values
-    bits = np.unpackbits(padded.view(np.uint8).reshape(blocks, 64, 8), axis=2, bitorder="little")
+    bits = np.unpackbits(padded.view(np.uint8).reshape(blocks, 64, 8 * width), axis=2, bitorder="little")
     planes = np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view("<u8")[:, :, 0]
+    digits = max(1, radius.bit_length())
+    unused = (1 << digits) - 1 - radius
     end_of = np.repeat(ends, ends - starts)
     query = np.arange(n)
     query = query[query + 1 < end_of]
@@ -98,19 +132,20 @@ def near_pairs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius:
         low = np.clip(q + 1 - block * 64, 0, 63).astype(np.uint64)
         high = np.clip(block * 64 + 64 - end_of[q], 0, 63).astype(np.uint64)
         lanes = (_ALL << low) & (_ALL >> high)
-        ones, twos, over = (np.zeros(len(q), np.uint64) for _ in range(3))
-        value = values[q]
-        for bit in range(64):
-            differ = planes[bit][block] ^ (np.uint64(0) - ((value >> np.uint64(bit)) & np.uint64(1)))
-            carry = ones & differ
-            ones ^= differ
-            over |= twos & carry
-            twos ^= carry
+        counters = [np.full(len(q), _ALL if unused >> k & 1 else 0, np.uint64) for k in range(digits)]
+        over = np.zeros(len(q), np.uint64)
+        for bit in range(64 * width):
+            carry = planes[bit][block] ^ (np.uint64(0) - ((values[q, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)))
+            for counter in counters:
+                passed = counter & carry
+                counter ^= carry
+                carry = passed
+            over |= carry
             if bit % 8 == 7:
-                alive = (lanes & _within(ones, twos, over, radius)) != 0
+                alive = (lanes & ~over) != 0
                 if not alive.all():
-                    q, block, lanes, ones, twos, over, value = (x[alive] for x in (q, block, lanes, ones, twos, over, value))
-        near = np.ascontiguousarray(lanes & _within(ones, twos, over, radius))
+                    q, block, lanes, over, *counters = (x[alive] for x in (q, block, lanes, over, *counters))
+        near = np.ascontiguousarray(lanes & ~over)
         pair, lane = np.nonzero(np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
         left.append(q[pair])
         right.append(block[pair] * 64 + lane)
@@ -169,6 +204,14 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.repartition("choice", "part").sortWithinPartitions("choice", "part", "fp").mapInArrow(run, "a long, b long")
 
 
+def _classes(rows: DataFrame, distinct: DataFrame, tied: DataFrame) -> DataFrame:
+    """`rows` with component_id, the least `first` of the component that the links give their `node`."""
+    roots = components(tied).withColumnRenamed("node", "of")
+    named = distinct.join(roots, F.col("node") == F.col("of"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.join(named.join(least, "root").select("node", "component_id"), "node")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row per row of `docs`: id, fingerprint (16 hex digits), component_id (least id reachable by links).
 
@@ -176,20 +219,92 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     time. Null ids get the least id of their component, null if it has none. Other columns are not looked at.
     """
     prints = stored(fingerprints(docs, id_column, text_column), "prints")
-    distinct = prints.groupBy("fp").agg(F.min(id_column).alias("first"))
-    roots = components(links(distinct.select("fp"), radius))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(id_column, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = prints.withColumnRenamed("fp", "node")
+    distinct = nodes.groupBy("node").agg(F.min(id_column).alias("first"))
+    classes = _classes(nodes, distinct, links(distinct.select(F.col("node").alias("fp")), radius))
+    return classes.select(id_column, F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def wide_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, node, w0 to w3, bands): the wide fingerprint, its words to compare, their hash and the bands."""
+    words = WIDE_BITS // 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [wide_fingerprint(t) for _, texts in slices(batch, "t") for t in texts]
+            found = np.array(rows, np.uint64).reshape(len(rows), -1)
+            bands = np.ascontiguousarray(found[:, words:]).view("<i2").ravel()
+            ends = np.arange(len(found) + 1, dtype=np.int32) * BANDS
+            columns = [batch.column("id"), *[pa.array(found[:, k].view(np.int64)) for k in range(words)], pa.ListArray.from_arrays(ends, pa.array(bands))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", *[f"w{k}" for k in range(words)], "bands"])
+
+    source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("t"))
+    longs = [T.StructField(f"w{k}", T.LongType()) for k in range(words)]
+    schema = T.StructType([T.StructField("id", source.schema["id"].dataType), *longs, T.StructField("bands", T.ArrayType(T.ShortType()))])
+    return source.mapInArrow(run, schema).withColumn("node", F.xxhash64(*[f.name for f in longs])).withColumnRenamed("id", id_column)
+
+
+def band_links(prints: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(a, b) links between `node`s of wide fingerprints that share a band and differ in at most `radius` bits.
+
+    A run holds the rows of one band value: few unrelated texts, but many of a group of near copies. Whenever it
+    has grown to _RUN rows (or twice its classes), the rows seen are tied and each class is left with one
+    member, which those to come meet; so a run of any length is read as a stream. The greatest run of a group
+    is a small part of the rows, as each band splits the group anew.
+    """
+    words = [f"w{k}" for k in range(WIDE_BITS // 64)]
+    dealt = prints.select("node", *words, F.posexplode("bands").alias("band", "part"))
+
+    def ties(new, node, values):
+        """(links of the runs that begin at `new`, index of one member per class)."""
+        ends = np.append(new[1:], len(node))
+        i, j = near_pairs(values, new, ends, radius)
+        label = _least(len(node), i, j)
+        tied = label != np.arange(len(node))
+        return pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[label[tied]])], ["a", "b"]), np.flatnonzero(~tied)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node, values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(words)), np.uint64)
+        least = _RUN
+        for batch in batches:
+            for at in range(0, batch.num_rows, _RUN):
+                part = batch.slice(at, _RUN)
+                key = np.concatenate((key, part.column("band").to_numpy().astype(np.int64) << 16 | part.column("part").to_numpy().astype(np.int64) & 0xFFFF))
+                node = np.concatenate((node, part.column("node").to_numpy()))
+                values = np.concatenate((values, np.stack([part.column(w).to_numpy().view(np.uint64) for w in words], 1)))
+                new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                if new[-1]:  # The last run may go on in the next rows.
+                    last = new[-1]
+                    yield ties(new[:-1], node[:last], values[:last])[0]
+                    key, node, values, least = key[last:], node[last:], values[last:], _RUN
+                if len(key) > least:
+                    found, kept = ties(new[:1], node, values)
+                    yield found
+                    key, node, values, least = key[kept], node[kept], values[kept], max(_RUN, 2 * len(kept))
+        if len(key):
+            yield ties(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), node, values)[0]
+
+    return dealt.repartition("band", "part").sortWithinPartitions("band", "part", "node").mapInArrow(run, "a long, b long")
+
+
+def similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = WIDE_RADIUS) -> DataFrame:
+    """One row per row of `docs`: id and component_id, the least id reachable by links between wide fingerprints.
+
+    Equal texts are always linked, and texts without words with each other. Texts of fewer than five words are
+    one shingle. Null and repeated ids and other columns are treated as by `near_duplicates`.
+    """
+    prints = stored(wide_fingerprints(docs, id_column, text_column), "wide")
+    rest = [c for c in prints.columns if c not in (id_column, "node")]
+    distinct = prints.groupBy("node").agg(F.min(id_column).alias("first"), *[F.first(c).alias(c) for c in rest])
+    return _classes(prints.select(id_column, "node"), distinct.select("node", "first"), band_links(distinct, radius)).select(id_column, "component_id")
 
 
-def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each component the row with the least id stays.
+def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = WIDE_RADIUS) -> DataFrame:
+    """The rows of `docs` without near-duplicates (`similar`): of each component the row with the least id stays.
 
     Rows without an id stay. Of rows with one id only one stays, whichever their texts.
     """
-    found = stored(near_duplicates(docs, id_column, text_column, radius), "classes").where(F.col(id_column).isNotNull())
+    found = stored(similar(docs, id_column, text_column, radius), "classes").where(F.col(id_column).isNotNull())
     width = F.lit(16)
     lost = found.where(F.col(id_column) != F.col("component_id")).select(id_column).distinct()
     kept = docs.join(broadcast_if_small(lost, width), id_column, "left_anti").select(*docs.columns)
