@@ -30,7 +30,8 @@ WORDS, SEED, RADIUS = 3, 42, 2
 # Of similarity 0.8: 39 of 256 bits differ on average (standard deviation 6), and one of 48 bands is equal with
 # probability 0.97. At 0.85 that is 33 bits and 0.996, at 0.6 it is 59 bits; unrelated texts differ in 128.
 WIDE_WORDS, WIDE_BITS, WIDE_RADIUS, BANDS = 5, 256, 48, 48
-_RUN = 2048  # members of a run that are compared with each other before classes are left with one member
+WORDS_OF = [f"w{k}" for k in range(WIDE_BITS // 64)]
+_RUN = 2048  # rows of a run that are compared with the rest at a time
 _CHUNK = 50_000  # shingles, or pairs of a query and a block, that are held as arrays at a time
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -244,47 +245,75 @@ def wide_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: s
     return source.mapInArrow(run, schema).withColumn("node", F.xxhash64(*[f.name for f in longs])).withColumnRenamed("id", id_column)
 
 
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """(columns, first rows of the runs) for rows sorted by band and part, without runs of one row."""
+    held = None
+    for batch in batches:
+        rows = {c: batch.column(c).to_numpy() for c in names}
+        held = {c: np.concatenate((held[c], rows[c])) for c in names} if held else rows
+        new = np.flatnonzero(np.concatenate(([True], (held["band"][1:] != held["band"][:-1]) | (held["part"][1:] != held["part"][:-1]))))
+        if len(held["band"]) and new[-1]:  # The last run may go on in the next rows.
+            yield _longer({c: x[: new[-1]] for c, x in held.items()}, new[:-1])
+            held = {c: x[new[-1] :] for c, x in held.items()}
+    if held and len(held["band"]):
+        yield _longer(held, np.zeros(1, np.int64))
+
+
+def _longer(rows: dict[str, np.ndarray], new: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    sizes = np.diff(np.append(new, len(rows["band"])))
+    kept = np.repeat(sizes > 1, sizes)
+    sizes = sizes[sizes > 1]
+    return {c: x[kept] for c, x in rows.items()}, np.cumsum(sizes) - sizes
+
+
+def _in_runs(prints: DataFrame) -> DataFrame:
+    """One row per text and band, those of one band value together."""
+    if "bands" in prints.columns:
+        prints = prints.select(*[c for c in prints.columns if c != "bands"], F.posexplode("bands").alias("band", "part"))
+    return prints.repartition("band", "part").sortWithinPartitions("band", "part", "node")
+
+
 def band_links(prints: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
-    """(a, b) links between `node`s of wide fingerprints that share a band and differ in at most `radius` bits.
+    """(a, b) pairs of `node`s that share a band and differ in at most `radius` bits; a pair may come several times.
 
-    A run holds the rows of one band value: few unrelated texts, but many of a group of near copies. Whenever it
-    has grown to _RUN rows (or twice its classes), the rows seen are tied and each class is left with one
-    member, which those to come meet; so a run of any length is read as a stream. The greatest run of a group
-    is a small part of the rows, as each band splits the group anew.
+    Every row of a run meets all others, however long the run, but for those that column `root` (if there is one)
+    shows to be tied already, and those whose sets differ too much in size (`n`, if there is one) to be similar.
     """
-    words = [f"w{k}" for k in range(WIDE_BITS // 64)]
-    dealt = prints.select("node", *words, F.posexplode("bands").alias("band", "part"))
-
-    def ties(new, node, values):
-        """(links of the runs that begin at `new`, index of one member per class)."""
-        ends = np.append(new[1:], len(node))
-        i, j = near_pairs(values, new, ends, radius)
-        label = _least(len(node), i, j)
-        tied = label != np.arange(len(node))
-        return pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[label[tied]])], ["a", "b"]), np.flatnonzero(~tied)
+    have = [c for c in ("n", "root") if c in prints.columns]
+    names = ["band", "part", "node", *WORDS_OF, *have]
+    rest = ["bands"] if "bands" in prints.columns else ["band", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node, values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(words)), np.uint64)
-        least = _RUN
-        for batch in batches:
-            for at in range(0, batch.num_rows, _RUN):
-                part = batch.slice(at, _RUN)
-                key = np.concatenate((key, part.column("band").to_numpy().astype(np.int64) << 16 | part.column("part").to_numpy().astype(np.int64) & 0xFFFF))
-                node = np.concatenate((node, part.column("node").to_numpy()))
-                values = np.concatenate((values, np.stack([part.column(w).to_numpy().view(np.uint64) for w in words], 1)))
-                new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-                if new[-1]:  # The last run may go on in the next rows.
-                    last = new[-1]
-                    yield ties(new[:-1], node[:last], values[:last])[0]
-                    key, node, values, least = key[last:], node[last:], values[last:], _RUN
-                if len(key) > least:
-                    found, kept = ties(new[:1], node, values)
-                    yield found
-                    key, node, values, least = key[kept], node[kept], values[kept], max(_RUN, 2 * len(kept))
-        if len(key):
-            yield ties(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), node, values)[0]
-
-    return dealt.repartition("band", "part").sortWithinPartitions("band", "part", "node").mapInArrow(run, "a long, b long")
+        for rows, new in _runs(batches, names):
+            values = np.stack([rows[w].view(np.uint64) for w in WORDS_OF], 1)
+            node, root = rows["node"], rows.get("root", rows["node"])
+            n = rows.get("n", np.ones(len(node), np.int64))
+            left, right, held = [], [], 0
+            for s, e in zip(new.tolist(), [*new[1:].tolist(), len(node)]):
+                roots, which, counts = np.unique(root[s:e], return_inverse=True, return_counts=True)
+                if len(roots) == 1:
+                    continue
+                # Rows of the greatest class need not meet each other, so only the rest is compared with all.
+                asks = which != counts.argmax()
+                every = np.arange(e - s)
+                queries = np.flatnonzero(asks)
+                step = max(1, min(_RUN, (1 << 20) // (e - s)))
+                for k in range(0, len(queries), step):
+                    q = queries[k : k + step]
+                    differ = np.bitwise_count(values[s:e][None] ^ values[s + q][:, None]).sum(2, dtype=np.int64)
+                    near = (differ <= radius) & (which[q][:, None] != which[None]) & (~asks[None] | (every[None] > q[:, None]))
+                    near &= np.minimum(n[s:e][None], n[s + q][:, None]) >= 0.8 * np.maximum(n[s:e][None], n[s + q][:, None]) - 1e-6
+                    i, j = np.nonzero(near)
+                    left.append(node[s + q[i]])
+                    right.append(node[s + j])
+                    held += len(i)
+                    if held > _CHUNK:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+                        left, right, held = [], [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+    return _in_runs(prints.select("node", *WORDS_OF, *have, *rest)).mapInArrow(run, "a long, b long")
 
 
 def similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = WIDE_RADIUS) -> DataFrame:

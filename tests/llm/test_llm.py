@@ -147,6 +147,27 @@ def test_a_run_longer_than_a_block_of_members_is_one_class(spark, monkeypatch):
     assert roots == dict.fromkeys(range(1, 600), 0)
 
 
+def test_a_star_of_texts_far_from_each_other_is_one_class(spark, monkeypatch):
+    # Any two outer members differ in 60 to 80 bits; each is tied to the centre only, which comes late in the run.
+    monkeypatch.setattr(simhash, "_RUN", 50)
+    rng = np.random.default_rng(8)
+    centre = rng.integers(0, 2, 256)
+    outer = []
+    for _ in range(400):
+        other = centre.copy()
+        other[rng.permutation(256)[:40]] ^= 1
+        outer.append(other)
+    near = [centre ^ (np.arange(256) < k) for k in range(2, 42)]
+    words = np.packbits(np.array([*near, *outer[:200], centre, *outer[200:]], np.uint8), axis=1, bitorder="little").view("<i8")
+    rows = [(k, *map(int, w), [7]) for k, w in enumerate(words)]
+    made = spark.createDataFrame(rows, "node long, w0 long, w1 long, w2 long, w3 long, bands array<short>")
+    plain = [int.from_bytes(w.tobytes(), "little") for w in words]
+    want = {(i, j) for i in range(len(plain)) for j in range(i + 1, len(plain)) if (plain[i] ^ plain[j]).bit_count() <= 48}
+    got = {(min(r), max(r)) for r in simhash.band_links(made, 48).collect()}
+    assert got == want
+    assert set(components.components(simhash.band_links(made, 48)).select("root").toPandas()["root"]) == {0}
+
+
 @pytest.mark.parametrize("radius", [7, 48])
 def test_wide_near_pairs_equal_all_pairs(radius):
     rng = np.random.default_rng(radius)
