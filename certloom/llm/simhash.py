@@ -5,9 +5,9 @@ fingerprint is dealt out once per choice of 8 - r bytes; those that agree on suc
 sorted run, where they are compared bit-sliced. A run holds distinct values that differ in r bytes only,
 so it has at most 2**(8 r) members (65,536 for r = 2), however large a group of copies is.
 
-A radius that few bits allow finds hardly more than exact copies. `similar` therefore has wide fingerprints, of
-the set of five-word shingles: texts of similarity 0.8 differ in 15 % of the bits. Rows that agree on a band of 16
-bits meet, and 256 other bits, compared bit-sliced with the same counters, decide.
+A radius that few bits allow finds hardly more than exact copies. `similar` therefore takes the sets of five-word
+shingles. Texts that agree on a band of four MinHash values meet; that says only whom to compare. Every link is then
+checked against the exact similarity of the two texts' sets, so a document never goes on an estimate.
 """
 
 from __future__ import annotations
@@ -27,11 +27,13 @@ from certloom.llm.runtime import slices, stored
 from certloom.session import broadcast_if_small
 
 WORDS, SEED, RADIUS = 3, 42, 2
-# Of similarity 0.8: 39 of 256 bits differ on average (standard deviation 6), and one of 48 bands is equal with
-# probability 0.97. At 0.85 that is 33 bits and 0.996, at 0.6 it is 59 bits; unrelated texts differ in 128.
-WIDE_WORDS, WIDE_BITS, WIDE_RADIUS, BANDS = 5, 256, 48, 48
+WIDE_WORDS, WIDE_BITS, BANDS = 5, 256, 48
+# Sets of similarity 0.8 agree on one of 32 bands of 4 MinHash values with probability 1 - 5e-8. Of their 256 bits 39
+# differ on average (standard deviation 6), of unrelated texts 128: a radius of 80 only spares comparisons.
+SIMILARITY, GROUPS, ROWS, WIDE_RADIUS = 0.8, 32, 4, 80
 WORDS_OF = [f"w{k}" for k in range(WIDE_BITS // 64)]
 _RUN = 2048  # rows of a run that are compared with the rest at a time
+_SALT = 1000  # links of one text that are checked in one place
 _CHUNK = 50_000  # shingles, or pairs of a query and a block, that are held as arrays at a time
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -77,8 +79,16 @@ def wide_fingerprint(text: str | None, words: int = WIDE_WORDS, seed: int = SEED
     Repeated shingles count once, so that the share of differing bits follows the similarity of the sets.
     """
     bits = WIDE_BITS + 16 * BANDS
+    return _majority(shingle_set(text, words, seed), bits)
+
+
+def shingle_set(text: str | None, words: int = WIDE_WORDS, seed: int = SEED) -> np.ndarray:
+    """The distinct shingles of one whole text by hash, ascending."""
     found = list(_shingles(text, words, seed))
-    hashes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def _majority(hashes: np.ndarray, bits: int) -> np.ndarray:
     counts = np.zeros(bits, np.int64)
     for k in range(0, len(hashes), 255):
         mixed = _mixed(hashes[k : k + 255], bits // 64)
@@ -86,6 +96,21 @@ def wide_fingerprint(text: str | None, words: int = WIDE_WORDS, seed: int = SEED
     return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
 
 
+_KEYS = _mixed(np.array([SEED], np.uint64), 2 * GROUPS * ROWS)[0]
+
+
+def minhash_bands(hashes: np.ndarray) -> np.ndarray:
+    """GROUPS signed longs, each of ROWS MinHash values of a set; none for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    flips, factors = _KEYS[: GROUPS * ROWS], _KEYS[GROUPS * ROWS :] | np.uint64(1)
+    least = np.full(GROUPS * ROWS, _ALL)
+    for k in range(0, len(hashes), 512):
+        np.minimum(least, ((hashes[k : k + 512, None] ^ flips) * factors).min(0), out=least)
+    rows = np.ascontiguousarray(least.reshape(GROUPS, ROWS)).astype("<u8")
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), SEED) for r in rows], np.uint64).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, fp): the fingerprint as a signed long. Null texts count as empty."""
 
@@ -227,22 +252,25 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def wide_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, node, w0 to w3, bands): the wide fingerprint, its words to compare, their hash and the bands."""
+    """(id, node, t, n, w0 to w3, bands): hash of the shingle set, text, size of the set, its bits and MinHash bands."""
     words = WIDE_BITS // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [wide_fingerprint(t) for _, texts in slices(batch, "t") for t in texts]
-            found = np.array(rows, np.uint64).reshape(len(rows), -1)
-            bands = np.ascontiguousarray(found[:, words:]).view("<i2").ravel()
-            ends = np.arange(len(found) + 1, dtype=np.int32) * BANDS
-            columns = [batch.column("id"), *[pa.array(found[:, k].view(np.int64)) for k in range(words)], pa.ListArray.from_arrays(ends, pa.array(bands))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", *[f"w{k}" for k in range(words)], "bands"])
+            for first, texts in slices(batch, "t"):
+                sets = [shingle_set(t) for t in texts]
+                nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+                found = np.array([_majority(x, WIDE_BITS) for x in sets], np.uint64).reshape(len(sets), words)
+                bands = [minhash_bands(x) for x in sets]
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in bands]))).astype(np.int32)
+                columns = [batch.column("id").slice(first, len(texts)), pa.array(nodes), pa.array(texts, pa.string()), pa.array([len(x) for x in sets], pa.int64())]
+                columns += [*[pa.array(found[:, k].view(np.int64)) for k in range(words)], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bands)))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "node", "t", "n", *WORDS_OF, "bands"])
 
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("t"))
-    longs = [T.StructField(f"w{k}", T.LongType()) for k in range(words)]
-    schema = T.StructType([T.StructField("id", source.schema["id"].dataType), *longs, T.StructField("bands", T.ArrayType(T.ShortType()))])
-    return source.mapInArrow(run, schema).withColumn("node", F.xxhash64(*[f.name for f in longs])).withColumnRenamed("id", id_column)
+    longs = [T.StructField(c, T.LongType()) for c in ("n", *WORDS_OF)]
+    schema = [T.StructField("id", source.schema["id"].dataType), T.StructField("node", T.LongType()), T.StructField("t", T.StringType()), *longs]
+    return source.mapInArrow(run, T.StructType([*schema, T.StructField("bands", T.ArrayType(T.LongType()))])).withColumnRenamed("id", id_column)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
@@ -273,6 +301,28 @@ def _in_runs(prints: DataFrame) -> DataFrame:
     return prints.repartition("band", "part").sortWithinPartitions("band", "part", "node")
 
 
+def shared_runs(prints: DataFrame) -> DataFrame:
+    """(band, part, node, n, w0 to w3, centre) of the texts that share a band with others.
+
+    `centre` is the member nearest to the majority of the run's bits: in a family around one original the original.
+    """
+    names = ["band", "part", "node", "n", *WORDS_OF]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, new in _runs(batches, names):
+            values = np.stack([rows[w].view(np.uint64) for w in WORDS_OF], 1)
+            centre = np.zeros(len(values), np.int64)
+            for s, e in zip(new.tolist(), [*new[1:].tolist(), len(values)]):
+                own, at = values[s:e], 0
+                if e - s > 2:
+                    counts = sum(np.unpackbits(own[k : k + _CHUNK].view(np.uint8), axis=1).sum(0, dtype=np.int64) for k in range(0, e - s, _CHUNK))
+                    at = int(np.bitwise_count(own ^ np.packbits(counts * 2 > e - s).view(np.uint64)).sum(1, dtype=np.int64).argmin())
+                centre[s:e] = rows["node"][s + at]
+            yield pa.RecordBatch.from_arrays([*[pa.array(rows[c]) for c in names], pa.array(centre)], [*names, "centre"])
+
+    return _in_runs(prints.select("node", "n", *WORDS_OF, "bands")).mapInArrow(run, f"band int, part long, node long, n long, {', '.join(f'{w} long' for w in WORDS_OF)}, centre long")
+
+
 def band_links(prints: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
     """(a, b) pairs of `node`s that share a band and differ in at most `radius` bits; a pair may come several times.
 
@@ -302,7 +352,7 @@ def band_links(prints: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
                     q = queries[k : k + step]
                     differ = np.bitwise_count(values[s:e][None] ^ values[s + q][:, None]).sum(2, dtype=np.int64)
                     near = (differ <= radius) & (which[q][:, None] != which[None]) & (~asks[None] | (every[None] > q[:, None]))
-                    near &= np.minimum(n[s:e][None], n[s + q][:, None]) >= 0.8 * np.maximum(n[s:e][None], n[s + q][:, None]) - 1e-6
+                    near &= np.minimum(n[s:e][None], n[s + q][:, None]) >= SIMILARITY * np.maximum(n[s:e][None], n[s + q][:, None]) - 1e-6
                     i, j = np.nonzero(near)
                     left.append(node[s + q[i]])
                     right.append(node[s + j])
@@ -316,16 +366,52 @@ def band_links(prints: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
     return _in_runs(prints.select("node", *WORDS_OF, *have, *rest)).mapInArrow(run, "a long, b long")
 
 
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The (a, b) `pairs` whose texts, in `texts` by `node`, have shingle sets of similarity SIMILARITY or more.
+
+    A text with many pairs is dealt out again for every _SALT of them.
+    """
+    pairs = stored(pairs.where("a <> b").distinct(), "pairs")
+    salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / _SALT).cast("int").alias("salts"))
+    salted = pairs.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
+    of = texts.join(salts, F.col("node") == F.col("b")).select("b", F.col("t").alias("u"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
+        for batch in batches:
+            a, b, t, u = (batch.column(c) for c in ("a", "b", "t", "u"))
+            kept = []
+            for row, node in enumerate(b.to_pylist()):
+                if node != last:
+                    last, own = node, shingle_set(u[row].as_py())
+                other = shingle_set(t[row].as_py())
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                # In whole numbers: common / united >= SIMILARITY.
+                kept.append(100 * both >= round(100 * SIMILARITY) * (len(own) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([a.filter(pa.array(kept, pa.bool_())), b.filter(pa.array(kept, pa.bool_()))], ["a", "b"])
+
+    first = salted.join(texts.select(F.col("node").alias("a"), "t"), "a")
+    return first.join(of, ["b", "salt"]).select("a", "b", "t", "u").sortWithinPartitions("b").mapInArrow(run, "a long, b long")
+
+
 def similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = WIDE_RADIUS) -> DataFrame:
-    """One row per row of `docs`: id and component_id, the least id reachable by links between wide fingerprints.
+    """One row per row of `docs`: id and component_id, the least id reachable by links between similar texts.
 
-    Equal texts are always linked, and texts without words with each other. Texts of fewer than five words are
-    one shingle. Null and repeated ids and other columns are treated as by `near_duplicates`.
+    A link is a similarity (common by united five-word shingles) of SIMILARITY or more, computed exactly. First the
+    members of each run are checked against its centre; then all pairs of a run which that has not tied. Texts of
+    fewer than five words are one shingle, and those without words are equal. Null and repeated ids and other
+    columns are treated as by `near_duplicates`.
     """
     prints = stored(wide_fingerprints(docs, id_column, text_column), "wide")
-    rest = [c for c in prints.columns if c not in (id_column, "node")]
-    distinct = prints.groupBy("node").agg(F.min(id_column).alias("first"), *[F.first(c).alias(c) for c in rest])
-    return _classes(prints.select(id_column, "node"), distinct.select("node", "first"), band_links(distinct, radius)).select(id_column, "component_id")
+    distinct = prints.groupBy("node").agg(F.min(id_column).alias("first"), *[F.first(c).alias(c) for c in ("n", *WORDS_OF, "bands")])
+    runs = stored(shared_runs(distinct), "runs")
+    met = runs.select("node").distinct()
+    texts = stored(prints.join(met, "node", "left_semi").groupBy("node").agg(F.min("t").alias("t")), "texts")
+    tied = stored(verified(runs.select(F.col("node").alias("a"), F.col("centre").alias("b")), texts), "tied")
+    roots = components(tied).select(F.col("node").alias("of"), "root")
+    rooted = runs.drop("centre").join(roots, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node")).drop("of")
+    more = stored(verified(band_links(rooted, radius), texts), "tied")
+    return _classes(prints.select(id_column, "node"), distinct.select("node", "first"), tied.union(more)).select(id_column, "component_id")
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = WIDE_RADIUS) -> DataFrame:

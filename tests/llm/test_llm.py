@@ -168,6 +168,49 @@ def test_a_star_of_texts_far_from_each_other_is_one_class(spark, monkeypatch):
     assert set(components.components(simhash.band_links(made, 48)).select("root").toPandas()["root"]) == {0}
 
 
+def plain_sets(texts):
+    """Least index of each text's group by the exact similarity of five-word shingle sets, all pairs."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    grams = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in split]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for b in range(len(texts)):
+        for a in range(b):
+            common = len(grams[a] & grams[b])
+            if grams[a] == grams[b] or 10 * common >= 8 * (len(grams[a]) + len(grams[b]) - common):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in range(len(texts))}
+
+
+def test_similar_equals_exact_similarity(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = [None, "", "one two", "One  two"]
+    for _ in range(25):
+        base = [word() for _ in range(rng.choice([9, 40, 120, 300]))]
+        texts.append(" ".join(base))
+        for changed in (0.01, 0.02, 0.022, 0.025, 0.03, 0.04, 0.06):  # similarities from 0.9 down to 0.5, mostly near 0.8
+            copy = list(base)
+            for k in rng.sample(range(len(copy)), max(1, round(changed * len(copy)))):
+                copy[k] = word()
+            texts.append(" ".join(copy))
+    original = [word() for _ in range(250)]  # a family around one original, its members less similar to each other
+    for _ in range(60):
+        copy = list(original)
+        for k in rng.sample(range(250), 5):
+            copy[k] = word()
+        texts.append(" ".join(copy))
+    texts.append(" ".join(original))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(frame(spark, texts)).collect()}
+    assert got == plain_sets(texts)
+
+
 @pytest.mark.parametrize("radius", [7, 48])
 def test_wide_near_pairs_equal_all_pairs(radius):
     rng = np.random.default_rng(radius)
