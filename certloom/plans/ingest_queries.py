@@ -453,7 +453,7 @@ def _(spark, sf):
 
 @query("g4_dedupe_union", COPIED + f""", both_ AS (SELECT *, 0 AS s FROM certs WHERE seen_at < {JAN_15}
   UNION ALL SELECT *, 1 FROM certs WHERE seen_at >= {JAN_10})
-  SELECT {FLAT} FROM both_ QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY s, seen_at, cert_index) = 1""")
+  SELECT {FLAT} FROM both_ QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY s, seen_at, log_url, cert_index) = 1""")
 def _(spark, sf):
     c = derived.copied_certs(spark, sf)
     return flat(tables.dedupe_union(c.filter(F.col("seen_at") < JAN_15), c.filter(F.col("seen_at") >= JAN_10)))

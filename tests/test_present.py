@@ -31,6 +31,6 @@ def test_csv_quoting(certs, tmp_path):
     by_issuer = {r[3]: r for r in read}
     quoted = by_issuer['Quote "Q", Inc']
     assert quoted[1] == "a.com; b.com" and quoted[5] == " padded " and quoted[9] == ""
-    assert quoted[6] == "2023-11-14T22:13:20.000Z"
+    assert quoted[6] == "2022-01-01T00:00:00.000Z"
     assert '"Quote ""Q"", Inc"' in text and "Line\nbreak" in by_issuer
     assert ',"",' not in text
