@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from certloom.llm import decontaminate, language, packing, pages, pii, quality, shards, simhash, syncmers, token_counts
+from certloom.llm import alignment, decontaminate, language, merkle, merkle_sql, packing, pages, pii, quality, shards, simhash, syncmers, token_counts
 from certloom.llm.runtime import fold
 
 
@@ -60,6 +60,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, field).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_shards,
         op9_decontamination,
         op10_quality,
+        op11_merkle,
+        op12_alignment,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_merkle": merkle_sql.MANIFEST}
