@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,70 +25,112 @@ from certloom.llm import byte_ids
 from certloom.llm.runtime import slices, stored
 
 PIECES = "piece_bpe_32k.model"
-SLICE = 4_000_000  # characters that are merged together
+SLICE = 2_000_000  # characters that are merged together
 CACHE = 300_000  # words kept per Python worker, some 60 MB
 FREQUENT = 1 << 20  # pairs at most that every task gets whole, at 17 bytes each
 _WIDE = 4096  # links of one group beyond which equal ids are counted before they are paired
 
 
-class Pieces:
-    """Piece ids as little-endian unsigned 32-bit bytes; None for a text whose pieces do not spell it.
+class Pair:
+    """Both tokenizers, with the byte lengths and printed forms of their ids.
 
-    No piece reaches over a space, so a text without leading, closing and repeated spaces is its words, which repeat.
+    No token of either reaches over a single space between other characters, so a text without leading, closing and
+    repeated spaces is its words, each with the space before it. Words repeat: their ids are kept in a bounded
+    table, and the words that a slice does not know yet are encoded in one call, laid end to end.
     """
 
-    def __init__(self, name: str = PIECES):
-        self.model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
+    def __init__(self, a: str = byte_ids.NAME, b: str = PIECES):
+        self.plain = byte_ids.Encoder(a).plain
+        self.model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(b))
+        ranks = {i: spelt for spelt, i in self.plain._mergeable_ranks.items()}
         ids = range(self.model.get_piece_size())
-        self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace("▁", " ").encode() for k, p in zip(ids, map(self.model.id_to_piece, ids))]
-        self.words: dict[str, bytes | None] = {}
-
-    def whole(self, text: str) -> bytes | None:
-        ids = self.model.encode(text)
-        spelt = b"".join(map(self.bytes.__getitem__, ids)) == b" " + text.encode()
-        return np.array(ids, "<u4").tobytes() if spelt else None
-
-    def __call__(self, text: str) -> bytes | None:
-        words = text.split(" ")
-        if "" in words:
-            return self.whole(text)
-        known = self.words
-        unknown = set(words).difference(known)
-        if unknown:
-            if len(known) > CACHE:
-                known.clear()
-                unknown = set(words)
-            for word in unknown:
-                known[word] = self.whole(word)
-        parts = [known[w] for w in words]
-        return self.whole(text) if None in parts else b"".join(parts)
-
-
-class Pair:
-    """Both tokenizers, with the byte lengths and printed forms of their ids."""
-
-    def __init__(self, a: str, b: str):
-        self.a, self.b = byte_ids.Encoder(a), Pieces(b)
-        self.a.added = []  # strings of special tokens are plain text
-        ranks = {v: k for k, v in self.a.plain._mergeable_ranks.items()}
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace("▁", " ").encode() for k, p in zip(ids, map(self.model.id_to_piece, ids))]
         self.a_sizes = np.array([len(ranks.get(k, b"")) for k in range(max(ranks) + 1)], np.int64)
-        self.b_sizes = np.array([len(p) for p in self.b.bytes], np.int64)
-        shown = [str(k) for k in range(max(len(self.a_sizes), len(self.b_sizes)))]
+        self.b_sizes = np.array([len(p) for p in self.b_bytes], np.int64)
         na, nb = len(self.a_sizes), len(self.b_sizes)
-        # Within a side, at its end, within the other, at its end.
+        shown = [str(k) for k in range(max(na, nb))]
+        # An id within its side, at the end of A's side, within the other side, at the end of a group.
         self.shown = [s + "," for s in shown[:na]] + [s + "|" for s in shown[:na]] + [s + "," for s in shown[:nb]] + [s + ";" for s in shown[:nb]]
-
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """Ids of both, or none at all where they do not spell the text with a space before it."""
-        if not text:
-            return b"", b""
-        b = self.b(text)
-        if b is None:
-            return b"", b""
-        a = self.a(" " + text)
-        if self.a_sizes[np.frombuffer(a, "<u4")].sum() != len(text.encode()) + 1:
-            return b"", b""
-        return a, b
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.ids = [np.zeros(0, np.int64)] * 2
+        self.cuts = [np.zeros(1, np.int64)] * 2  # where each word's ids begin, and the end
+
+    def _spelt(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of both for a whole text, None if either does not spell it with a space before it."""
+        b = self.model.encode(text)
+        want = b" " + text.encode()
+        if b"".join(map(self.b_bytes.__getitem__, b)) != want:
+            return None
+        a = np.array(self.plain.encode_ordinary(" " + text), np.int64)
+        return (a, np.array(b, np.int64)) if self.a_sizes[a].sum() == len(want) else None
+
+    def _counted(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids end to end, ids of each word) of A and of B; words that are not spelt for themselves have none."""
+        together = self._spelt(" ".join(words))
+        if together is not None:
+            ends = np.cumsum([len(w.encode()) + 1 for w in words])
+            pieces = zip(together, (self.a_sizes, self.b_sizes))
+            return [(ids, np.diff(np.searchsorted(np.cumsum(sizes[ids]), ends) + 1, prepend=0)) for ids, sizes in pieces]
+        if len(words) == 1:
+            return [(np.zeros(0, np.int64), np.zeros(1, np.int64))] * 2
+        half = len(words) // 2
+        return [tuple(map(np.concatenate, zip(x, y))) for x, y in zip(self._counted(words[:half]), self._counted(words[half:]))]
+
+    def _learn(self, words: list[str]) -> None:
+        """Adds the ids of unknown words."""
+        if len(self.index) > CACHE:
+            self._forget()
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
+        for k, (ids, counts) in enumerate(self._counted(words)):
+            self.cuts[k] = np.concatenate((self.cuts[k], len(self.ids[k]) + np.cumsum(counts)))
+            self.ids[k] = np.concatenate((self.ids[k], ids))
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids of all texts end to end, ids of each text) of A and of B; a text that either does not spell has none."""
+        words, counts, whole = [], np.zeros(len(texts), np.int64), {}
+        for k, text in enumerate(texts):
+            own = text.split(" ")
+            if "" in own:
+                whole[k] = self._spelt(text) if text else None
+            else:
+                words += own
+                counts[k] = len(own)
+        unknown = set(words).difference(self.index)
+        if unknown:
+            if len(self.index) > CACHE:
+                unknown = set(words)
+            self._learn(list(unknown))
+        code = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        text_of = np.repeat(np.arange(len(texts)), counts)
+        lengths = [self.cuts[k][code + 1] - self.cuts[k][code] for k in (0, 1)]
+        # A word that is not spelt for itself may be so within its text.
+        for k in np.unique(text_of[lengths[0] == 0]).tolist():
+            whole[k] = self._spelt(texts[k])
+        found = []
+        for k in (0, 1):
+            n = lengths[k]
+            at = np.repeat(self.cuts[k][code] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            ids, size = self.ids[k][at], np.bincount(text_of, weights=n, minlength=len(texts)).astype(np.int64)
+            if whole:
+                parts = np.split(ids, np.cumsum(size)[:-1])
+                for j, spelt in whole.items():
+                    parts[j] = spelt[k] if spelt else ids[:0]
+                ids, size = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+            found.append((ids, size))
+        return found
+
+
+_PAIRS: dict[tuple[str, str], Pair] = {}
+
+
+def pair_of(a: str, b: str) -> Pair:
+    """One pair per Python worker and files."""
+    if (a, b) not in _PAIRS:
+        _PAIRS[a, b] = Pair(a, b)
+    return _PAIRS[a, b]
 
 
 def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, counts_a: np.ndarray, counts_b: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -148,10 +191,9 @@ def _linked(groups: tuple[np.ndarray, ...], ids_a: np.ndarray, ids_b: np.ndarray
 
 def aligned(texts: list[str], pair: Pair) -> list[np.ndarray | list]:
     """Per text: n_a, n_b, n_groups, n_links, the groups as text; and the id pairs of all texts with where each begins."""
-    encoded = [pair.encode(t) for t in texts]
-    ids_a, ids_b = (np.frombuffer(b"".join(e[k] for e in encoded), "<u4").astype(np.int64) for k in (0, 1))
-    counts_a, counts_b = (np.array([len(e[k]) // 4 for e in encoded], np.int64) for k in (0, 1))
-    groups = lockstep(np.cumsum(pair.a_sizes[ids_a]), np.cumsum(pair.b_sizes[ids_b]), counts_a, counts_b)
+    (ids_a, counts_a), (ids_b, counts_b) = pair.encode(texts)
+    ends = (np.cumsum(sizes[ids]).astype(np.int32) for sizes, ids in ((pair.a_sizes, ids_a), (pair.b_sizes, ids_b)))
+    groups = lockstep(*ends, counts_a, counts_b)
     first_a, last_a, first_b, last_b = groups
     owner = np.searchsorted(np.cumsum(counts_a), first_a, side="right")
     n_groups = np.bincount(owner, minlength=len(texts))
@@ -182,8 +224,10 @@ def alignments(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     names = ["row", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "links", *(["groups"] if with_groups else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = Pair(a, b)
+        pair = pair_of(a, b)
         for batch in batches:
+            # Texts of like length go together, so that a slice does not wait for its longest.
+            batch = batch.take(pa.compute.sort_indices(pa.compute.binary_length(batch.column("t"))))
             for first, texts in slices(batch, "t", SLICE):
                 *counts, spelt, keys, links, starts = aligned(texts, pair)
                 cut = [(int(s), int(e)) for s, e in zip(starts[:-1], starts[1:])]
@@ -235,7 +279,7 @@ def align(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     Pairs in many documents, at most `frequent` of them, are looked up in each task; a document's other pairs are
     shuffled to their counts, and each of those has fewer documents than any frequent pair.
     """
-    width = len(Pieces(b).bytes)
+    width = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(b)).get_piece_size()
     found = stored(alignments(docs, id_column, text_column, a, b), "aligned")
     counts = stored(pair_counts(found, width), "counts")
     least = _frequent_from(counts, frequent)
