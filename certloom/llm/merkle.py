@@ -92,16 +92,19 @@ def _step(kids: Column, slot: Column) -> Column:
     return F.struct(left.alias("left"), right.alias("right"))
 
 
-def ways(nodes: DataFrame, parents: list[DataFrame], tops: DataFrame, arity: int = ARITY) -> DataFrame:
+def ways(nodes: DataFrame, parents: list[DataFrame], tops: DataFrame | None = None, arity: int = ARITY) -> DataFrame:
     """`nodes` with `path`, the steps from the node up, and the other columns of `tops`.
 
-    `tops` has for every group the path of its single topmost node. A node joins its parent by a computed index.
+    `tops` has for every group the path of its single topmost node, which without it has no step to go. A node
+    joins its parent by a computed index.
     """
+    extra = [c for c in tops.columns if c not in ("g", "path")] if tops is not None else []
     above: DataFrame | None = None
     for level in [*reversed(parents), nodes]:
-        alone = level.where("n = 1").join(tops, "g")
+        alone = level.where("n = 1")
+        alone = alone.join(tops, "g") if tops is not None else alone.withColumn("path", F.array().cast(f"array<{STEP}>"))
         if above is not None:
-            up = above.select("g", F.col("i").alias("up"), F.col("kids").alias("run"), "path", *[c for c in tops.columns if c not in ("g", "path")])
+            up = above.select("g", F.col("i").alias("up"), F.col("kids").alias("run"), "path", *extra)
             slot = (F.col("i") % arity).cast("int")
             below = level.where("n > 1").withColumn("up", F.expr(f"i div {arity}")).join(up, ["g", "up"])
             below = below.withColumn("path", F.concat(F.array(_step(F.col("run"), slot)), "path"))
@@ -145,9 +148,7 @@ def manifest(docs: DataFrame, id_column: str = "doc_id", fields: tuple[str, ...]
     upper = levels(groups, arity)
     # The root is one digest.
     top = (upper[-1] if upper else groups).select("h").first()
-    empty = F.array().cast(f"array<{STEP}>")
-    roots = subroots.select(F.lit("").alias("g")).limit(1).select("g", empty.alias("path"))
-    placed = ways(groups, upper, roots, arity).select(F.col("name").alias("g"), F.col("h").alias("subroot"), "path")
+    placed = ways(groups, upper, arity=arity).select(F.col("name").alias("g"), F.col("h").alias("subroot"), "path")
     shown = ways(nodes, parents, stored(placed, "tops"), arity)
     root = F.lit(top[0] if top else None).cast("string")
     again = folded(F.coalesce("tampered", "h"), F.col("path"))
