@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from certloom.llm import alignment, decontaminate, language, merkle, merkle_sql, packing, pages, pii, quality, shards, simhash, syncmers, token_counts
+from certloom.llm import alignment, decontaminate, jaccard_join, language, merkle, merkle_sql, packing, pages, pii, quality, shards, simhash, syncmers, token_counts
 from certloom.llm.runtime import fold
 
 
@@ -68,6 +68,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_sets(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_quality,
         op11_merkle,
         op12_alignment,
+        op13_jaccard_join,
     )
 }
 ORACLES: dict[str, str] = {"op11_merkle": merkle_sql.MANIFEST}
