@@ -17,7 +17,7 @@ from certloom.llm.runtime import slices
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15  # of all orders together; bucket 0 takes what crosses the end of a text and counts nothing
 MAX_LANGUAGES = 256  # with BUCKETS, the bound of the broadcast matrix: 32 MiB
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")  # letters, and signs such as fractions and Roman numerals, which are none
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,8 +91,12 @@ def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang")
     return Model(names, weights.astype(np.float32), prior)
 
 
+def _has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def _predicted(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
-    named = [bool(model.languages) and _LETTER.search(t) is not None for t in texts]
+    named = [bool(model.languages) and _has_letter(t) for t in texts]
     if not any(named):
         return ["und"] * len(texts), [0.0] * len(texts)
     scores = model.scores(texts)

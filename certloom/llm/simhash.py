@@ -4,10 +4,6 @@ Fingerprints that differ in at most r bits agree on at least 8 - r of their 8 by
 fingerprint is dealt out once per choice of 8 - r bytes; those that agree on such a choice meet in one
 sorted run, where they are compared bit-sliced. A run holds distinct values that differ in r bytes only,
 so it has at most 2**(8 r) members (65,536 for r = 2), however large a group of copies is.
-
-A radius that few bits allow finds hardly more than exact copies. `similar` therefore takes the sets of five-word
-shingles. Texts that agree on a band of four MinHash values meet; that says only whom to compare. Every link is then
-checked against the exact similarity of the two texts' sets, so a document never goes on an estimate.
 """
 
 from __future__ import annotations
@@ -18,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,13 +23,6 @@ from certloom.llm.runtime import slices, stored
 from certloom.session import broadcast_if_small
 
 WORDS, SEED, RADIUS = 3, 42, 2
-WIDE_WORDS, WIDE_BITS, BANDS = 5, 256, 48
-# Sets of similarity 0.8 agree on one of 32 bands of 4 MinHash values with probability 1 - 5e-8. Of their 256 bits 39
-# differ on average (standard deviation 6), of unrelated texts 128: a radius of 80 only spares comparisons.
-SIMILARITY, GROUPS, ROWS, WIDE_RADIUS = 0.8, 32, 4, 80
-WORDS_OF = [f"w{k}" for k in range(WIDE_BITS // 64)]
-_RUN = 2048  # rows of a run that are compared with the rest at a time
-_SALT = 1000  # links of one text that are checked in one place
 _CHUNK = 50_000  # shingles, or pairs of a query and a block, that are held as arrays at a time
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -65,52 +54,12 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def _mixed(hashes: np.ndarray, n: int) -> np.ndarray:
-    """`n` independent words for each hash: steps of a Weyl sequence, finished by two multiplications."""
-    x = hashes[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def wide_fingerprint(text: str | None, words: int = WIDE_WORDS, seed: int = SEED) -> np.ndarray:
-    """WIDE_BITS bits and then BANDS bands of 16 bits of one whole text, as words; zero if it has no words.
-
-    Repeated shingles count once, so that the share of differing bits follows the similarity of the sets.
-    """
-    bits = WIDE_BITS + 16 * BANDS
-    return _majority(shingle_set(text, words, seed), bits)
-
-
-def shingle_set(text: str | None, words: int = WIDE_WORDS, seed: int = SEED) -> np.ndarray:
+def shingle_set(text: str | None, words: int = WORDS, seed: int = SEED) -> np.ndarray:
     """The distinct shingles of one whole text by hash, ascending."""
     found = list(_shingles(text, words, seed))
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
-def _majority(hashes: np.ndarray, bits: int) -> np.ndarray:
-    counts = np.zeros(bits, np.int64)
-    for k in range(0, len(hashes), 255):
-        mixed = _mixed(hashes[k : k + 255], bits // 64)
-        counts += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)  # at most 255
-    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
-
-
-_KEYS = _mixed(np.array([SEED], np.uint64), 2 * GROUPS * ROWS)[0]
-
-
-def minhash_bands(hashes: np.ndarray) -> np.ndarray:
-    """GROUPS signed longs, each of ROWS MinHash values of a set; none for an empty set."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    flips, factors = _KEYS[: GROUPS * ROWS], _KEYS[GROUPS * ROWS :] | np.uint64(1)
-    least = np.full(GROUPS * ROWS, _ALL)
-    for k in range(0, len(hashes), 512):
-        np.minimum(least, ((hashes[k : k + 512, None] ^ flips) * factors).min(0), out=least)
-    rows = np.ascontiguousarray(least.reshape(GROUPS, ROWS)).astype("<u8")
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), SEED) for r in rows], np.uint64).view(np.int64)
-
-
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, fp): the fingerprint as a signed long. Null texts count as empty."""
 
@@ -251,181 +200,31 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return classes.select(id_column, F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, node, t, n, w0 to w3, bands): hash of the shingle set, text, size of the set, its bits and MinHash bands."""
-    words = WIDE_BITS // 64
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, texts in slices(batch, "t"):
-                sets = [shingle_set(t) for t in texts]
-                nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-                found = np.array([_majority(x, WIDE_BITS) for x in sets], np.uint64).reshape(len(sets), words)
-                bands = [minhash_bands(x) for x in sets]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in bands]))).astype(np.int32)
-                columns = [batch.column("id").slice(first, len(texts)), pa.array(nodes), pa.array(texts, pa.string()), pa.array([len(x) for x in sets], pa.int64())]
-                columns += [*[pa.array(found[:, k].view(np.int64)) for k in range(words)], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bands)))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "node", "t", "n", *WORDS_OF, "bands"])
-
-    source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("t"))
-    longs = [T.StructField(c, T.LongType()) for c in ("n", *WORDS_OF)]
-    schema = [T.StructField("id", source.schema["id"].dataType), T.StructField("node", T.LongType()), T.StructField("t", T.StringType()), *longs]
-    return source.mapInArrow(run, T.StructType([*schema, T.StructField("bands", T.ArrayType(T.LongType()))])).withColumnRenamed("id", id_column)
-
-
-def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
-    """(columns, first rows of the runs) for rows sorted by band and part, without runs of one row."""
-    held = None
-    for batch in batches:
-        rows = {c: batch.column(c).to_numpy() for c in names}
-        held = {c: np.concatenate((held[c], rows[c])) for c in names} if held else rows
-        new = np.flatnonzero(np.concatenate(([True], (held["band"][1:] != held["band"][:-1]) | (held["part"][1:] != held["part"][:-1]))))
-        if len(held["band"]) and new[-1]:  # The last run may go on in the next rows.
-            yield _longer({c: x[: new[-1]] for c, x in held.items()}, new[:-1])
-            held = {c: x[new[-1] :] for c, x in held.items()}
-    if held and len(held["band"]):
-        yield _longer(held, np.zeros(1, np.int64))
-
+def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of `docs` without near-duplicates (`near_duplicates`): of each component one row stays.
 
-def _longer(rows: dict[str, np.ndarray], new: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    sizes = np.diff(np.append(new, len(rows["band"])))
-    kept = np.repeat(sizes > 1, sizes)
-    sizes = sizes[sizes > 1]
-    return {c: x[kept] for c, x in rows.items()}, np.cumsum(sizes) - sizes
-
-
-def _in_runs(prints: DataFrame) -> DataFrame:
-    """One row per text and band, those of one band value together."""
-    if "bands" in prints.columns:
-        prints = prints.select(*[c for c in prints.columns if c != "bands"], F.posexplode("bands").alias("band", "part"))
-    return prints.repartition("band", "part").sortWithinPartitions("band", "part", "node")
-
-
-def shared_runs(prints: DataFrame) -> DataFrame:
-    """(band, part, node, n, w0 to w3, centre) of the texts that share a band with others.
-
-    `centre` is the member nearest to the majority of the run's bits: in a family around one original the original.
-    """
-    names = ["band", "part", "node", "n", *WORDS_OF]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, new in _runs(batches, names):
-            values = np.stack([rows[w].view(np.uint64) for w in WORDS_OF], 1)
-            centre = np.zeros(len(values), np.int64)
-            for s, e in zip(new.tolist(), [*new[1:].tolist(), len(values)]):
-                own, at = values[s:e], 0
-                if e - s > 2:
-                    counts = sum(np.unpackbits(own[k : k + _CHUNK].view(np.uint8), axis=1).sum(0, dtype=np.int64) for k in range(0, e - s, _CHUNK))
-                    at = int(np.bitwise_count(own ^ np.packbits(counts * 2 > e - s).view(np.uint64)).sum(1, dtype=np.int64).argmin())
-                centre[s:e] = rows["node"][s + at]
-            yield pa.RecordBatch.from_arrays([*[pa.array(rows[c]) for c in names], pa.array(centre)], [*names, "centre"])
-
-    return _in_runs(prints.select("node", "n", *WORDS_OF, "bands")).mapInArrow(run, f"band int, part long, node long, n long, {', '.join(f'{w} long' for w in WORDS_OF)}, centre long")
-
-
-def band_links(prints: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
-    """(a, b) pairs of `node`s that share a band and differ in at most `radius` bits; a pair may come several times.
-
-    Every row of a run meets all others, however long the run, but for those that column `root` (if there is one)
-    shows to be tied already, and those whose sets differ too much in size (`n`, if there is one) to be similar.
-    """
-    have = [c for c in ("n", "root") if c in prints.columns]
-    names = ["band", "part", "node", *WORDS_OF, *have]
-    rest = ["bands"] if "bands" in prints.columns else ["band", "part"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, new in _runs(batches, names):
-            values = np.stack([rows[w].view(np.uint64) for w in WORDS_OF], 1)
-            node, root = rows["node"], rows.get("root", rows["node"])
-            n = rows.get("n", np.ones(len(node), np.int64))
-            left, right, held = [], [], 0
-            for s, e in zip(new.tolist(), [*new[1:].tolist(), len(node)]):
-                roots, which, counts = np.unique(root[s:e], return_inverse=True, return_counts=True)
-                if len(roots) == 1:
-                    continue
-                # Rows of the greatest class need not meet each other, so only the rest is compared with all.
-                asks = which != counts.argmax()
-                every = np.arange(e - s)
-                queries = np.flatnonzero(asks)
-                step = max(1, min(_RUN, (1 << 20) // (e - s)))
-                for k in range(0, len(queries), step):
-                    q = queries[k : k + step]
-                    differ = np.bitwise_count(values[s:e][None] ^ values[s + q][:, None]).sum(2, dtype=np.int64)
-                    near = (differ <= radius) & (which[q][:, None] != which[None]) & (~asks[None] | (every[None] > q[:, None]))
-                    near &= np.minimum(n[s:e][None], n[s + q][:, None]) >= SIMILARITY * np.maximum(n[s:e][None], n[s + q][:, None]) - 1e-6
-                    i, j = np.nonzero(near)
-                    left.append(node[s + q[i]])
-                    right.append(node[s + j])
-                    held += len(i)
-                    if held > _CHUNK:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
-                        left, right, held = [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
-
-    return _in_runs(prints.select("node", *WORDS_OF, *have, *rest)).mapInArrow(run, "a long, b long")
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The (a, b) `pairs` whose texts, in `texts` by `node`, have shingle sets of similarity SIMILARITY or more.
-
-    A text with many pairs is dealt out again for every _SALT of them.
-    """
-    pairs = stored(pairs.where("a <> b").distinct(), "pairs")
-    salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / _SALT).cast("int").alias("salts"))
-    salted = pairs.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
-    of = texts.join(salts, F.col("node") == F.col("b")).select("b", F.col("t").alias("u"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
-        for batch in batches:
-            a, b, t, u = (batch.column(c) for c in ("a", "b", "t", "u"))
-            kept = []
-            for row, node in enumerate(b.to_pylist()):
-                if node != last:
-                    last, own = node, shingle_set(u[row].as_py())
-                other = shingle_set(t[row].as_py())
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                # In whole numbers: common / united >= SIMILARITY.
-                kept.append(100 * both >= round(100 * SIMILARITY) * (len(own) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([a.filter(pa.array(kept, pa.bool_())), b.filter(pa.array(kept, pa.bool_()))], ["a", "b"])
-
-    first = salted.join(texts.select(F.col("node").alias("a"), "t"), "a")
-    return first.join(of, ["b", "salt"]).select("a", "b", "t", "u").sortWithinPartitions("b").mapInArrow(run, "a long, b long")
-
-
-def similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = WIDE_RADIUS) -> DataFrame:
-    """One row per row of `docs`: id and component_id, the least id reachable by links between similar texts.
-
-    A link is a similarity (common by united five-word shingles) of SIMILARITY or more, computed exactly. First the
-    members of each run are checked against its centre; then all pairs of a run which that has not tied. Texts of
-    fewer than five words are one shingle, and those without words are equal. Null and repeated ids and other
-    columns are treated as by `near_duplicates`.
-    """
-    prints = stored(wide_fingerprints(docs, id_column, text_column), "wide")
-    distinct = prints.groupBy("node").agg(F.min(id_column).alias("first"), *[F.first(c).alias(c) for c in ("n", *WORDS_OF, "bands")])
-    runs = stored(shared_runs(distinct), "runs")
-    met = runs.select("node").distinct()
-    texts = stored(prints.join(met, "node", "left_semi").groupBy("node").agg(F.min("t").alias("t")), "texts")
-    tied = stored(verified(runs.select(F.col("node").alias("a"), F.col("centre").alias("b")), texts), "tied")
-    roots = components(tied).select(F.col("node").alias("of"), "root")
-    rooted = runs.drop("centre").join(roots, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node")).drop("of")
-    more = stored(verified(band_links(rooted, radius), texts), "tied")
-    return _classes(prints.select(id_column, "node"), distinct.select("node", "first"), tied.union(more)).select(id_column, "component_id")
-
-
-def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = WIDE_RADIUS) -> DataFrame:
-    """The rows of `docs` without near-duplicates (`similar`): of each component the row with the least id stays.
-
-    Rows without an id stay. Of rows with one id only one stays, whichever their texts.
+    That is the row with the least id, rows without an id last, and of rows with one id the one with the least text
+    hash. So rows with one id and texts that are not linked all stay, and of equal rows one.
     """
-    found = stored(similar(docs, id_column, text_column, radius), "classes").where(F.col(id_column).isNotNull())
-    width = F.lit(16)
-    lost = found.where(F.col(id_column) != F.col("component_id")).select(id_column).distinct()
-    kept = docs.join(broadcast_if_small(lost, width), id_column, "left_anti").select(*docs.columns)
-    again = found.groupBy(id_column).count().where("count > 1").select(id_column)
+    row = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("h"), F.col(text_column).alias("t"))
+    own = F.struct(F.col("id").isNull().alias("last"), "id", "h")
+    prints = stored(fingerprints(row.select(own.alias("own"), "t"), "own", "t").withColumnRenamed("fp", "node"), "prints")
+    distinct = stored(prints.groupBy("node").agg(F.min("own").alias("first")), "distinct")
+    classes = _classes(prints, distinct, links(distinct.select(F.col("node").alias("fp")), radius))
+    # A row is known by its id and its text's hash; those that go are mostly fewer than those that stay.
+    same = classes.groupBy("own").agg(F.min("component_id").alias("kept"), F.count(F.lit(1)).alias("m")).where("own <> kept OR m > 1")
+    same = stored(same.select("own.id", "own.h", (F.col("own") == F.col("kept")).alias("stays")), "same")
+    lost, again = same.where("NOT stays"), same.where("stays")
+
+    def among(rows: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
+        side = broadcast_if_small(chosen.select("id", "h"), F.lit(32)).alias("r")
+        return rows.alias("d").join(side, F.col(f"d.{id_column}").eqNullSafe(F.col("r.id")) & (F.xxhash64(f"d.{text_column}") == F.col("r.h")), how)
+
+    kept = among(docs, lost, "left_anti")
     if again.isEmpty():
         return kept
-    again = broadcast_if_small(again, width)
-    once = kept.join(again, id_column, "left_semi").select(*docs.columns).dropDuplicates([id_column])
-    return kept.join(again, id_column, "left_anti").select(*docs.columns).union(once)
+    # Rows of one id and one text: one of them stays, the first by their other columns.
+    rank, rest = "_".join(["rank", *docs.columns]), [F.col(c) for c in docs.columns]
+    first = F.row_number().over(Window.partitionBy(F.col(id_column), F.xxhash64(text_column)).orderBy(*rest))
+    once = among(kept, again, "left_semi").withColumn(rank, first).where(F.col(rank) == 1).select(*docs.columns)
+    return among(kept, again, "left_anti").unionByName(once)

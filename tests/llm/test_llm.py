@@ -57,7 +57,8 @@ def plain_print(text):
     return sum(1 << b for b, n in bits.items() if 2 * n > len(grams))
 
 
-def test_near_duplicates_equal_brute_force(spark, docs, texts):
+def plain_components(texts, radius=2):
+    """(fingerprint, least id reachable) of each text, by all pairs."""
     prints = {i: plain_print(t) for i, t in texts.items()}
     root = {i: i for i in prints}
 
@@ -69,156 +70,29 @@ def test_near_duplicates_equal_brute_force(spark, docs, texts):
     ids = sorted(prints)
     for a in ids:
         for b in ids:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 2:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= radius:
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op1_simhash(spark, SF).collect()}
-    assert got == {i: (f"{prints[i]:016x}", find(i)) for i in ids}
+    return {i: (prints[i], find(i)) for i in ids}
 
 
-def plain_wide(text):
-    """(bits to compare, bands) of a text's set of five-word shingles."""
-    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    grams = {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
-    counts, mask = [0] * 1024, (1 << 64) - 1
-    for g in grams:
-        for k in range(16):
-            x = (xxhash.xxh64_intdigest(g, 42) + (k + 1) * 0x9E3779B97F4A7C15) & mask
-            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
-            x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
-            x ^= x >> 31
-            for b in range(64):
-                counts[64 * k + b] += x >> b & 1
-    value = sum(1 << b for b, n in enumerate(counts) if 2 * n > len(grams))
-    return value & ((1 << 256) - 1), [value >> 256 + 16 * k & 0xFFFF for k in range(48)]
-
-
-def plain_similar(texts):
-    """Least id of each document's group, by all pairs."""
-    prints, root = {i: plain_wide(t) for i, t in texts.items()}, {i: i for i in texts}
+def test_near_duplicates_equal_brute_force(spark, docs, texts):
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op1_simhash(spark, SF).collect()}
+    assert got == {i: (f"{p:016x}", c) for i, (p, c) in plain_components(texts).items()}
 
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
 
-    for a in prints:
-        for b in prints:
-            if a < b and (prints[a][0] ^ prints[b][0]).bit_count() <= 48 and any(x == y for x, y in zip(prints[a][1], prints[b][1])):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {i: find(i) for i in texts}
-
-
-def test_wide_fingerprints_equal_plain_ones():
-    for text in ("", None, "One two", "a b c d e f", "x " * 900, "Émile lit  un\tLIVRE vert à la page " * 3 + "fin"):
-        value = int.from_bytes(simhash.wide_fingerprint(text).astype("<u8").tobytes(), "little")
-        assert (value & ((1 << 256) - 1), [value >> 256 + 16 * k & 0xFFFF for k in range(48)]) == plain_wide(text)
-
-
-def test_near_copies_meet_and_others_do_not(spark):
-    rng = random.Random(5)
-    word = lambda: f"w{rng.randrange(3000)}"
-    texts, group = [], []
-    for g in range(60):
-        base = [word() for _ in range(rng.choice([150, 300, 900]))]
-        for _ in range(3):
-            copy = list(base)
-            for _ in range(len(base) // 150):  # a similarity of 0.87 or more
-                copy[rng.randrange(len(copy))] = word()
-            texts.append(" ".join(copy))
-            group.append(g)
-    texts += [" ".join(word() for _ in range(rng.randrange(1, 300))) for _ in range(400)]
-    group += range(60, 460)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(frame(spark, texts)).collect()}
-    firsts = {g: group.index(g) for g in group}
-    assert got == {i: firsts[g] for i, g in enumerate(group)}
-
-
-def test_a_run_longer_than_a_block_of_members_is_one_class(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "_RUN", 50)
-    rng = np.random.default_rng(3)
-    centre = rng.integers(0, 2, 256)
-    bits = [(centre ^ (rng.random(256) < 0.07)) for _ in range(600)] + [rng.integers(0, 2, 256) for _ in range(150)]
-    words = np.packbits(np.array(bits, np.uint8), axis=1, bitorder="little").view("<i8")
-    rows = [(k, *map(int, w), [7] * 2) for k, w in enumerate(words)]
-    made = spark.createDataFrame(rows, "node long, w0 long, w1 long, w2 long, w3 long, bands array<short>")
-    roots = {r["node"]: r["root"] for r in components.components(simhash.band_links(made)).collect()}
-    assert roots == dict.fromkeys(range(1, 600), 0)
-
-
-def test_a_star_of_texts_far_from_each_other_is_one_class(spark, monkeypatch):
-    # Any two outer members differ in 60 to 80 bits; each is tied to the centre only, which comes late in the run.
-    monkeypatch.setattr(simhash, "_RUN", 50)
-    rng = np.random.default_rng(8)
-    centre = rng.integers(0, 2, 256)
-    outer = []
-    for _ in range(400):
-        other = centre.copy()
-        other[rng.permutation(256)[:40]] ^= 1
-        outer.append(other)
-    near = [centre ^ (np.arange(256) < k) for k in range(2, 42)]
-    words = np.packbits(np.array([*near, *outer[:200], centre, *outer[200:]], np.uint8), axis=1, bitorder="little").view("<i8")
-    rows = [(k, *map(int, w), [7]) for k, w in enumerate(words)]
-    made = spark.createDataFrame(rows, "node long, w0 long, w1 long, w2 long, w3 long, bands array<short>")
-    plain = [int.from_bytes(w.tobytes(), "little") for w in words]
-    want = {(i, j) for i in range(len(plain)) for j in range(i + 1, len(plain)) if (plain[i] ^ plain[j]).bit_count() <= 48}
-    got = {(min(r), max(r)) for r in simhash.band_links(made, 48).collect()}
-    assert got == want
-    assert set(components.components(simhash.band_links(made, 48)).select("root").toPandas()["root"]) == {0}
-
-
-def plain_sets(texts):
-    """Least index of each text's group by the exact similarity of five-word shingle sets, all pairs."""
-    split = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
-    grams = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in split]
-    root = list(range(len(texts)))
+def test_one_document_of_each_group_stays(spark, docs, texts):
+    want = {i for i, (_, c) in plain_components(texts).items() if c == i}
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
 
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
 
-    for b in range(len(texts)):
-        for a in range(b):
-            common = len(grams[a] & grams[b])
-            if grams[a] == grams[b] or 10 * common >= 8 * (len(grams[a]) + len(grams[b]) - common):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {i: find(i) for i in range(len(texts))}
-
-
-def test_similar_equals_exact_similarity(spark):
-    rng = random.Random(11)
-    word = lambda: f"w{rng.randrange(5000)}"
-    texts = [None, "", "one two", "One  two"]
-    for _ in range(25):
-        base = [word() for _ in range(rng.choice([9, 40, 120, 300]))]
-        texts.append(" ".join(base))
-        for changed in (0.01, 0.02, 0.022, 0.025, 0.03, 0.04, 0.06):  # similarities from 0.9 down to 0.5, mostly near 0.8
-            copy = list(base)
-            for k in rng.sample(range(len(copy)), max(1, round(changed * len(copy)))):
-                copy[k] = word()
-            texts.append(" ".join(copy))
-    original = [word() for _ in range(250)]  # a family around one original, its members less similar to each other
-    for _ in range(60):
-        copy = list(original)
-        for k in rng.sample(range(250), 5):
-            copy[k] = word()
-        texts.append(" ".join(copy))
-    texts.append(" ".join(original))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(frame(spark, texts)).collect()}
-    assert got == plain_sets(texts)
-
-
-@pytest.mark.parametrize("radius", [7, 48])
-def test_wide_near_pairs_equal_all_pairs(radius):
-    rng = np.random.default_rng(radius)
-    values = rng.integers(0, 1 << 63, (1, 4), dtype=np.uint64) ^ np.packbits(rng.random((150, 256)) < radius / 512, axis=1, bitorder="little").view("<u8")
-    plain = [int.from_bytes(v.tobytes(), "little") for v in values]
-    want = {(i, j) for s, e in ((0, 20), (20, 150)) for i in range(s, e) for j in range(i + 1, e) if (plain[i] ^ plain[j]).bit_count() <= radius}
-    i, j = simhash.near_pairs(values, np.array([0, 20]), np.array([20, 150]), radius)
-    assert 0 < len(want) < 20 * 19 / 2 + 130 * 129 / 2 and len(i) == len(want) and set(zip(i.tolist(), j.tolist())) == want
+def test_rows_with_one_id_are_documents_each(spark):
+    """Of equal rows one stays; different texts of one id all stay; rows without id go only for others of their group."""
+    made = frame(spark, ["one two three", "four five six", "one two three", "seven eight nine", "seven eight nine", "ten", None, "ten"], [1, 1, 2, 3, 3, None, None, 5])
+    kept = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in simhash.keep_first(made).collect() if r["text"])
+    assert kept == [(False, 1, "four five six"), (False, 1, "one two three"), (False, 3, "seven eight nine"), (False, 5, "ten")]
+    assert simhash.keep_first(made.withColumnRenamed("n_chars", "_rank").withColumnRenamed("score", "h")).count() == 5
 
 
 @pytest.mark.parametrize("radius", [0, 1, 2, 3])
@@ -252,8 +126,7 @@ def test_near_duplicates_on_odd_rows(odd, none):
     zero = {r["doc_id"]: r for r in got if r["fingerprint"] == "0" * 16}
     assert {0, 1, 2} <= set(zero) and zero[2]["component_id"] == 0
     kept = simhash.keep_first(odd)
-    assert kept.columns == odd.columns
-    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect() if r["doc_id"] is not None) == [(False, k) for k in (0, 3, 5, 6)]
+    assert kept.columns == odd.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, -1, 3, 5, 6]
     assert simhash.near_duplicates(none).count() == simhash.keep_first(none).count() == 0
 
 
@@ -277,6 +150,37 @@ def test_ngram_counts_equal_plain_ones():
     assert found[1][starts[1]] == found[1][starts[3]]
 
 
+def test_languages_equal_a_plain_naive_bayes(spark):
+    """Every weight of the model by hand: bucket counts, half a count more, logarithms."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcé ñ") for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    langs = [rng.choice(["xx", "yy", "zz"]) for _ in texts]
+    made = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate(zip(texts, langs))], "doc_id long, text string, lang string")
+
+    def buckets(text):
+        found, _ = language.codes([text])
+        return [b for row in found for b in row.tolist() if b]
+
+    names = sorted(set(langs))
+    counts = {n: Counter(b for t, lang in zip(texts, langs) if lang == n for b in buckets(t)) for n in names}
+    got = {r["doc_id"]: r for r in language.predict(made, language.train(made)).collect()}
+    for k, t in enumerate(texts):
+        logs = []
+        for n in names:
+            total = sum(counts[n].values()) + 0.5 * language.BUCKETS
+            logs.append(np.log(langs.count(n) / len(langs)) + sum(np.log((counts[n][b] + 0.5) / total) for b in buckets(t)))
+        chances = np.exp(np.array(logs) - max(logs))
+        chances /= chances.sum()
+        if any(c.isalpha() for c in t):
+            assert got[k]["lang_pred"] == names[int(chances.argmax())] and abs(got[k]["score"] - chances.max()) < 1e-3
+
+
+def test_signs_that_are_no_letters_have_no_language(spark, docs):
+    made = frame(spark, ["½ ² 1", "Ⅷ ①", "_ 7", "ª", "Ⅷ x"])
+    got = [r["lang_pred"] for r in language.predict(made, language.train(docs)).orderBy("doc_id").collect()]
+    assert got[:3] == ["und"] * 3 and "und" not in got[3:]
+
+
 def test_language_on_odd_rows(spark, odd, none, docs):
     model = language.train(docs)
     got = {r["doc_id"]: r for r in language.predict(odd, model).collect()}
@@ -571,7 +475,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, docs, texts, reference
 
     got = corpus_pipeline.run(spark, SF).collect()
     told = {i: t for i, t in texts.items() if re.search(r"[^\W\d_]", t)}
-    first = plain_similar(told)
+    first = {i: c for i, (_, c) in plain_components(told).items()}
     leaks = {r["doc_id"] for r in queries.op9_decontamination(spark, SF).collect() if r["contaminated"]}
     kept = [i for i in told if first[i] == i and i not in leaks]
 
