@@ -139,9 +139,13 @@ def _prints(docs: DataFrame, id_column: str, text_column: str, words: int, perce
 
 
 def subset_sizes(n: int, percent: int = PERCENT) -> list[int]:
-    """Sizes of the subsets that a set of `n` shares with its similar partners, whatever their size."""
+    """Sizes of the subsets that a set of `n` shares with its similar partners, whatever their size.
+
+    None if only an equal set is similar: equal sets are one.
+    """
     partners = range(-(-percent * n // 100), 100 * n // percent + 1)
-    return sorted({c for b in partners if (c := least_common(n, b, percent)) <= min(n, b)})
+    sizes = {c for b in partners if (c := least_common(n, b, percent)) <= min(n, b)}
+    return sorted(sizes) if any(most_different(n, b, percent) > 0 for b in partners) else []
 
 
 def boundary(distinct: DataFrame, percent: int = PERCENT) -> int:
@@ -166,7 +170,7 @@ def boundary(distinct: DataFrame, percent: int = PERCENT) -> int:
     def cost(x: int) -> int:
         return sum(enumerated(n) for n in rows if n <= x) + sum(listed(n) for n in rows if n >= _listed_from(x, percent))
 
-    return min(range(SMALL + 1), key=cost)
+    return min(reversed(range(SMALL + 1)), key=cost)  # of equal costs the greatest
 
 
 def _listed_from(x: int, percent: int) -> int:
@@ -354,8 +358,12 @@ def similar_sets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     shared = stored(shared_lists(distinct, _listed_from(x, percent)), "shared")
     met = stored(distinct.join(shared.select("node").distinct(), "node", "left_semi").select("node", "th"), "met")
     sets = stored(_sets(docs, met, text_column, words), "sets")
-    links = stored(checked(list_pairs(shared, sets, None, True, percent), sets, percent).union(subset_links(distinct, x, percent)), "links")
-    more = stored(checked(list_pairs(shared, sets, components(links), False, percent), sets, percent), "links")
+    # Most lists have two members, which need no comparing on the list; a pair is mostly on several.
+    longer = shared.where("m > 2")
+    twos = shared.where("m = 2").groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b")
+    pairs = twos.union(list_pairs(longer, sets, None, True, percent)).distinct()
+    links = stored(checked(pairs, sets, percent).union(subset_links(distinct, x, percent)), "links")
+    more = stored(checked(list_pairs(longer, sets, components(links), False, percent), sets, percent), "links")
     roots = components(links.union(more)).withColumnRenamed("node", "of")
     named = distinct.select("node", "first").join(roots, F.col("node") == F.col("of"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
