@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from certloom.operators.key_sets import KeySet, key_set
 from certloom.operators.searches import KEY_LENGTHS, grams
-from certloom.session import broadcast_if_small
+from certloom.session import BROADCAST_BYTES, BROADCAST_ROWS, stored
 
 GLOB, SUBSTRING = "domain", "issuer"
 
@@ -37,20 +40,43 @@ def pattern_keys(patterns: DataFrame) -> DataFrame:
     )
 
 
-def filter_by_patterns(df: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Rows with a name that matches any `domain` glob or an issuer that holds any `issuer` text.
+@dataclass(frozen=True)
+class PatternIndex:
+    """Stored patterns with their keys, and the set of the keys."""
 
-    A row meets only patterns that share a run of characters with it, so the work does not grow with rows times
-    patterns. Rows with one fingerprint are one certificate and are kept or dropped together. Null patterns
-    and other kinds match nothing; an empty table of patterns keeps nothing.
-    """
-    keyed = pattern_keys(patterns)
-    side = broadcast_if_small(keyed, F.octet_length("pattern") + F.octet_length("key") + 24)
+    keyed: DataFrame
+    keys: KeySet
+    small: bool
+
+
+def index_patterns(patterns: DataFrame) -> PatternIndex:
+    """Prepare a table of patterns; a stream does this once, not per batch."""
+    keyed = stored(pattern_keys(patterns), "patterns")
+    width = F.octet_length("pattern") + F.octet_length("key") + 24
+    size = keyed.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return PatternIndex(keyed, key_set(keyed, "key", size["rows"]), size["rows"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES)
+
+
+def match_patterns(df: DataFrame, index: PatternIndex) -> DataFrame:
+    """`filter_by_patterns` with prepared patterns."""
+    side = F.broadcast(index.keyed) if index.small else index.keyed
     texts = F.lower(F.concat_ws("\n", "domains", "issuer_org"))
     keys = F.concat(F.array(F.lit("")), *[grams(texts, n) for n in KEY_LENGTHS])
-    offered = df.select("fingerprint", "domains", "issuer_org", F.explode(F.array_distinct(keys)).alias("key"))
+    # Keys that no pattern has do not leave their row, and rows without a key are done.
+    held = F.filter(F.array_distinct(keys), index.keys.may_hold)
+    offered = df.select("fingerprint", "domains", "issuer_org", F.explode(held).alias("key"))
     glob = F.exists("domains", lambda d: F.rlike(d, _glob_pattern(F.col("pattern"))))
     substring = F.contains(F.lower("issuer_org"), F.lower("pattern"))
     matched = F.when(F.col("kind") == GLOB, glob).otherwise(substring)
     hits = offered.join(side, "key").filter(matched).select("fingerprint").distinct()
     return df.join(hits, "fingerprint", "left_semi").select(*df.columns)
+
+
+def filter_by_patterns(df: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Rows with a name that matches any `domain` glob or an issuer that holds any `issuer` text.
+
+    A row meets only patterns that share a run of characters with it, so the work does not grow with rows times
+    patterns. Rows with one fingerprint are one certificate and are kept or dropped together. Null patterns
+    and other kinds match nothing; an empty table of patterns keeps nothing.
+    """
+    return match_patterns(df, index_patterns(patterns))

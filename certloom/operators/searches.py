@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from certloom.functions import times
 from certloom.functions.hosts import has_wildcard
 from certloom.functions.predicates import SearchError, SearchSpec, Term
+from certloom.operators.key_sets import KeySet, key_set
 from certloom.session import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, stored
 
 # White space in search texts, as the inside of a character class.
@@ -174,35 +175,39 @@ def trigram_counts(grams: DataFrame) -> DataFrame:
 def trigram_candidates(df: DataFrame, texts: DataFrame) -> DataFrame:
     """`(text_id, fingerprint)` of rows that hold every trigram of the text; to be verified.
 
-    The rows are cut into trigrams once, and what the texts ask for is stored with the row's text. A text
-    then meets only the rows that hold its rarest trigram, where the others are looked for in that
-    text, so a common trigram never pairs its rows with its texts. Texts below three characters
-    have no trigram and no candidate here.
+    The rows' trigrams are counted as far as the texts ask for them. A text then meets only the rows that hold its
+    rarest trigram, where the others are looked for in the row's text, so a common trigram never pairs its rows with
+    its texts. Other trigrams are dropped within their row, so a row's text is carried once per lead trigram it
+    holds, not once per trigram. Texts below three characters have no trigram and no candidate here.
     """
     wanted = stored(
         texts.select("text_id", F.array_distinct(grams(F.lower("text"), GRAM)).alias("_grams")).filter(F.size("_grams") > 0),
         "texts",
     )
     each = wanted.select("text_id", F.size("_grams").alias("_n"), F.explode("_grams").alias("gram"))
-    listed = each.select("gram").distinct()
+    listed = stored(each.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")), "listed")
+    kept = key_set(listed, "gram", listed.count())
     rows = df.select("fingerprint", _searched_text("domains", "issuer_org", "subject_cn").alias("_text"))
-    cut = rows.select("*", F.explode(F.array_distinct(grams(F.col("_text"), GRAM))).alias("gram"))
-    known = stored(cut.join(broadcast_if_small(listed, F.length("gram")), "gram", "left_semi"), "known")
-    load = each.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
-    cost = load.join(trigram_counts(known), "gram").select("gram", (F.col("texts") * F.col("n")).alias("cost"))
+    held = F.filter(F.array_distinct(grams(F.col("_text"), GRAM)), kept.may_hold)
+    counts = rows.select(F.explode(held).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    cost = listed.join(counts, "gram").select("gram", (F.col("texts") * F.col("n")).alias("cost"))
     # A text with a trigram that no row holds has no candidate, and none of its trigrams is looked up.
     complete = F.count(F.lit(1)) == F.max("_n")
-    leads = (
+    leads = stored(
         each.join(cost, "gram")
         .groupBy("text_id")
         .agg(F.min(F.struct("cost", "gram")).alias("_lead"), complete.alias("_complete"))
         .filter("_complete")
         .select("text_id", F.col("_lead.gram").alias("gram"))
-        .join(wanted, "text_id")
+        .join(wanted, "text_id"),
+        "leads",
     )
+    # Only lead trigrams leave their row, with its text.
+    lead_keys = key_set(leads, "gram", leads.count())
+    led = rows.select("fingerprint", "_text", F.explode(F.filter(F.array_distinct(grams(F.col("_text"), GRAM)), lead_keys.may_hold)).alias("gram"))
     side = broadcast_if_small(leads, F.size("_grams") * 8 + 16)
-    held = F.forall("_grams", lambda g: F.contains(F.col("_text"), g))
-    return known.join(side, "gram").filter(held).select("text_id", "fingerprint").distinct()
+    every = F.forall("_grams", lambda g: F.contains(F.col("_text"), g))
+    return led.join(side, "gram").filter(every).select("text_id", "fingerprint").distinct()
 
 
 # Kinds of keys, best first: a whole value, a name ending, or a run of that many characters.
@@ -236,7 +241,7 @@ def _row_keys(kinds: frozenset[str], few: dict[str, list[str]]) -> Column:
         return grams(text, n)
 
     parts = {
-        WHOLE: F.concat("domains", F.array("issuer_org", "subject_cn")),
+        WHOLE: F.concat(F.coalesce("domains", F.array().cast("array<string>")), F.array("issuer_org", "subject_cn")),
         ENDING: _all(names, r"(?<![^.\n])(?=([^\n]+))", 1),
         **{str(n): runs(n) for n in KEY_LENGTHS},
     }
@@ -321,11 +326,11 @@ class SearchIndex:
     size: int
     keys_size: int
     few: dict[str, list[str]]
+    keys: KeySet | None = None
 
 
-def index_searches(parsed: DataFrame, gram_counts: DataFrame | None = None) -> SearchIndex:
-    """Store the anchors of parsed searches; a stream does this once, not per batch."""
-    anchors = stored(search_anchors(stored(parsed, "searches"), gram_counts), "anchors")
+def _measured(anchors: DataFrame) -> SearchIndex:
+    """An index of stored anchors."""
     # One row per kind, of which there are six.
     sizes = (
         anchors.groupBy("kind")
@@ -341,7 +346,21 @@ def index_searches(parsed: DataFrame, gram_counts: DataFrame | None = None) -> S
     few = {r["kind"]: [] for r in sizes if r["distinct"] <= FEW_KEYS and r["kind"].isdigit()}
     for r in anchors.filter(F.col("kind").isin(list(few))).select("kind", "key").distinct().collect() if few else []:
         few[r["kind"]].append(r["key"])
-    return SearchIndex(anchors, frozenset(r["kind"] for r in sizes), rows, size, keys, few)
+    wanted = key_set(anchors, "key", sum(r["distinct"] for r in sizes)) if sizes else None
+    return SearchIndex(anchors, frozenset(r["kind"] for r in sizes), rows, size, keys, few, wanted)
+
+
+def index_searches(parsed: DataFrame, gram_counts: DataFrame | None = None) -> SearchIndex:
+    """Store the anchors of parsed searches; a stream does this once, not per batch."""
+    return _measured(stored(search_anchors(stored(parsed, "searches"), gram_counts), "anchors"))
+
+
+def update_index(index: SearchIndex, added: DataFrame, removed: DataFrame) -> SearchIndex:
+    """The index without the searches of `removed` (search_id) and with the parsed searches `added`, which alone are
+    anchored; the others keep their keys."""
+    kept = index.anchors.join(removed.select("search_id").distinct(), "search_id", "left_anti")
+    new = search_anchors(stored(added, "searches"))
+    return _measured(stored(kept.unionByName(new.select(*kept.columns)), "anchors"))
 
 
 # Candidates of one key are dealt over this many tasks where the anchors are too many for a broadcast.
@@ -353,8 +372,8 @@ def match_index(certs: DataFrame, index: SearchIndex) -> DataFrame:
 
     Every certificate looks up its own keys among the searches, so a search meets only rows that
     share its key, and is verified there as a whole: AND, NOT and the filters need no regrouping.
-    That is one scan for any number of searches. Keys that no search has are dropped first, by the distinct
-    keys alone; only what is left meets the searches, by a broadcast of measured size or else by a shuffle of
+    That is one scan for any number of searches. Keys that no search has are dropped within their row, by a
+    bitmap of the searches' keys, and what that lets pass by the distinct keys; only what is left meets the searches, by a broadcast of measured size or else by a shuffle of
     those candidates, salted so that a common key is many tasks. Searches without a match give no row.
     """
     columns = ["fingerprint", "domains", "issuer_org", "subject_cn", "seen_at", "domain_count"]
@@ -363,7 +382,10 @@ def match_index(certs: DataFrame, index: SearchIndex) -> DataFrame:
         *columns,
         _searched_text("domains").alias("_names"),
         _searched_text("domains", "issuer_org", "subject_cn").alias("_text"),
-    ).select(*columns, F.explode(keys).alias("key"))
+    )
+    if index.keys is not None:
+        keys = F.filter(keys, index.keys.may_hold)
+    keyed = keyed.select(*columns, F.explode(keys).alias("key"))
     countable = index.rows <= BROADCAST_ROWS
     known = index.anchors.select("key").distinct()
     candidates = keyed.join(F.broadcast(known) if countable and index.keys_size <= BROADCAST_BYTES else known, "key", "left_semi")

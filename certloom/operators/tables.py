@@ -5,14 +5,26 @@ from __future__ import annotations
 import uuid
 from datetime import date, timedelta
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from certloom import schemas
+from certloom.files import delete_path, folder_names, mark, move, path_exists
 from certloom.functions import times
 from certloom.functions.predicates import seen_between
-from certloom.session import broadcast_if_small, delete_path, file_system, scratch, small_enough
+from certloom.operators import postings
+from certloom.operators.key_runs import (
+    all_parts,
+    join_tiers,
+    list_runs,
+    may_hold,
+    raise_floor,
+    read_keys,
+    write_run,
+)
+from certloom.session import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, scratch, small_enough
 from certloom.sources.messages import to_certificates
 
 DAY = times.DAY
@@ -27,11 +39,6 @@ FILE_OPTIONS = {
     "parquet.bloom.filter.candidates.number#fingerprint": "12",
 }
 
-# Fingerprints of a stored table are kept once more in this many hash buckets, in a folder that readers of
-# the table skip; a batch opens only the buckets of its own fingerprints.
-KEY_BUCKETS = 64
-KEY = T.StructType([T.StructField("fingerprint", T.StringType()), T.StructField("batch", T.StringType())])
-
 
 def arrival() -> list[Column]:
     """Order in which rows came in. An index counts within one log, so it only settles ties of one log."""
@@ -88,38 +95,59 @@ def _write_days(df: DataFrame, path: str, mode: str) -> None:
     df.write.mode(mode).options(**FILE_OPTIONS).partitionBy("seen_date").parquet(path)
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("fingerprint"), F.lit(KEY_BUCKETS)).cast("int").alias("bucket")
-
+def _keys_of(rows: DataFrame, batch: str) -> DataFrame:
+    return rows.select("fingerprint", F.lit(batch).alias("batch"), "seen_at")
 
-def read_keys(spark: SparkSession, path: str, buckets: list[int]) -> DataFrame:
-    """`(fingerprint, batch)` of some buckets; the folders of the others are not even listed."""
-    folders = [f"{path}/_keys/bucket={b}" for b in buckets]
-    found = [folder for folder in folders if path_exists(spark, folder)]
-    return spark.read.schema(KEY).parquet(*found) if found else spark.createDataFrame([], KEY)
 
+def rebuild_keys(spark: SparkSession, path: str) -> None:
+    """Write the fingerprints of the table at `path` anew, as one run.
 
-def _write_keys(df: DataFrame, path: str) -> None:
-    df.repartition("bucket").sortWithinPartitions("bucket", "fingerprint").write.mode("append").options(
-        **FILE_OPTIONS
-    ).partitionBy("bucket").parquet(path)
+    Only needed where rows came by other means than `append_new` and `copy_table`. The new run is in place
+    before the old ones go.
+    """
+    root = f"{path}/_keys"
+    old = list_runs(spark, root)
+    keys = _keys_of(existing_certificates(spark, path), "").groupBy("fingerprint", "batch").agg(F.max("seen_at").alias("seen_at"))
+    count = keys.count()
+    if count:
+        write_run(spark, root, keys, count)
+    for run in old:
+        delete_path(spark, f"{root}/{run.folder}")
+    delete_path(spark, f"{path}/_open")
 
 
-def rebuild_keys(spark: SparkSession, path: str) -> None:
-    """Write the bucketed fingerprints of the table at `path` anew, with few files per bucket.
+def settle(spark: SparkSession, path: str) -> None:
+    """Bring runs and certificates together again after inserts that broke, once for each.
 
-    Needed after rows were removed, or added by other means than `append_new` and `copy_table`. Until
-    the new folder is in place there is either the old one or none, and then the next insert rebuilds it.
+    The keys of such an insert that have no certificate are dropped. Only days of those keys are read.
     """
-    built = f"{path}/_keys-{uuid.uuid4().hex}"
-    keys = existing_certificates(spark, path).select("fingerprint", F.lit("").alias("batch"), _bucket())
-    # Hash partitions of bucket and value split a bucket into pieces of equal size.
-    keys.repartition("bucket", F.pmod(F.xxhash64("fingerprint", F.lit(1)), F.lit(16))).sortWithinPartitions(
-        "bucket", "fingerprint"
-    ).write.options(**FILE_OPTIONS).partitionBy("bucket").parquet(built)
-    for old in ("_keys", "_open"):
-        delete_path(spark, f"{path}/{old}")
-    move(spark, built, f"{path}/_keys")
+    root = f"{path}/_keys"
+    for name in folder_names(spark, root):
+        if name.startswith("_staged-"):
+            delete_path(spark, f"{root}/{name}")
+    for uid in folder_names(spark, f"{path}/_open"):
+        for run in [r for r in list_runs(spark, root) if r.uid == uid]:
+            keys = read_keys(spark, root, all_parts([run]))
+            days = [r[0] for r in keys.select(times.seen_date(F.col("seen_at"))).distinct().collect()]
+            there = existing_certificates(spark, path).filter(F.col("seen_date").isin(days)).select("fingerprint")
+            landed = keys.join(there, "fingerprint", "left_semi")
+            count = landed.count()
+            if count:
+                write_run(spark, root, landed, count)
+            delete_path(spark, f"{root}/{run.folder}")
+        delete_path(spark, f"{path}/_open/{uid}")
+
+
+def _known(spark: SparkSession, root: str, fresh: DataFrame, small: bool) -> DataFrame | None:
+    """(fingerprint, batch) of the keys of `fresh` that the table has; None if no filter passes any."""
+    runs = list_runs(spark, root)
+    places = may_hold(spark, root, runs, fresh.select("fingerprint")) if small else all_parts(runs)
+    if not places:
+        return None
+    asked = fresh.select("fingerprint")
+    keys = read_keys(spark, root, places)
+    found = keys.join(F.broadcast(asked) if small else asked, "fingerprint", "left_semi")
+    return found.groupBy("fingerprint").agg(F.max("batch").alias("batch"))
 
 
 def append_new(
@@ -130,43 +158,45 @@ def append_new(
     Running it again with the same batch inserts nothing. `tag` names the batch: when a batch of that name
     is repeated, rows that it had inserted before are counted again.
 
-    The batch is evaluated once. Its fingerprints meet those of their own buckets, never the certificates.
-    Fingerprints are written before certificates, under a mark that is taken away at the end; those
-    of a batch whose mark is still there are looked up in the certificates, so no row is lost or doubled.
+    A batch asks the filters of the fingerprint runs and opens only the parts that may hold one of its own
+    (`key_runs`); certificates are never read. A batch beyond the broadcast bound meets all runs by a shuffle.
+    Fingerprints are written before certificates, under a mark that is taken away at the end; where a mark is left,
+    the next insert drops the keys that have no certificate, so no row is lost or doubled. Postings (`postings`) are
+    kept up to date where the table has them.
     """
-    with scratch(spark) as keep:
-        fresh = keep(first_per_key(batch, ["fingerprint"], order or arrival()).withColumn("bucket", _bucket()), "batch")
-        # At most KEY_BUCKETS numbers.
-        buckets = [r[0] for r in fresh.select("bucket").distinct().collect()]
-        if not buckets:
+    root = f"{path}/_keys"
+    settle(spark, path)
+    fresh = first_per_key(batch, ["fingerprint"], order or arrival()).persist(StorageLevel.MEMORY_AND_DISK)
+    known = None
+    try:
+        size = fresh.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("fingerprint")).alias("bytes")).first()
+        count = size["n"]
+        if not count:
             return 0
-        if not path_exists(spark, f"{path}/_keys") and path_exists(spark, path):
+        if not list_runs(spark, root) and path_exists(spark, path):
             rebuild_keys(spark, path)
-        tag = tag or uuid.uuid4().hex
-        opened = folder_names(spark, f"{path}/_open")
-        own = broadcast_if_small(fresh.select("fingerprint"), F.length("fingerprint"))
-        known = keep(read_keys(spark, path, buckets).join(own, "fingerprint", "left_semi"), "known")
-        doubtful = known.filter(F.col("batch").isin(tag, *opened))
-        rows = fresh.join(known.filter(~F.col("batch").isin(tag, *opened)), "fingerprint", "left_anti")
-        repeated = 0
-        if not doubtful.isEmpty():
-            asked = doubtful.select("fingerprint").distinct()
-            landed = keep(
-                existing_certificates(spark, path)
-                .select("fingerprint")
-                .join(broadcast_if_small(asked, F.length("fingerprint")), "fingerprint", "left_semi"),
-                "landed",
-            )
-            repeated = landed.join(known.filter(F.col("batch") == tag), "fingerprint", "left_semi").distinct().count()
-            rows = rows.join(landed, "fingerprint", "left_anti")
-        rows = keep(rows, "rows")
-        inserted = rows.count()
-        if inserted:
-            mark(spark, f"{path}/_open/{tag}")
-            _write_keys(rows.select("fingerprint", F.lit(tag).alias("batch"), "bucket"), f"{path}/_keys")
+        small = count <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES
+        known = _known(spark, root, fresh, small)
+        rows, repeated = fresh, 0
+        if known is not None:
+            known = known.persist(StorageLevel.MEMORY_AND_DISK)
+            own = F.coalesce(F.count_if(F.col("batch") == F.lit(tag or "")), F.lit(0)) if tag else F.lit(0)
+            seen = known.agg(F.count(F.lit(1)).alias("n"), own.alias("own")).first()
+            count, repeated = count - seen["n"], seen["own"]
+            rows = fresh.join(known.select("fingerprint"), "fingerprint", "left_anti")
+        if count:
+            uid = uuid.uuid4().hex
+            mark(spark, f"{path}/_open/{uid}")
+            write_run(spark, root, _keys_of(rows, tag or ""), count, uid)
+            postings.add(spark, path, rows)
             _write_days(by_day(rows.select(*batch.columns)), path, "append")
-            delete_path(spark, f"{path}/_open/{tag}")
-        return inserted + repeated
+            delete_path(spark, f"{path}/_open/{uid}")
+            join_tiers(spark, root)
+        return count + repeated
+    finally:
+        fresh.unpersist()
+        if known is not None:
+            known.unpersist()
 
 
 def rewrite_daily(df: DataFrame, path: str, partitions: int | None = None) -> None:
@@ -208,7 +238,9 @@ def enforce_retention(spark: SparkSession, path: str, days: int, now: int) -> in
             if day < boundary:
                 delete_path(spark, f"{path}/seen_date={day.isoformat()}")
         if path_exists(spark, f"{path}/_keys"):
-            rebuild_keys(spark, path)
+            raise_floor(spark, f"{path}/_keys", limit)
+        postings.drop_before(spark, path, boundary)
+        postings.rebuild(spark, path, boundary, boundary + timedelta(days=1))
     return deleted
 
 
@@ -224,6 +256,7 @@ def compact_days(spark: SparkSession, path: str, start: date, end: date) -> None
     staged = f"{path}/_staged-{uuid.uuid4().hex}"
     rewrite_daily(compact(chosen), staged)
     publish_days(spark, staged, path)
+    postings.rebuild(spark, path, start, end)
 
 
 def publish_days(spark: SparkSession, staged: str, path: str, emptied: list[date] = (), column: str = "seen_date") -> None:
@@ -242,30 +275,6 @@ def publish_days(spark: SparkSession, staged: str, path: str, emptied: list[date
     delete_path(spark, staged)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jpath, fs = file_system(spark, path)
-    return fs.exists(jpath)
-
-
-def move(spark: SparkSession, source: str, target: str) -> None:
-    """Rename within one file system."""
-    jtarget, fs = file_system(spark, target)
-    fs.mkdirs(jtarget.getParent())
-    if not fs.rename(file_system(spark, source)[0], jtarget):
-        raise OSError(f"cannot move {source} to {target}")
-
-
-def mark(spark: SparkSession, path: str) -> None:
-    """An empty file at `path`."""
-    jpath, fs = file_system(spark, path)
-    fs.create(jpath, True).close()
-
-
-def folder_names(spark: SparkSession, path: str) -> list[str]:
-    jpath, fs = file_system(spark, path)
-    return sorted(s.getPath().getName() for s in fs.listStatus(jpath)) if fs.exists(jpath) else []
-
-
 def day_partitions(spark: SparkSession, path: str, column: str = "seen_date") -> list[date]:
     """Days with a folder in the table; the list grows with days, not with rows."""
     return [date.fromisoformat(n.split("=", 1)[1]) for n in folder_names(spark, path) if n.startswith(f"{column}=")]

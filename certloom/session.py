@@ -9,6 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from certloom.files import delete_path
+
 # A side is broadcast only when it was counted and stays below both bounds.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -41,10 +43,21 @@ def ensure_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`; where it is unset, one in the warehouse, if executors reach that."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    local = spark.sparkContext.master.startswith("local")
+    if not local and (warehouse.startswith("file:") or "://" not in warehouse and spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:")):
+        raise ValueError("set spark.checkpoint.dir: the warehouse is a folder of one machine")
+    return f"{warehouse}/_scratch"
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder that every executor can reach: below `spark.checkpoint.dir`, or in the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -69,16 +82,6 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
         delete_path(spark, base)
 
 
-def file_system(spark: SparkSession, path: str):
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jpath, fs = file_system(spark, path)
-    fs.delete(jpath, True)
-
-
 def small_enough(df: DataFrame, width: Column, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Count `df` and add up `width` (bytes per row) to decide whether it may be broadcast."""
     size = df.agg(

@@ -37,7 +37,7 @@ class Certs:
         host = f"host-{self.n}.example.com"
         made = {"seen_at": 1_650_000_000, "domains": [host], "subject_cn": host, "cert_index": self.n, **fields}
         made.setdefault("fingerprint", hashlib.md5(b"%d" % self.n).hexdigest())
-        made.setdefault("domain_count", len(made["domains"]))
+        made.setdefault("domain_count", len(made["domains"] or []))
         made.setdefault("created_at", made["seen_at"] + 60)
         rest = {"issuer_org": "Oak Trust", "issuer_cn": "Oak Trust R2", "log_name": "elm", "log_url": "https://elm.invalid/"}
         lifetime = {"not_before": 1_640_995_200, "not_after": 1_672_531_199}

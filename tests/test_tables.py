@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from certloom import schemas, session
-from certloom.operators import tables
+from certloom.operators import key_runs, tables
 from certloom.operators.periods import seen_between
 
 DAY = 86400
@@ -48,7 +48,7 @@ def test_the_first_arrival_stays(certs):
     assert (row["seen_at"], row["log_url"], row["cert_index"]) == (5, "m", 8)
 
 
-@pytest.mark.parametrize("step", ["_write_keys", "_write_days", "delete_path"])
+@pytest.mark.parametrize("step", ["write_run", "_write_days", "delete_path"])
 @pytest.mark.parametrize("tag", [None, "run-0"])
 def test_a_broken_insert_is_repeated_without_loss(spark, certs, path, monkeypatch, step, tag):
     tables.append_new(spark, path, certs.frame({"fingerprint": "old"}))
@@ -78,12 +78,50 @@ def test_a_named_batch_repeated_after_its_end_counts_again(spark, certs, path):
     assert fingerprints(tables.read_certificates(spark, path)) == ["a", "b"]
 
 
-def test_an_insert_reads_its_own_buckets_only(spark, certs, path):
-    tables.append_new(spark, path, certs.frame(*[{"fingerprint": f"f{i}"} for i in range(500)]))
-    one = spark.createDataFrame([("f7",)], "fingerprint string").select(tables._bucket()).first()[0]
-    keys = tables.read_keys(spark, path, [one])
-    assert all(f"bucket={one}/" in f for f in keys.inputFiles()) and 0 < keys.count() < 50
-    assert keys.filter("fingerprint = 'f7'").count() == 1
+def test_runs_stay_few_and_only_hits_are_opened(spark, certs, path, monkeypatch):
+    """The files that an insert opens follow the logarithm of the inserts, not their number."""
+    monkeypatch.setattr(key_runs, "WIDTH", 3)
+    opened, real = [], key_runs.read_keys
+    monkeypatch.setattr(tables, "read_keys", lambda spark, root, places: (opened.append(len(places)), real(spark, root, places))[1])
+    batches = [certs.frame(*[{"fingerprint": f"f{k}-{i}"} for i in range(3)]) for k in range(24)]
+    most = 0
+    for batch in batches:
+        assert tables.append_new(spark, path, batch) == 3
+        most = max(most, len(key_runs.list_runs(spark, f"{path}/_keys")))
+    # A key that no filter lets pass opens nothing; 24 batches leave two runs of each tier at most.
+    assert most <= 6 and sum(opened) <= 2
+    opened.clear()
+    assert tables.append_new(spark, path, batches[0].unionByName(batches[23])) == 0 and 1 <= sum(opened) <= 3
+    assert tables.read_certificates(spark, path).count() == 72
+
+
+def test_filters_pass_what_a_run_holds(spark, certs, path, monkeypatch):
+    monkeypatch.setattr(key_runs, "PART_KEYS", 64)
+    keys = spark.range(500).select(F.md5(F.col("id").cast("string")).alias("fingerprint"), F.lit("t").alias("batch"), F.col("id").alias("seen_at"))
+    run = key_runs.write_run(spark, path, keys, 500)
+    assert (run.parts, key_runs.list_runs(spark, path)) == (8, [run])
+    assert len(key_runs.may_hold(spark, path, [run], keys.select("fingerprint"))) == 8
+    (place,) = key_runs.may_hold(spark, path, [run], keys.filter("seen_at = 77").select("fingerprint"))
+    part = key_runs.read_keys(spark, path, [place])
+    assert part.filter("seen_at = 77").count() == 1 and part.count() < 200
+    assert key_runs.read_keys(spark, path, key_runs.all_parts([run])).count() == 500
+    absent = [spark.createDataFrame([(f"no{k}",)], "fingerprint string") for k in range(20)]
+    assert sum(len(key_runs.may_hold(spark, path, [run], a)) for a in absent) <= 2
+    key_runs.raise_floor(spark, path, 400)
+    assert key_runs.read_keys(spark, path, key_runs.all_parts(key_runs.list_runs(spark, path))).count() == 100
+
+
+def test_a_mark_is_settled_once(spark, certs, path, monkeypatch):
+    """The next insert drops the keys that a broken one left without certificates, also those of another batch."""
+    tables.append_new(spark, path, certs.frame({"fingerprint": "old"}))
+    with monkeypatch.context() as patch:
+        patch.setattr(tables, "_write_days", lambda *args: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            tables.append_new(spark, path, certs.frame({"fingerprint": "a"}, {"fingerprint": "b"}), tag="x")
+    assert tables.folder_names(spark, f"{path}/_open")
+    assert tables.append_new(spark, path, certs.frame({"fingerprint": "a"}), tag="y") == 1
+    assert tables.folder_names(spark, f"{path}/_open") == []
+    assert fingerprints(tables.read_certificates(spark, path)) == ["a", "old"]
 
 
 def test_keys_follow_the_table(spark, certs, path):
@@ -94,6 +132,7 @@ def test_keys_follow_the_table(spark, certs, path):
     assert tables.append_new(spark, path, rows) == 0
     assert tables.enforce_retention(spark, path, 90, now) == 1
     assert tables.append_new(spark, path, rows) == 1
+    assert tables.append_new(spark, path, rows) == 0
 
 
 def test_jobs_leave_nothing_behind(spark, certs, tmp_path, monkeypatch):
