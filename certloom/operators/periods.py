@@ -285,7 +285,7 @@ def facet_table(df: DataFrame) -> DataFrame:
         F.when(
             issuer.isNotNull(), F.array(F.struct(F.lit("issuer").alias("facet"), issuer.alias("value")))
         ).otherwise(F.array().cast("array<struct<facet:string,value:string>>")),
-        F.transform("domains", lambda d: F.struct(F.lit("domain").alias("facet"), d.alias("value"))),
+        F.transform(F.coalesce("domains", F.array().cast("array<string>")), lambda d: F.struct(F.lit("domain").alias("facet"), d.alias("value"))),
     )
     return df.select(F.inline(items)).groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
 
@@ -306,15 +306,16 @@ def issuer_set(df: DataFrame, step: int) -> DataFrame:
 
 
 def approx_stats(df: DataFrame, step: int, rules: SuffixRules) -> DataFrame:
-    """Mergeable sketches per period: issuers and registrable domains, from the counts of `facet_counts`."""
-    facet, value = F.col("facet"), F.col("value")
+    """Mergeable sketches per period: issuers and registrable domains.
+
+    Every task makes one sketch per period of what it reads, so only sketches are shuffled, whatever the number of
+    names. A certificate without names still counts its issuer.
+    """
+    names = df.select(_period(step), "issuer_org", F.explode_outer("domains").alias("domain"))
     return (
-        facet_counts(df, rules, step)
+        registrable_domain(names, "domain", rules)
         .groupBy("period_start")
-        .agg(
-            F.hll_sketch_agg(F.when(facet == ISSUER, value)).alias("issuer_sketch"),
-            F.hll_sketch_agg(F.when(facet == DOMAIN, value)).alias("domain_sketch"),
-        )
+        .agg(F.hll_sketch_agg("issuer_org").alias("issuer_sketch"), F.hll_sketch_agg("registrable").alias("domain_sketch"))
     )
 
 

@@ -8,11 +8,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from certloom.functions import times
 from certloom.functions.predicates import SearchSpec, match_spec, seen_between
 from certloom.operators.tables import first_per_key
 from certloom.session import broadcast_if_small
 
 
+# Rows before a page beyond which its place is counted, not sorted for.
+DEEP = 10_000
+
+
 def newest_first() -> list[Column]:
     return [F.col("seen_at").desc(), F.col("fingerprint").desc()]
 
@@ -38,10 +43,42 @@ def match_count(df: DataFrame, spec: SearchSpec, limit: int) -> DataFrame:
 
 
 def page(df: DataFrame, spec: SearchSpec, number: int, limit: int) -> DataFrame:
-    """Page `number` (from 1) by offset; for deep pages use `page_after`."""
+    """Page `number` (from 1) by offset; for deep pages use `page_after` or `page_by_rank`."""
     return search(df, spec).orderBy(*newest_first()).offset((number - 1) * limit).limit(limit)
 
 
+def _descend(counts: list[tuple[int, int]], skip: int) -> tuple[int, int]:
+    """Of `(key, n)` in reading order, the key that holds the row behind `skip` others, and how many it still skips."""
+    for key, n in counts:
+        if skip < n:
+            return key, skip
+        skip -= n
+    raise IndexError("no such row")
+
+
+def page_by_rank(df: DataFrame, spec: SearchSpec, number: int, limit: int) -> DataFrame:
+    """`page` for any page number at the price of a count: a histogram of the matches by day and, within the days where
+    the page begins and ends, by second tells between which seconds it lies. Only those are read and sorted.
+
+    One number per day and two times one per second of a day reach the driver. A page behind the last has no rows.
+    """
+    matches = search(df, spec)
+    per_day = matches.groupBy(times.day_bucket(F.col("seen_at")).alias("day")).agg(F.count(F.lit(1)).alias("n")).collect()
+    days = sorted(((r["day"], r["n"]) for r in per_day), reverse=True)
+    total, skip = sum(n for _, n in days), (number - 1) * limit
+    if skip >= total:
+        return matches.limit(0)
+
+    def at(rank: int) -> tuple[int, int]:
+        day, left = _descend(days, rank)
+        in_day = matches.filter(seen_between(day, day + times.DAY)).groupBy("seen_at").agg(F.count(F.lit(1)).alias("n")).collect()
+        return _descend(sorted(((r["seen_at"], r["n"]) for r in in_day), reverse=True), left)
+
+    newest, above = at(skip)
+    oldest, _ = at(min(skip + limit, total) - 1)
+    return matches.filter(seen_between(oldest, newest + 1)).orderBy(*newest_first()).offset(above).limit(limit)
+
+
 def format_cursor(seen_at: int, fingerprint: str) -> str:
     return f"{seen_at}:{fingerprint}"
 
@@ -85,6 +122,8 @@ def fetch_page(
         rows = rows[:limit]
     elif cursor:
         rows = page_after(df, spec, cursor, limit).collect()
+    elif (number - 1) * limit > DEEP:
+        rows = page_by_rank(df, spec, number, limit).collect()
     else:
         rows = page(df, spec, number, limit).collect()
     if total is None:

@@ -72,6 +72,11 @@ def certs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return certs_of(events(spark, sf_dir))
 
 
+def nulled_certs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null names in every third row."""
+    return certs(spark, sf_dir).withColumn("domains", F.when(F.col("cert_index") % 3 != 0, F.col("domains")))
+
+
 def copied_certs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fingerprint twice."""
     return certs_of(events(spark, sf_dir), copies=2)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from certloom import schemas
 from certloom.functions import text, times
 from certloom.functions.predicates import SearchSpec, Term, seen_between
-from certloom.operators import periods, present, search, tables
+from certloom.operators import key_runs, periods, present, search, tables
 from certloom.operators.filters import filter_by_patterns
 from certloom.plans import derived
 from certloom.plans.registry import CERTS, COPIED, FLAT, flat, query
@@ -74,6 +74,16 @@ def _(spark, sf):
     return tables.read_certificates(spark, path).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("a3_many_batches", CERTS + """ SELECT fingerprint, count(*) AS n, true AS few_runs FROM certs GROUP BY fingerprint""")
+def _(spark, sf):
+    """Ten batches, of which the last comes twice; the runs of fingerprints stay few."""
+    path, c = scratch_dir(spark, "batches"), derived.certs(spark, sf)
+    for k in [*range(10), 9]:
+        tables.append_new(spark, path, c.filter(F.col("cert_index") % 10 == k))
+    few = len(key_runs.list_runs(spark, f"{path}/_keys")) <= 3
+    return tables.read_certificates(spark, path).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.lit(few).alias("few_runs"))
+
+
 def period_rows(df, step, computed_at):
     """Statistics-like rows without lists, one per period."""
     return periods.period_basics(df, step).withColumn("computed_at", F.lit(computed_at))
@@ -327,16 +337,23 @@ def _(spark, sf):
     return flat(ingest_filter(derived.certs(spark, sf), ["*.GITHUB.io", "*.u1?.co.uk"], ["View"]))
 
 
-@query("b8_filter_table", CERTS + f""", hit AS (SELECT fingerprint FROM (SELECT fingerprint, unnest(domains) AS d FROM certs)
-    JOIN (SELECT DISTINCT user_id FROM events WHERE user_id % 3 = 0) ON d = 'a.b.u' || user_id || '.net')
-  SELECT {FLAT} FROM certs WHERE fingerprint IN (SELECT fingerprint FROM hit) OR issuer_org ILIKE '%view%'
-    OR len(list_filter(domains, lambda d: d ILIKE '%.github.io' OR d ILIKE '%.u1_.co.uk')) > 0""")
+HIT = """hit AS (SELECT fingerprint FROM (SELECT fingerprint, unnest(domains) AS d FROM certs)
+    JOIN (SELECT DISTINCT user_id FROM events WHERE user_id % 3 = 0) ON d = 'a.b.u' || user_id || '.net')"""
+HIT_SQL = """(fingerprint IN (SELECT fingerprint FROM hit) OR issuer_org ILIKE '%view%'
+    OR len(list_filter(domains, lambda d: d ILIKE '%.github.io' OR d ILIKE '%.u1_.co.uk')) > 0)"""
+
+
+@query("b8_filter_table", f"{CERTS}, {HIT} SELECT {FLAT} FROM certs WHERE {HIT_SQL}")
 def _(spark, sf):
+    return flat(filter_by_patterns(derived.certs(spark, sf), pattern_table(spark, sf)))
+
+
+def pattern_table(spark, sf):
     """The patterns of `b8_ingest_filter` and one for every third user, as a table."""
     users = derived.events(spark, sf).filter(F.col("user_id") % 3 == 0).select("user_id").distinct()
     own = users.select(F.lit("domain").alias("kind"), F.concat(F.lit("*.U"), F.col("user_id").cast("string"), F.lit(".net")).alias("pattern"))
     fixed = spark.createDataFrame([("domain", "*.GITHUB.io"), ("domain", "*.u1?.co.uk"), ("issuer", "View")], own.schema)
-    return flat(filter_by_patterns(derived.certs(spark, sf), own.unionByName(fixed)))
+    return own.unionByName(fixed)
 
 
 # --- Views of a row --------------------------------------------------------------------------

@@ -58,6 +58,9 @@ def certs_sql(copies: int = 1, name: str = "certs") -> str:
 
 
 CERTS = "WITH " + certs_sql()
+# The certificates with no names at all in every third row.
+NULLED = "WITH " + certs_sql(name="raw") + """, certs AS (
+  SELECT * REPLACE (CASE WHEN cert_index % 3 <> 0 THEN domains ELSE [] END AS domains) FROM raw)"""
 COPIED = "WITH " + certs_sql(copies=2)
 WILD = "len(list_filter(domains, lambda d: d LIKE '*.%')) > 0"
 

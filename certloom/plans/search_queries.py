@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from certloom.functions import hosts, times
@@ -16,12 +18,12 @@ from certloom.functions.predicates import (
     term_contains,
     term_equals,
 )
-from certloom.operators import periods, search, searches
+from certloom.operators import periods, postings, search, searches, tables
 from certloom.operators.domains import domain_counts, registrable_domain
 from certloom.plans import derived
-from certloom.plans.ingest_queries import GITHUB, GITHUB_SQL, JAN_10, JAN_20
-from certloom.plans.registry import CERTS, SEEDS, certs_sql, query, registrable_sql
-from certloom.session import stored
+from certloom.plans.ingest_queries import GITHUB, GITHUB_SQL, JAN_10, JAN_15, JAN_20, NEWEST
+from certloom.plans.registry import CERTS, FLAT, NULLED, SEEDS, certs_sql, flat, query, registrable_sql
+from certloom.session import scratch_dir, stored
 from certloom.sources.suffixes import load_rules, seed_rules
 
 
@@ -363,6 +365,12 @@ def _(spark, sf):
     return searches.search_filters(parsed).select("search_id").join(hits, "search_id", "left").na.fill(0, ["n"])
 
 
+@query("c6_null_names", f"{NULLED}, {MATCHES} SELECT * FROM matches")
+def _(spark, sf):
+    """Certificates without names are found by issuer and subject."""
+    return searches.match_searches(derived.nulled_certs(spark, sf), searches.parse_searches(derived.saved_searches(spark, sf)))
+
+
 @query("c7_suffix_join", CERTS + NAMES + ", " + registrable_sql("names", "d") + """
   SELECT registrable, count(*) AS n FROM names JOIN reg USING (d) GROUP BY 1""")
 def _(spark, sf):
@@ -389,6 +397,27 @@ def _(spark, sf):
     return searches.trigram_candidates(derived.certs(spark, sf), texts)
 
 
+INDEXED = SearchSpec([[Term("github"), Term("error", "issuer", negate=True)], [Term("click7", "domain")]], after=JAN_10)
+
+
+@query("c8_index_search", f"""{CERTS} SELECT cert_index, seen_at FROM certs WHERE seen_at >= {JAN_10}
+  AND (({GITHUB_SQL}) OR {any_name("contains(d, 'click7')")})""")
+def _(spark, sf):
+    """A search by stored postings, a part of which came with an insert and a part of which was compacted."""
+    path, c = scratch_dir(spark, "indexed"), derived.certs(spark, sf)
+    tables.rewrite_daily(c.filter(F.col("seen_at") < JAN_15), path)
+    postings.build(spark, path)
+    tables.append_new(spark, path, c.filter(F.col("seen_at") >= JAN_10))
+    tables.compact_days(spark, path, date(2024, 1, 12), date(2024, 1, 18))
+    return postings.index_search(spark, path, INDEXED).select("cert_index", "seen_at")
+
+
+@query("f2_deep_page", f"{CERTS} SELECT {FLAT} FROM certs WHERE {GITHUB_SQL} {NEWEST} LIMIT 20 OFFSET 140")
+def _(spark, sf):
+    """Page 8 of 20 rows by rank: no sort of the rows before it."""
+    return flat(search.page_by_rank(derived.certs(spark, sf), GITHUB, 8, 20))
+
+
 @query("g1_union_of_groups", f"{CERTS} SELECT cert_index FROM certs WHERE {any_name("contains(d, 'github')")} OR {ORG} = 'CA view'")
 def _(spark, sf):
     spec = SearchSpec([[Term("github", "domain")], [Term("CA view", "issuer", exact=True)]])

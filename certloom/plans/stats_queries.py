@@ -9,7 +9,7 @@ from certloom.operators.domains import domain_counts
 from certloom.operators.search import search
 from certloom.plans import derived
 from certloom.plans.ingest_queries import BASICS, GITHUB, GITHUB_SQL, JAN_10, JAN_15, JAN_20
-from certloom.plans.registry import CERTS, WILD, query, registrable_sql
+from certloom.plans.registry import CERTS, NULLED, WILD, query, registrable_sql
 from certloom.plans.search_queries import HOLES, NAMES, stats_with_holes
 from certloom.sources.messages import ingest_predicate, parse_messages
 from certloom.session import stored
@@ -239,6 +239,13 @@ def _(spark, sf):
     return periods.facet_table(search(derived.certs(spark, sf), GITHUB))
 
 
+@query("d18_null_names", f"""{NULLED} SELECT 'total' AS facet, NULL AS value, count(*) AS n FROM certs
+  UNION ALL SELECT 'issuer', issuer_org, count(*) FROM certs WHERE issuer_org IS NOT NULL GROUP BY 2
+  UNION ALL SELECT 'domain', d, count(*) FROM (SELECT unnest(domains) AS d FROM certs) GROUP BY 2""")
+def _(spark, sf):
+    return periods.facet_table(derived.nulled_certs(spark, sf))
+
+
 @query("d19_conditional_totals", f"""{CERTS} SELECT count(DISTINCT issuer_org) FILTER ({WILD}) AS wildcard_issuers,
   count(*) FILTER ({WILD}) AS wildcard_certs, count(*) FILTER (issuer_org IS NULL) AS no_issuer_certs FROM certs""")
 def _(spark, sf):

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from certloom.operators import tables
+from certloom.operators import periods, tables
 from certloom.plans import derived
-from certloom.plans.ingest_queries import NEWEST, NOW
+from certloom.plans.ingest_queries import HIT, HIT_SQL, NEWEST, NOW, pattern_table
 from certloom.plans.registry import CERTS, COPIED, FLAT, flat, query
 from certloom.plans.search_queries import MATCHES, SPEC, SPEC_SQL
-from certloom.plans.stats_queries import GLOBS, ISSUERS, KEPT, RECEIVED
+from certloom.plans.stats_queries import GLOBS, HOUR, ISSUERS, KEPT, NAMED, RECEIVED, REG, period
 from certloom.operators.searches import parse_searches
 from certloom.session import scratch_dir
+from certloom.sources.suffixes import seed_rules
 from certloom.streaming import ingest
 
 
@@ -20,7 +21,7 @@ def finish(stream_query) -> None:
     stream_query.awaitTermination()
 
 
-def run_ingest(spark, sf, files=4, max_files=None, copies=1, runs=1, globs=(), substrings=()):
+def run_ingest(spark, sf, files=4, max_files=None, copies=1, runs=1, globs=(), substrings=(), patterns=None):
     """Ingest all messages from files; `runs` > 1 sends all of them again, as after a lost checkpoint."""
     messages = derived.message_files(spark, sf, scratch_dir(spark, "messages"), files, copies)
     table, counters = scratch_dir(spark, "table"), []
@@ -36,6 +37,7 @@ def run_ingest(spark, sf, files=4, max_files=None, copies=1, runs=1, globs=(), s
                 globs,
                 substrings,
                 once=True,
+                patterns=patterns,
             )
         )
     return table, counters
@@ -48,6 +50,14 @@ def _(spark, sf):
     return flat(tables.read_certificates(spark, table))
 
 
+@query("h1_pattern_table", f"""{CERTS}, {RECEIVED}, {HIT}
+  SELECT {FLAT.replace('created_at', f'{NOW} AS created_at')} FROM received WHERE {HIT_SQL}""")
+def _(spark, sf):
+    """Ingest filtered by a table of patterns, prepared once."""
+    table, _ = run_ingest(spark, sf, max_files=2, patterns=pattern_table(spark, sf))
+    return flat(tables.read_certificates(spark, table))
+
+
 @query("h2_micro_batches", f"{CERTS}, {RECEIVED} SELECT count(*) AS received, 4 AS batches FROM received")
 def _(spark, sf):
     """One file per micro-batch."""
@@ -148,6 +158,33 @@ def _(spark, sf):
     return spark.read.schema(hours.schema).parquet(out)
 
 
+@query("h9_unique_domains", f"""{REG}, n AS (SELECT {period(HOUR)}, count(DISTINCT registrable) AS domains FROM {NAMED} GROUP BY 1),
+  t AS (SELECT {period(HOUR)}, count(*) AS total_certificates, sum(domain_count) AS total_domain_count FROM certs GROUP BY 1)
+  SELECT *, true AS domains_close FROM t JOIN n USING (period_start) WHERE period_start + 3600 <= (SELECT max(seen_at) FROM certs) - 600""")
+def _(spark, sf):
+    """Distinct registrable domains of the stream's closed hours, held against the exact counts (three percent)."""
+    out, rules = scratch_dir(spark, "hours"), seed_rules(spark)
+    hours = ingest.tumbling_stats(derived.cert_stream(spark, sf), "1 hour", "10 minutes", rules)
+    finish(ingest.to_table(hours, out, scratch_dir(spark, "checkpoint"), once=True))
+    exact = periods.unique_domains(derived.certs(spark, sf), HOUR, rules).withColumnRenamed("unique_domains", "domains")
+    found = spark.read.schema(hours.schema).parquet(out).join(exact, "period_start")
+    close = F.abs(F.col("approx_domains") - F.col("domains")) <= F.greatest(F.lit(1.0), F.col("domains") * 0.03)
+    return found.select("period_start", "total_certificates", "total_domain_count", "domains", close.alias("domains_close"))
+
+
+@query("h10_changed_searches", f"{CERTS}, {MATCHES} SELECT * FROM matches")
+def _(spark, sf):
+    """Searches kept as versions: the stream takes the newest one, of which every second search was there before."""
+    out, path = scratch_dir(spark, "alerts"), scratch_dir(spark, "searches")
+    every = derived.saved_searches(spark, sf)
+    ingest.save_searches(spark, path, every.filter(F.col("search_id") % 2 == 0))
+    kept = ingest.StoredSearches(path)
+    kept.newest(spark)
+    ingest.save_searches(spark, path, every)
+    finish(ingest.search_alerts(derived.cert_stream(spark, sf), kept, out, scratch_dir(spark, "checkpoint"), once=True))
+    return ingest.read_alerts(spark, out)
+
+
 @query("h10_search_alerts", f"{CERTS}, {MATCHES} SELECT * FROM matches")
 def _(spark, sf):
     out = scratch_dir(spark, "alerts")

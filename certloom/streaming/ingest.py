@@ -16,12 +16,15 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from certloom import schemas
+from certloom.files import delete_path, folder_names, move
 from certloom.functions.hosts import has_wildcard
 from certloom.functions.predicates import SearchSpec, match_spec
 from certloom.operators import search, tables
-from certloom.operators.searches import index_searches, match_index
-from certloom.session import delete_path
+from certloom.operators.domains import registrable_domain
+from certloom.operators.filters import index_patterns, match_patterns
+from certloom.operators.searches import SearchIndex, index_searches, match_index, parse_searches, update_index
 from certloom.sources.messages import ingest_predicate, parse_messages, to_certificates
+from certloom.sources.suffixes import SuffixRules
 
 # Batch interval, and lines of the live feed.
 BATCH_INTERVAL = "3 seconds"
@@ -87,20 +90,32 @@ def ingest_stream(
     substrings=(),
     once: bool = False,
     interval: str = BATCH_INTERVAL,
+    patterns: DataFrame | None = None,
 ) -> StreamingQuery:
     """Parse, filter and insert a message stream; every micro-batch also leaves one row of counters.
 
-    A micro-batch opens only the buckets of its own fingerprints (`tables.append_new`). Rows that a failed
-    batch had inserted still count as inserted when it is repeated.
+    The filter is two lists, or a table of patterns (`filters`) of any length, prepared once. A micro-batch opens only
+    the parts of the fingerprint runs that may hold one of its own (`tables.append_new`). Rows that a failed batch
+    had inserted still count as inserted when it is repeated.
     """
+    if patterns is not None and (globs or substrings):
+        raise ValueError("either lists or a table of patterns")
     keep = ingest_predicate(globs, substrings)
+    index = None if patterns is None else index_patterns(patterns)
 
     def each(batch: DataFrame, batch_id: int, run: str) -> None:
         spark = batch.sparkSession
-        parsed = parse_messages(batch, now=now).withColumn("_keep", keep).persist()
+        parsed = parse_messages(batch, now=now)
+        if index is not None:
+            # A row is kept or dropped with all of its fingerprint.
+            parsed = parsed.persist()
+            hits = match_patterns(parsed, index).select("fingerprint").distinct().withColumn("_hit", F.lit(True))
+            marked = parsed.join(hits, "fingerprint", "left").withColumn("_keep", F.col("_hit").isNotNull()).drop("_hit").persist()
+        else:
+            marked = parsed.withColumn("_keep", keep).persist()
         try:
-            seen = parsed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.count_if("_keep"), F.lit(0)).alias("kept")).first()
-            kept = to_certificates(parsed.filter("_keep").drop("_keep"), now)
+            seen = marked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.count_if("_keep"), F.lit(0)).alias("kept")).first()
+            kept = to_certificates(marked.filter("_keep").drop("_keep"), now)
             inserted = tables.append_new(spark, table_path, kept, tag=f"{run}-{batch_id}") if seen["kept"] else 0
             row = (
                 batch_id,
@@ -114,6 +129,7 @@ def ingest_stream(
             target = f"{counters_path}/run={run}/batch={batch_id}"
             spark.createDataFrame([row], COUNTERS).write.mode("overwrite").parquet(target)
         finally:
+            marked.unpersist()
             parsed.unpersist()
 
     return _start(messages, checkpoint, each, once, interval)
@@ -173,11 +189,59 @@ def spec_alerts(certs: DataFrame, spec: SearchSpec) -> DataFrame:
     return certs.filter(match_spec(spec))
 
 
-def search_alerts(certs: DataFrame, parsed: DataFrame, out_path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """`(search_id, fingerprint)` of a table of saved searches, written once per micro-batch."""
-    index = index_searches(parsed)
+def save_searches(spark: SparkSession, path: str, rows: DataFrame) -> int:
+    """Store `(search_id, text)` as the next version of the saved searches at `path`, and return its number.
+
+    A version appears as a whole; the ones before stay for streams that still compare with them.
+    """
+    version = max(_search_versions(spark, path), default=0) + 1
+    staged = f"{path}/_staged-{version}"
+    delete_path(spark, staged)
+    rows.select(F.col("search_id").cast("long").alias("search_id"), F.col("text").cast("string").alias("text")).write.parquet(staged)
+    move(spark, staged, f"{path}/version={version}")
+    return version
+
+
+def _search_versions(spark: SparkSession, path: str) -> list[int]:
+    return [int(n.removeprefix("version=")) for n in folder_names(spark, path) if n.startswith("version=")]
+
+
+class StoredSearches:
+    """The newest version of a table of saved searches as an index; only new and removed searches are worked on."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.version = 0
+        self.index: SearchIndex | None = None
+
+    def _read(self, spark: SparkSession, version: int) -> DataFrame:
+        return spark.read.schema("search_id bigint, text string").parquet(f"{self.path}/version={version}")
+
+    def newest(self, spark: SparkSession) -> SearchIndex:
+        """Lists the versions; the index stays as it is while there is no newer one."""
+        version = max(_search_versions(spark, self.path), default=0)
+        if self.index is None or version != self.version:
+            now = self._read(spark, version)
+            if self.index is None:
+                self.index = index_searches(parse_searches(now))
+            else:
+                before, same = self._read(spark, self.version), ["search_id", "text"]
+                added, removed = now.join(before, same, "left_anti"), before.join(now, same, "left_anti")
+                self.index = update_index(self.index, parse_searches(added), removed.select("search_id"))
+            self.version = version
+        return self.index
+
+
+def search_alerts(certs: DataFrame, searches: DataFrame | StoredSearches, out_path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """`(search_id, fingerprint)` of saved searches, written once per micro-batch.
+
+    `searches` are parsed searches, which stay as they are, or those of a table kept by `save_searches`: every
+    micro-batch then takes its newest version.
+    """
+    fixed = None if isinstance(searches, StoredSearches) else index_searches(searches)
 
     def each(batch: DataFrame, batch_id: int, run: str) -> None:
+        index = fixed or searches.newest(batch.sparkSession)
         match_index(batch, index).write.mode("overwrite").parquet(f"{out_path}/run={run}/batch={batch_id}")
 
     return _start(certs, checkpoint, each, once)
@@ -188,18 +252,30 @@ def read_alerts(spark: SparkSession, out_path: str) -> DataFrame:
     return spark.read.schema("search_id bigint, fingerprint string").parquet(out_path).select("search_id", "fingerprint").distinct()
 
 
-def tumbling_stats(certs: DataFrame, length: str, delay: str) -> DataFrame:
-    """Statistics of closed periods; distinct issuers come from a sketch, which a stream can keep."""
+def tumbling_stats(certs: DataFrame, length: str, delay: str, rules: SuffixRules | None = None) -> DataFrame:
+    """Statistics of closed periods; distinct issuers come from a sketch, which a stream can keep, and so do distinct
+    registrable domains where the suffix rules are given."""
     timed = certs.withColumn("seen_time", F.timestamp_seconds("seen_at")).withWatermark("seen_time", delay)
+    wild = has_wildcard(F.col("domains")).alias("wild")
+    columns = ["seen_time", "domain_count", "issuer_org", wild]
+    if rules is None:
+        rows, first, domains = timed.select(*columns), F.lit(True), []
+    else:
+        named = timed.select(*columns, F.posexplode_outer("domains").alias("pos", "domain"))
+        # A certificate counts once, with its first name.
+        rows, first = registrable_domain(named, "domain", rules), F.coalesce(F.col("pos"), F.lit(0)) == 0
+        domains = [F.hll_sketch_estimate(F.hll_sketch_agg("registrable")).alias("approx_domains")]
+    names = ["total_certificates", "total_domain_count", "wildcard_count", "approx_issuers", *(["approx_domains"] if domains else [])]
     return (
-        timed.groupBy(F.window("seen_time", length))
+        rows.groupBy(F.window("seen_time", length))
         .agg(
-            F.count(F.lit(1)).alias("total_certificates"),
-            F.sum("domain_count").alias("total_domain_count"),
-            F.count_if(has_wildcard(F.col("domains"))).alias("wildcard_count"),
+            F.count_if(first).alias("total_certificates"),
+            F.sum(F.when(first, F.col("domain_count"))).alias("total_domain_count"),
+            F.count_if(first & F.col("wild")).alias("wildcard_count"),
             F.hll_sketch_estimate(F.hll_sketch_agg("issuer_org")).alias("approx_issuers"),
+            *domains,
         )
-        .select(F.unix_seconds("window.start").alias("period_start"), "total_certificates", "total_domain_count", "wildcard_count", "approx_issuers")
+        .select(F.unix_seconds("window.start").alias("period_start"), *names)
     )
 
 

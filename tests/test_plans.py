@@ -1,5 +1,6 @@
 """What the physical plans must look like to hold at scale."""
 
+import re
 from dataclasses import replace
 
 import pytest
@@ -95,13 +96,40 @@ def test_a_large_set_of_searches_scans_once(spark, table):
     assert sum("FileScan" in line and "seen_at" in line for line in text.splitlines()) == 1
 
 
-def test_trigrams_are_cut_once(spark, table, monkeypatch):
+def test_only_lead_trigrams_carry_their_text(spark, table, monkeypatch):
+    """Trigrams are counted without the text; what carries it is dropped within its row unless a text leads with it."""
     made = []
     real = searches.stored
-    monkeypatch.setattr(searches, "stored", lambda df, label: (made.append(plan(df)), real(df, label))[1])
+    monkeypatch.setattr(searches, "stored", lambda df, label: (made.append(df), real(df, label))[1])
     texts = spark.createDataFrame([(1, "github"), (2, "u1.net")], "text_id int, text string")
     last = plan(searches.trigram_candidates(table, texts))
-    assert sum(text.count("Generate explode(array_distinct") for text in [*made, last]) == 1
+    assert all("_text" not in df.columns for df in made)
+    assert last.count("Generate explode(filter(array_distinct") == 1
+
+
+def test_keys_are_dropped_before_they_are_exploded(spark, table):
+    """At most a tenth of a row's runs leave it when the searches are narrow."""
+    users = spark.read.parquet(f"{SF}/events.parquet").select("user_id").distinct()
+    narrow = users.select(F.col("user_id").alias("search_id"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".github")).alias("text"))
+    index = searches.index_searches(searches.parse_searches(narrow))
+    text = F.lower(F.concat_ws("\n", "domains", "issuer_org", "subject_cn")).alias("_text")
+    keys = searches._row_keys(index.kinds, {})
+    rows = table.select("*", F.lower(F.concat_ws("\n", "domains")).alias("_names"), text)
+    every, kept = rows.select(F.sum(F.size(keys)), F.sum(F.size(F.filter(keys, index.keys.may_hold)))).first()
+    assert 0 < kept * 10 < every
+    assert "Generate explode(filter(" in plan(searches.match_index(table, index))
+
+
+def test_sketches_are_made_before_the_shuffle(spark, table):
+    text = plan(periods.approx_stats(table, periods.HOUR, seed_rules(spark)))
+    assert text.count("Exchange hashpartitioning") == 1 and "partial_hll_sketch_agg" in text[text.index("Exchange hashpartitioning") :]
+
+
+def test_a_deep_page_is_not_sorted_for(table):
+    spec = SearchSpec([[Term("github")]])
+    text = plan(search.page_by_rank(table, spec, 9, 20))
+    limits = [int(n) for n in re.findall(r"(?:limit=|GlobalLimit |CollectLimit |LocalLimit )(\d+)", text)]
+    assert limits and max(limits) < 8 * 20 and "PartitionFilters: [isnotnull(seen_date" in text
 
 
 @pytest.mark.parametrize("large", [False, True])

@@ -142,3 +142,53 @@ def test_alerts_equal_the_batch(spark, cert_files, tmp_path):
     from certloom.operators.searches import match_searches
 
     assert sorted(got.collect()) == sorted(match_searches(rows, parsed).collect())
+
+
+def test_searches_change_between_batches(spark, cert_files, tmp_path, monkeypatch):
+    """A search that is added counts from the next batch on, one that is removed until it goes; others stay anchored."""
+    rows, stream = cert_files
+    path, anchored = str(tmp_path / "searches"), []
+    ingest.save_searches(spark, path, spark.createDataFrame([(1, "issuer:I1"), (2, "x.com")], "search_id int, text string"))
+    real_match, real_parse, calls = ingest.match_index, ingest.parse_searches, []
+
+    def match(batch, index):
+        found = real_match(batch, index)
+        calls.append(batch.count())
+        if len(calls) == 2:
+            # Search 2 goes, 3 comes, 1 stays as it is.
+            ingest.save_searches(spark, path, spark.createDataFrame([(1, "issuer:I1"), (3, "com")], "search_id int, text string"))
+        return found
+
+    monkeypatch.setattr(ingest, "match_index", match)
+    monkeypatch.setattr(ingest, "parse_searches", lambda df: (anchored.append(sorted(r["search_id"] for r in df.collect())), real_parse(df))[1])
+    ingest.search_alerts(stream, ingest.StoredSearches(path), str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
+    got = {(r["search_id"], r["fingerprint"]) for r in ingest.read_alerts(spark, str(tmp_path / "out")).collect()}
+    early, late = rows.orderBy("seen_at").limit(20).collect(), rows.orderBy(F.col("seen_at").desc()).limit(20).collect()
+    want = {(1, r["fingerprint"]) for r in early + late if r["issuer_org"] == "I1"}
+    want |= {(2, r["fingerprint"]) for r in early if "*.x.com" in r["domains"]} | {(3, r["fingerprint"]) for r in late}
+    assert got == want and anchored == [[1, 2], [3]] and len(calls) == 4
+
+
+def test_ingest_by_a_table_of_patterns(spark, tmp_path):
+    source = tmp_path / "in"
+    write_file(source, "1.txt", with_print("AA:01"), with_print("AA:02", all_domains=["other.org"]), with_print("AA:01"))
+    write_file(source, "2.txt", with_print("AA:03", all_domains=["deep.other.net"]))
+    patterns = spark.createDataFrame([("domain", "*EXAMPLE.com"), ("domain", "*.net"), ("domain", None)], "kind string, pattern string")
+    assert run(spark, tmp_path, patterns=patterns) == {"aa01", "aa03"}
+    totals = ingest.read_counters(spark, str(tmp_path / "counters")).first()
+    assert totals.asDict() == {"received": 4, "filtered": 1, "inserted": 2, "duplicate": 1, "batches": 2}
+    with pytest.raises(ValueError):
+        run(spark, tmp_path, checkpoint="other", patterns=patterns, globs=["*"])
+
+
+def test_unique_domains_of_closed_hours(spark, cert_files, tmp_path):
+    from certloom.sources.suffixes import seed_rules
+
+    rows, stream = cert_files
+    rules = seed_rules(spark)
+    hours = ingest.tumbling_stats(stream, "1 hour", "0 seconds", rules)
+    ingest.to_table(hours, str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
+    got = {r["period_start"]: tuple(r)[1:] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    basics = {r["period_start"]: r for r in periods.period_basics(rows, 3600).collect()}
+    domains = {r["period_start"]: r["unique_domains"] for r in periods.unique_domains(rows, 3600, rules).collect()}
+    assert got == {p: (b["total_certificates"], b["total_domain_count"], b["wildcard_count"], b["unique_issuers"], domains[p]) for p, b in basics.items() if p + 3600 <= 39000}
