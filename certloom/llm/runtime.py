@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A task turns at most about this many characters into arrays at a time.
-SLICE_CHARS = 1_000_000
-
+from certloom.session import shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; where it is unset, one in the warehouse, which executors share too."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return base.rstrip("/") if base else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+__all__ = ["SLICE_CHARS", "checkpointed", "fold", "shared_dir", "slices", "stored"]
 
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """`df` written once to the shared folder and read back: it is used several times or must not be computed anew."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+# A task turns at most about this many characters into arrays at a time.
+SLICE_CHARS = 1_000_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
