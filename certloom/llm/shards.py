@@ -183,8 +183,9 @@ def materialise(
         columns = list(zip(*found)) if found else [[]] * 2
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shard", "windows"])
 
-    # A shard is the range of slots with one number, so it stays within a task.
-    ordered = placed.select("slot", "data", F.expr(f"slot div {per_shard}").alias("part")).repartitionByRange("part").sortWithinPartitions("slot")
+    # A shard is a range of slots, whose bounds are known without a look at the rows: partition k writes shard k.
+    part = F.expr(f"cast(slot div {per_shard} AS int)")
+    ordered = placed.select("slot", "data").repartitionById(max(1, -(-total // per_shard)), part).sortWithinPartitions("slot")
     stored(ordered.select("slot", "data").mapInArrow(write, "shard long, windows long"), "shards")
     name = F.concat(F.lit(f"{target}/shard-"), F.lpad(F.expr(f"slot div {per_shard}").cast("string"), 8, "0"), F.lit(".bin"))
     listed = placed.select("slot", F.explode("pieces").alias("p"))
