@@ -161,8 +161,12 @@ def facet_counts(df: DataFrame, rules: SuffixRules, step: int, hours: bool = Fal
 
 
 def _stats(df: DataFrame, step: int, rules: SuffixRules, computed_at: int | Column, k: int) -> DataFrame:
+    return stats_of_counts(facet_counts(df, rules, step, hours=step == DAY), step, computed_at, k)
+
+
+def stats_of_counts(counts: DataFrame, step: int, computed_at: int | Column, k: int = TOP) -> DataFrame:
+    """Statistics rows from `(period_start, facet, value, n)` with one row per item; days also need their hours as items."""
     daily = step == DAY
-    counts = facet_counts(df, rules, step, hours=daily)
     facet, n = F.col("facet"), F.col("n")
 
     def total(*facets: int) -> Column:

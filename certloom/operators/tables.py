@@ -14,7 +14,7 @@ from certloom import schemas
 from certloom.files import delete_path, folder_names, mark, move, path_exists
 from certloom.functions import times
 from certloom.functions.predicates import seen_between
-from certloom.operators import postings
+from certloom.operators import postings, stored_counts
 from certloom.operators.key_runs import (
     all_parts,
     join_tiers,
@@ -119,7 +119,8 @@ def rebuild_keys(spark: SparkSession, path: str) -> None:
 def settle(spark: SparkSession, path: str) -> None:
     """Bring runs and certificates together again after inserts that broke, once for each.
 
-    The keys of such an insert that have no certificate are dropped. Only days of those keys are read.
+    The keys of such an insert that have no certificate are dropped, and its stored counts are taken anew from the
+    certificates that landed. Only days of those keys are read.
     """
     root = f"{path}/_keys"
     for name in folder_names(spark, root):
@@ -129,9 +130,10 @@ def settle(spark: SparkSession, path: str) -> None:
         for run in [r for r in list_runs(spark, root) if r.uid == uid]:
             keys = read_keys(spark, root, all_parts([run]))
             days = [r[0] for r in keys.select(times.seen_date(F.col("seen_at"))).distinct().collect()]
-            there = existing_certificates(spark, path).filter(F.col("seen_date").isin(days)).select("fingerprint")
-            landed = keys.join(there, "fingerprint", "left_semi")
+            there = existing_certificates(spark, path).filter(F.col("seen_date").isin(days))
+            landed = keys.join(there.select("fingerprint"), "fingerprint", "left_semi")
             count = landed.count()
+            stored_counts.add(spark, path, there.join(keys.select("fingerprint"), "fingerprint", "left_semi"), uid)
             if count:
                 write_run(spark, root, landed, count)
             delete_path(spark, f"{root}/{run.folder}")
@@ -161,8 +163,8 @@ def append_new(
     A batch asks the filters of the fingerprint runs and opens only the parts that may hold one of its own
     (`key_runs`); certificates are never read. A batch beyond the broadcast bound meets all runs by a shuffle.
     Fingerprints are written before certificates, under a mark that is taken away at the end; where a mark is left,
-    the next insert drops the keys that have no certificate, so no row is lost or doubled. Postings (`postings`) are
-    kept up to date where the table has them.
+    the next insert drops the keys that have no certificate, so no row is lost or doubled. Postings (`postings`) and
+    counts (`stored_counts`) are kept up to date where the table has them.
     """
     root = f"{path}/_keys"
     settle(spark, path)
@@ -189,9 +191,11 @@ def append_new(
             mark(spark, f"{path}/_open/{uid}")
             write_run(spark, root, _keys_of(rows, tag or ""), count, uid)
             postings.add(spark, path, rows)
+            stored_counts.add(spark, path, rows, uid)
             _write_days(by_day(rows.select(*batch.columns)), path, "append")
             delete_path(spark, f"{path}/_open/{uid}")
             join_tiers(spark, root)
+            stored_counts.join_changes(spark, path)
         return count + repeated
     finally:
         fresh.unpersist()
@@ -241,6 +245,8 @@ def enforce_retention(spark: SparkSession, path: str, days: int, now: int) -> in
             raise_floor(spark, f"{path}/_keys", limit)
         postings.drop_before(spark, path, boundary)
         postings.rebuild(spark, path, boundary, boundary + timedelta(days=1))
+    # Also where nothing is left to delete: a run that broke after the deletion is made good.
+    stored_counts.drop_before(spark, path, limit)
     return deleted
 
 
@@ -257,6 +263,7 @@ def compact_days(spark: SparkSession, path: str, start: date, end: date) -> None
     rewrite_daily(compact(chosen), staged)
     publish_days(spark, staged, path)
     postings.rebuild(spark, path, start, end)
+    stored_counts.recount(spark, path, stored_counts.seconds_of(start), stored_counts.seconds_of(end))
 
 
 def publish_days(spark: SparkSession, staged: str, path: str, emptied: list[date] = (), column: str = "seen_date") -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from certloom.operators import periods, rates, summaries
+from certloom.operators import periods, rates, stored_counts, summaries, tables
 from certloom.operators.domains import domain_counts
 from certloom.operators.search import search
 from certloom.plans import derived
@@ -12,7 +12,7 @@ from certloom.plans.ingest_queries import BASICS, GITHUB, GITHUB_SQL, JAN_10, JA
 from certloom.plans.registry import CERTS, NULLED, WILD, query, registrable_sql
 from certloom.plans.search_queries import HOLES, NAMES, stats_with_holes
 from certloom.sources.messages import ingest_predicate, parse_messages
-from certloom.session import stored
+from certloom.session import scratch_dir, stored
 from certloom.sources.suffixes import seed_rules
 
 HOUR, DAY = periods.HOUR, periods.DAY
@@ -152,6 +152,30 @@ def _(spark, sf):
     return scalars(periods.backfill(c, existing, JAN_10, JAN_20, DAY, seed_rules(spark), 9, force=True))
 
 
+@query("d11_incremental", f"{REG}, {PEAK} SELECT s.*, peak_hourly_rate FROM ({stats_sql(DAY, f'seen_at >= {JAN_10}')}) s JOIN peak USING (period_start)")
+def _(spark, sf):
+    """Days as sums of stored counts, after an insert, a late batch and retention."""
+    return scalars(stored_counts.period_stats(spark, counted_table(spark, sf), DAY, 9))
+
+
+@query("d11_incremental_lists", f"{REG} SELECT * FROM ({both_tops(HOUR)}) WHERE period_start >= {JAN_10}")
+def _(spark, sf):
+    return both_lists(stored_counts.period_stats(spark, counted_table(spark, sf), HOUR, 9))
+
+
+def counted_table(spark, sf):
+    """A stored table with counts: rows of one log are there first, later ones are inserted, then those of the other
+    logs, which are late; at last retention deletes what is older than January 10th."""
+    path, c = scratch_dir(spark, "counted"), derived.certs(spark, sf)
+    known = F.col("log_name") == "log0"
+    tables.append_new(spark, path, c.filter(known & (F.col("seen_at") < JAN_20)))
+    stored_counts.build(spark, path, seed_rules(spark))
+    for part in (c.filter(known & (F.col("seen_at") >= JAN_20)), c.filter(~known)):
+        tables.append_new(spark, path, part)
+    tables.enforce_retention(spark, path, 20, JAN_10 + 20 * DAY)
+    return path
+
+
 @query("d12_latest_completed", f"{REG} {stats_sql(HOUR, f'seen_at >= {JAN_15 + 7200} AND seen_at < {JAN_15 + 10800}')}")
 def _(spark, sf):
     """The last full hour at a moment of January 15th, of a table that has no row for it."""
