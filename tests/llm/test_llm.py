@@ -1,15 +1,18 @@
 """Each training-data operator against a plain version of it, and on awkward rows and tables."""
 
+import collections
 import hashlib
 import os
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -194,6 +197,44 @@ def test_language_on_odd_rows(spark, odd, none, docs):
 # --- op3 ---
 
 
+def plain_anchors(text):
+    """(units of the window, place) of every anchor, by loops."""
+    script = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+    units = []
+    for run in regex.findall(rf"[{script}]|[^ \t\n\x0b\x0c\r{script}]+", text or ""):
+        cut = max(0, len(run) - 32)
+        units += [*run[:cut], run[cut:]]
+
+    def pair(x, y):
+        first = xxhash.xxh64_intdigest(struct.pack("<Q", xxhash.xxh64_intdigest(x.encode(), 42)), 42)
+        value = xxhash.xxh64_intdigest(struct.pack("<Q", xxhash.xxh64_intdigest(y.encode(), 42)), first)
+        return value - (value >> 63 << 64)
+
+    if len(units) < 4:
+        return [(tuple(units), 0)] if units else []
+    pairs = [pair(x, y) for x, y in zip(units, units[1:])]
+    return [(tuple(units[i : i + 4]), i) for i in range(len(units) - 3) if min(pairs[i], pairs[i + 2]) <= pairs[i + 1]]
+
+
+def plain_likeness(a, b):
+    a, b = plain_anchors(a), plain_anchors(b)
+    if not a and not b:
+        return 1.0
+    met = collections.defaultdict(list)
+    for side, found in enumerate((a, b)):
+        for value, place in found:
+            met[value].append((place, side))
+    on = collections.defaultdict(list)
+    for places in met.values():
+        places.sort()
+        for (p, s), (q, t) in zip(places, places[1:]):
+            if s != t:
+                x, y = (p, q) if s == 0 else (q, p)
+                on[x - y].append((x, y))
+    counted = [xy for own in on.values() if len(own) > 1 or 1 in (len(a), len(b)) for xy in own]
+    return (len({x for x, _ in counted}) + len({y for _, y in counted})) / (len(a) + len(b))
+
+
 def test_edited_texts_and_likeness(spark, texts):
     got = {r["doc_id"]: r for r in queries.op3_syncmers(spark, SF).collect()}
     order = sorted(texts, reverse=True)
@@ -202,21 +243,60 @@ def test_edited_texts_and_likeness(spark, texts):
         third = len(own) // 3
         edited = own[: len(own) - third] + after[:third]
         assert got[i]["n_chars"] == len(own) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[i]["near_next"] <= 1 and 0 <= got[i]["near_edited"] <= 1
+        assert got[i]["near_next"] == pytest.approx(plain_likeness(own, after)), i
+        assert got[i]["near_edited"] == pytest.approx(plain_likeness(own, edited)), i
+        for column, text in (("fingerprint", own), ("edited_fingerprint", edited)):
+            assert [int(x.split(":")[1]) for x in got[i][column].split(",") if x] == [place for _, place in plain_anchors(text)]
     assert sum(r["near_edited"] > r["near_next"] for r in got.values()) > 0.95 * len(got)
 
 
+def likenesses(spark, pairs):
+    made = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, a string, b string")
+    found = made.select("k", syncmers.anchors(F.col("a")).alias("a"), syncmers.anchors(F.col("b")).alias("b"))
+    return [r[0] for r in found.select("k", syncmers.likeness(F.col("a"), F.col("b")).alias("l")).orderBy("k").select("l").collect()]
+
+
+def test_likeness_by_position(spark):
+    rng = random.Random(5)
+
+    def words(n):
+        return " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+
+    passage, chinese = words(50), "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(600))
+    long_a, long_b = words(20000).split(), words(20000).split()
+    long_a[500:550], long_b[9000:9050] = passage.split(), passage.split()
+    base64 = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(3000))
+    moved = words(30) + " " + passage
+    pairs = [
+        (" ".join(long_a), " ".join(long_b)),
+        (chinese, chinese[:400] + "\u4e01" * 200),
+        (chinese, "\u3042" + chinese),
+        (base64, "++" + base64[:2000]),
+        (passage, moved),
+        (passage, passage.replace(passage.split()[20], "edited")),
+        (words(40), words(40)),
+        ("spam " * 4000, "spam " * 3000),
+        ("to be or not " * 40 + passage, passage + " not to be" * 30),
+        ("a b", "a b"), ("a b", "a b c"), ("", "a"), (None, ""), ("\U00020000" * 9, "\U00020000" * 7),
+    ]
+    got = likenesses(spark, pairs)
+    assert got == pytest.approx([plain_likeness(a, b) for a, b in pairs])
+    assert got[0] > 0.001 and min(got[1], got[3]) > 0.5 and got[2] > 0.98 and got[4] > 0.7 and got[5] > 0.85
+    assert got[6] == 0 and got[7] > 0.85 and got[9] == 1 and got[10] == got[11] == 0 and got[12] == 1
+
+
 def test_anchors_do_not_depend_on_context(spark):
     inner = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     made = frame(spark, [inner, "x y z " + inner + " q r s", inner, "a b", "a b c", "", None])
-    a, b, same, two, three, empty, null = (set(r[0]) for r in made.orderBy("doc_id").select(syncmers.sketch(F.col("text"))).collect())
-    assert a and a <= b and a == same and len(two) == len(three) == 1 and empty == null == set()
+    lists = [r[0] for r in made.orderBy("doc_id").select(syncmers.anchors(F.col("text"))).collect()]
+    a, b, same, two, three, empty, null = ({x >> 32 for x in found} for found in lists)
+    assert a and a <= b and lists[0] == lists[2] and len(two) == len(three) == 1 and empty == null == set()
 
 
 def test_syncmers_on_odd_rows(odd, none, spark):
     got = syncmers.fingerprints(odd)
     assert got.count() == odd.count() and got.where("fingerprint IS NULL OR near_next IS NULL").count() == 0
-    after = {r["id"]: r["next"] for r in syncmers.successors(odd, "doc_id", "text").collect()}
+    after = {r["id"]: r["next"] for r in syncmers.successors(odd, "doc_id").collect()}
     assert after == {6: 5, 5: 4, 4: 3, 3: 2, 2: 1, 1: 0, 0: None, None: 6}
     assert syncmers.fingerprints(none).count() == 0
     assert syncmers.fingerprints(frame(spark, ["only one"])).first()["near_next"] == 1.0
