@@ -23,7 +23,9 @@ from certloom.llm.runtime import checkpointed
 INNER, WINDOW = 2, 4  # units; an anchor has WINDOW - INNER + 1 = 3 inner pairs
 LONGEST = 32  # characters of a word
 SPACELESS = "".join(rf"\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
-UNIT = rf"[{SPACELESS}]|[^\s{SPACELESS}]{{1,{LONGEST}}}+(?![^\s{SPACELESS}])|\S"
+# A word of characters below U+0E00, where none of these scripts begins, is tried first: looking up the script of every
+# character costs more than all else.
+UNIT = rf"[!-\u0dff]{{1,{LONGEST}}}+(?!\S)|[{SPACELESS}]|[^\s{SPACELESS}]{{1,{LONGEST}}}+(?![^\s{SPACELESS}])|\S"
 
 
 def _let(value: Column, body: Callable[[Column], Column], kind: str) -> Column:
@@ -86,7 +88,7 @@ def matches(a: Column, b: Column) -> Column:
             y = F.get(m, i + 1)
             of_a, of_b = (F.when(x.bitwiseAND(1) == 0, p).otherwise(q) for p, q in ((x, y), (y, x)))
             diagonal = F.shiftleft(_place(of_a) - _place(of_b), 32) + _place(of_a)
-            return F.when((F.shiftright(x, 32) == F.shiftright(y, 32)) & (x.bitwiseAND(1) != y.bitwiseAND(1)), diagonal)
+            return F.when((F.shiftright(x, 32) == F.shiftright(y, 32)) & (x.bitwiseXOR(y).bitwiseAND(1) == 1), diagonal)
 
         return F.sort_array(F.filter(F.transform(m, match), lambda d: d.isNotNull()))
 
