@@ -1,10 +1,13 @@
 """Benchmark decontamination by templates, in DataFrame functions only.
 
 Numbers, units and names become typed placeholders, so a question with other parameters has the same template.
-Windows of five template tokens of all documents meet those of the benchmark in a hash join. Matched windows
-of one document and item that are equally far apart make an alignment; one in which an item's value stands for
-two values of the document is dropped. A document is contaminated by an item if the windows left cover four
-fifths of the item's.
+Windows of five template tokens of all documents meet those of the benchmark in a hash join. Windows with fewer
+than two ordinary words, whose template says little, meet by their literal words instead. Each match covers its
+window and the equal words up to four places beside it, so a changed word costs only itself. Matches of one
+document and item that are equally far apart make an alignment; one in which an item's value stands for two
+values of the document is dropped. A document is contaminated by an item if the alignments left cover four fifths
+of its words, or one of them has 30 covered words in a row. Items of three or four words are also looked for by
+their literal words anywhere; items of one or two words, which clean texts hold too, only as the whole text.
 """
 
 from __future__ import annotations
@@ -15,10 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from certloom.llm.runtime import stored
+from certloom.operators.key_sets import KeySet, key_set
 from certloom.session import broadcast_if_small
 
 WORDS, COVERED = 5, 0.8
-CONCRETE = 2  # words of a window that must not be placeholders
+RUN = 30  # covered words in a row that are enough, whatever the item's length
+CONCRETE = 2  # ordinary words that a window needs to be known by its template
+BESIDE = 4  # words beside a window that are compared
 
 # Number words and units of the languages in question.
 NUMBER_WORDS = (
@@ -37,7 +43,7 @@ def tokens(text: Column) -> Column:
     """Lower-cased words; numbers, units after a number, and capitalised words inside a sentence carry a mark."""
     marked = F.regexp_replace(F.regexp_replace(text, "[\u0001-\u0003]", " "), "(?<=[0-9])[.,](?=[0-9])", "")
     marked = F.regexp_replace(marked, "[0-9]+", f" {_NUMBER}$0 ")
-    marked = F.regexp_replace(marked, rf"(?i)(?<=\u0001[0-9]{{1,40}} {{1,3}})(?=(?:{UNITS})\b)", _UNIT)
+    marked = F.regexp_replace(marked, rf"(?i)(\u0001[0-9]++ {{1,3}})(?=(?:{UNITS})\b)", f"$1{_UNIT}")
     # Looking for single characters is far cheaper than a pattern, and most texts have none of these.
     gate = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in "0123456789" + _NUMBER + _UNIT + _NAME])
     named = F.regexp_replace(F.when(gate, marked).otherwise(text), r" (?<=[\p{Ll}\p{N},;:] )(?=\p{Lu})", f" {_NAME}")
@@ -48,61 +54,114 @@ def _is_slot(word: Column) -> Column:
     return (word < "\u0004") | word.isin(NUMBER_WORDS)
 
 
-def _windows_of(words: Column, size: int) -> Column:
-    """Array of (hash, slots) for each window; the hash is null where fewer than CONCRETE words are no placeholders."""
+def _literal(word: Column) -> Column:
+    """A word without its type."""
+    return F.translate(word, _NUMBER + _UNIT + _NAME, "")
+
+
+def _windows_of(words: Column, short: list[int], known: KeySet | None) -> Column:
+    """Array of (template, hash, at, slots, around) of the windows of one text whose template may be in `known`.
+
+    Windows have WORDS words, a shorter text is one window, and sizes of `short` are made too, by literal words.
+    """
     marks = [F.xxhash64(F.lit(m)) for m in (_NUMBER, _UNIT, _NAME)]
     hashed = F.transform(words, lambda w: F.when(w < "\u0004", F.xxhash64(F.left(w, F.lit(1)))).when(w.isin(NUMBER_WORDS), marks[0]).otherwise(F.xxhash64(w)))
-    kind = "array<struct<hash:bigint,slots:array<string>>>"
-    no_slots = F.array().cast("array<string>")
 
     def build(bound: Column) -> Column:
         h, w = bound["h"], bound["w"]
         n = F.size(h)
-        last = n - size
 
-        def plain(_: Column, i: Column) -> Column:
-            here = F.when(i <= last, F.xxhash64(*[F.get(h, i + k) for k in range(size)]))
-            return F.struct(here.alias("hash"), no_slots.alias("slots"))
-
-        def slotted(_: Column, i: Column) -> Column:
-            slots = F.filter(F.slice(w, i + 1, size), _is_slot)
-            here = F.when((i <= last) & (size - F.size(slots) >= CONCRETE), F.xxhash64(*[F.get(h, i + k) for k in range(size)]))
-            return F.struct(here.alias("hash"), slots.alias("slots"))
-
-        slots = F.filter(w, _is_slot)
-        whole = F.array(F.struct(F.when(n - F.size(slots) >= F.least(F.lit(CONCRETE), n), F.xxhash64(h)).alias("hash"), slots.alias("slots")))
-        has_slots = reduce(lambda a, b: a | b, [F.array_contains(h, m) for m in marks])
-        many = F.when(has_slots, F.transform(h, slotted)).otherwise(F.transform(h, plain))
-        return F.when(n >= size, many).when(n > 0, whole).otherwise(F.array().cast(kind))
+        def templates(size: int) -> Column:
+            # Windows that end behind the text have no template.
+            return F.transform(h, lambda _, i: F.struct(F.when(i <= n - size, F.xxhash64(*[F.get(h, i + k) for k in range(size)])).alias("template"), i.alias("at")))
+
+        def described(found: Column, size: Column | int, tag: str) -> Column:
+            wanted = lambda x: x["template"].isNotNull() & (known.may_hold(x["template"]) if known else F.lit(True))
+
+            def one(x: Column) -> Column:
+                here = F.slice(w, x["at"] + 1, size)
+                plain = F.transform(here, _literal)
+                slots = F.filter(here, _is_slot)
+                by_words = F.lit(tag == "short") | (F.size(here) - F.size(slots) < CONCRETE)
+                places = F.sequence(x["at"] - BESIDE, x["at"] + F.size(here) + BESIDE - 1)
+                around = F.transform(places, lambda j: F.when(by_words, F.xxhash64(_literal(F.get(w, j)))).otherwise(F.get(h, j)))
+                return F.struct(
+                    x["template"].alias("template"),
+                    F.when(by_words, F.xxhash64(F.lit(f"{tag} words"), plain)).otherwise(F.xxhash64(F.lit(tag), x["template"])).alias("hash"),
+                    x["at"].alias("at"),
+                    F.when(by_words, F.array().cast("array<string>")).otherwise(slots).alias("slots"),
+                    F.transform(around, lambda v, k: F.when(F.get(w, x["at"] - BESIDE + k).isNotNull(), v)).alias("around"),
+                )
+
+            return F.transform(F.filter(found, wanted), one)
+
+        kind = "array<struct<template:bigint,hash:bigint,at:int,slots:array<string>,around:array<bigint>>>"
+        whole = F.array(F.struct(F.when(n > 0, F.xxhash64(h)).alias("template"), F.lit(0).alias("at")))
+        own = F.when(n >= WORDS, described(templates(WORDS), WORDS, "window").cast(kind)).otherwise(described(whole, F.greatest(n, F.lit(1)), "whole").cast(kind))
+        return F.concat(own, *[described(templates(size), size, "short").cast(kind) for size in short]) if short else own
 
     bound = F.array(F.struct(hashed.alias("h"), words.alias("w")))
     return F.element_at(F.transform(bound, build), 1)  # binds the arrays once
 
 
-def windows(docs: DataFrame, id_column: str, text_column: str, size: int = WORDS) -> DataFrame:
-    """(id, at, hash, slots): one row per window. A text with fewer words is one window of all its words."""
-    words = docs.select(F.col(id_column).alias("id"), tokens(F.coalesce(F.col(text_column), F.lit(""))).alias("w"))
-    return words.select("id", F.posexplode(_windows_of(F.col("w"), size)).alias("at", "x")).select("id", "at", "x.hash", "x.slots").where("hash IS NOT NULL")
+def _words(text_column: str) -> Column:
+    return tokens(F.coalesce(F.col(text_column), F.lit("")))
+
+
+def _digest(text_column: str) -> Column:
+    """Tells rows with one id apart by their texts."""
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    return F.struct(F.xxhash64(text).alias("x"), F.hash(text).alias("y"))
+
+
+def templates(benchmark: DataFrame, item_column: str, item_text: str) -> tuple[DataFrame, list[int]]:
+    """(item, of, item_at, template, hash, item_slots, item_around) for each window of an item of `of` words, and the short sizes among them."""
+    items = stored(benchmark.select(F.col(item_column).alias("item"), _words(item_text).alias("w")), "items")
+    sizes = items.where(F.size("w").between(3, WORDS - 1)).select(F.size("w").alias("n")).distinct().collect()
+    # An item is a short window of its own size only.
+    made = [items.select("item", F.size("w").alias("of"), F.explode(_windows_of(F.col("w"), [], None)).alias("x"))]
+    for size in sorted(r["n"] for r in sizes):
+        some = items.where(F.size("w") == size)
+        made.append(some.select("item", F.lit(size).alias("of"), F.explode(_windows_of(F.col("w"), [size], None)).alias("x")))
+    rows = reduce(DataFrame.unionByName, made)
+    asked = rows.select("item", "of", F.col("x.at").alias("item_at"), "x.template", "x.hash", F.col("x.slots").alias("item_slots"), F.col("x.around").alias("item_around"))
+    return stored(asked.distinct(), "templates"), sorted(r["n"] for r in sizes)
+
+
+def _longest(places: Column) -> Column:
+    """Length of the longest run of consecutive numbers in an array."""
+
+    def step(acc: Column, p: Column) -> Column:
+        n = F.when(p == acc["last"] + 1, acc["n"] + 1).otherwise(F.lit(1))
+        return F.struct(p.alias("last"), n.alias("n"), F.greatest(acc["best"], n).alias("best"))
+
+    start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("n"), F.lit(0).alias("best"))
+    return F.aggregate(F.array_sort(places), start, step, lambda acc: acc["best"])
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_column: str, text_column: str, item_column: str, item_text: str, covered: float = COVERED) -> DataFrame:
-    """(id, item, covered) for every document and item whose template windows are covered by `covered` or more."""
-    asked = windows(benchmark, item_column, item_text)
-    asked = stored(asked.select(F.col("id").alias("item"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots")).distinct(), "templates")
-    sizes = asked.groupBy("item").agg(F.countDistinct("item_at").alias("of"))
-    width = F.lit(40) + F.length(F.array_join("item_slots", ""))
-    met = windows(docs, id_column, text_column).join(broadcast_if_small(asked, width), "hash")
+def matches(docs: DataFrame, benchmark: DataFrame, id_column: str, text_column: str, item_column: str, item_text: str, covered: float = COVERED, run: int = RUN) -> DataFrame:
+    """(id, digest, item, covered) for every text and item whose words are covered by `covered` or more, or by `run` words in a row."""
+    asked, short = templates(benchmark, item_column, item_text)
+    distinct = asked.select("template").distinct()
+    known = key_set(distinct, "template", distinct.count())
+    width = F.lit(160) + F.length(F.array_join("item_slots", ""))
+    found = docs.select(F.col(id_column).alias("id"), _digest(text_column).alias("digest"), F.explode(_windows_of(_words(text_column), short, known)).alias("x"))
+    met = found.select("id", "digest", "x.hash", "x.at", "x.slots", "x.around").join(broadcast_if_small(asked.drop("template"), width), "hash")
     pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("asked"), b.alias("given")))
+    same = F.zip_with("item_around", "around", lambda a, b: a == b)
+    places = F.filter(F.transform(same, lambda s, k: F.when(s, F.col("item_at") - BESIDE + k)), lambda p: p.isNotNull())
     # At most one window per item position is on a diagonal, so what is gathered is bounded by the item.
     aligned = (
-        met.select("id", "item", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", pairs.alias("pairs"))
-        .groupBy("id", "item", "diagonal")
-        .agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+        met.select("id", "digest", "item", "of", (F.col("at") - F.col("item_at")).alias("diagonal"), places.alias("places"), pairs.alias("pairs"))
+        .groupBy("id", "digest", "item", "of", "diagonal")
+        .agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
         .where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["asked"]))) == F.size("pairs"))
+        .withColumn("longest", _longest(F.col("places")))
     )
-    found = aligned.select("id", "item", F.explode("places").alias("place")).groupBy("id", "item").agg(F.countDistinct("place").alias("n"))
-    share = F.col("n") / F.col("of")
-    return found.join(broadcast_if_small(sizes, F.lit(24)), "item").select("id", "item", share.alias("covered")).where(F.col("covered") >= covered)
+    each = aligned.select("id", "digest", "item", "of", "longest", F.explode("places").alias("place"))
+    total = each.groupBy("id", "digest", "item", "of").agg(F.countDistinct("place").alias("n"), F.max("longest").alias("longest"))
+    share = (F.col("n") / F.col("of")).alias("covered")
+    return total.where((F.col("n") >= F.lit(covered) * F.col("of")) | (F.col("longest") >= run)).select("id", "digest", "item", share)
 
 
 def contamination(
@@ -113,17 +172,19 @@ def contamination(
     item_column: str = "item_id",
     item_text: str = "text",
     covered: float = COVERED,
+    run: int = RUN,
 ) -> DataFrame:
-    """One row per row of `docs`: id, contaminated, item_ids (ascending), covered (highest share, 0 if none).
+    """One row per row of `docs`: id, contaminated, item_ids (ascending), covered (highest share of an item's words, 0 if none).
 
-    Null and empty texts are clean, and null or empty items match nothing, nor do items all of whose windows are
-    placeholders but for one word. Items of fewer than five words match only a text that consists of them. Rows
-    with one id, or without, are judged together. Other columns are not looked at.
+    Null and empty texts are clean, and null or empty items match nothing. A null item id is an id like others, but
+    not listed. Rows with one id, or without, are judged each by its own text. Other columns are not looked at.
     """
-    found = matches(docs, benchmark, id_column, text_column, item_column, item_text, covered)
-    verdict = found.groupBy("id").agg(F.sort_array(F.collect_set("item")).alias("item_ids"), F.max("covered").alias("covered"))
-    ids = docs.select(F.col(id_column).alias("doc"))
-    return ids.join(verdict, F.col("doc").eqNullSafe(F.col("id")), "left").select(
+    found = matches(docs, benchmark, id_column, text_column, item_column, item_text, covered, run)
+    verdict = found.groupBy("id", "digest").agg(F.sort_array(F.collect_set("item")).alias("item_ids"), F.max("covered").alias("covered"))
+    verdict = verdict.withColumnRenamed("digest", "of_text")
+    ids = docs.select(F.col(id_column).alias("doc"), _digest(text_column).alias("digest"))
+    same = F.col("doc").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of_text"))
+    return ids.join(verdict, same, "left").select(
         F.col("doc").alias(id_column),
         F.col("covered").isNotNull().alias("contaminated"),
         F.coalesce("item_ids", F.array().cast(verdict.schema["item_ids"].dataType)).alias("item_ids"),
@@ -132,7 +193,9 @@ def contamination(
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of `docs` that no item contaminates, as they are. Rows without an id stay."""
-    found = stored(matches(docs, benchmark, id_column, text_column, item_column, item_text).select("id").where("id IS NOT NULL").distinct(), "leaks")
-    lost = broadcast_if_small(found.withColumnRenamed("id", id_column), F.lit(16))
-    return docs.join(lost, id_column, "left_anti").select(*docs.columns)
+    """The rows of `docs` that no item contaminates, as they are; rows with one id, or without, each by its own text."""
+    found = stored(matches(docs, benchmark, id_column, text_column, item_column, item_text).select("id", "digest").distinct(), "leaks")
+    lost = broadcast_if_small(found.withColumnRenamed("digest", "of_text"), F.lit(40))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_column).alias("doc"), _digest(text_column).alias("digest"))
+    same = F.col("doc").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of_text"))
+    return rows.join(lost, same, "left_anti").select("row.*")
