@@ -12,19 +12,20 @@ their literal words anywhere; items of one or two words, which clean texts hold
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from certloom.llm.runtime import stored
-from certloom.operators.key_sets import KeySet, key_set
 from certloom.session import broadcast_if_small
 
 WORDS, COVERED = 5, 0.8
 RUN = 30  # covered words in a row that are enough, whatever the item's length
 CONCRETE = 2  # ordinary words that a window needs to be known by its template
 BESIDE = 4  # words beside a window that are compared
+MOST_BITS = 1 << 23  # of the table of known templates
 
 # Number words and units of the languages in question.
 NUMBER_WORDS = (
@@ -59,8 +60,8 @@ def _literal(word: Column) -> Column:
     return F.translate(word, _NUMBER + _UNIT + _NAME, "")
 
 
-def _windows_of(words: Column, short: list[int], known: KeySet | None) -> Column:
-    """Array of (template, hash, at, slots, around) of the windows of one text whose template may be in `known`.
+def _windows_of(words: Column, short: list[int], known: Callable[[Column], Column] | None) -> Column:
+    """Array of (template, hash, at, slots, around) of the windows of one text whose template passes `known`.
 
     Windows have WORDS words, a shorter text is one window, and sizes of `short` are made too, by literal words.
     """
@@ -76,7 +77,7 @@ def _windows_of(words: Column, short: list[int], known: KeySet | None) -> Column
             return F.transform(h, lambda _, i: F.struct(F.when(i <= n - size, F.xxhash64(*[F.get(h, i + k) for k in range(size)])).alias("template"), i.alias("at")))
 
         def described(found: Column, size: Column | int, tag: str) -> Column:
-            wanted = lambda x: x["template"].isNotNull() & (known.may_hold(x["template"]) if known else F.lit(True))
+            wanted = lambda x: x["template"].isNotNull() & (known(x["template"]) if known else F.lit(True))
 
             def one(x: Column) -> Column:
                 here = F.slice(w, x["at"] + 1, size)
@@ -128,6 +129,24 @@ def templates(benchmark: DataFrame, item_column: str, item_text: str) -> tuple[D
     return stored(asked.distinct(), "templates"), sorted(r["n"] for r in sizes)
 
 
+def _known(asked: DataFrame) -> Callable[[Column], Column]:
+    """A test that passes all templates of the benchmark, and of others one in sixteen, or more beyond MOST_BITS.
+
+    The bits of the benchmark's templates are a literal of the plan, so a text drops its windows before they are rows.
+    """
+    bits = 1 << 12
+    count = asked.select("template").distinct().count()
+    while bits < 16 * count and bits < MOST_BITS:
+        bits *= 2
+    place = lambda template: template.bitwiseAND(F.lit(bits - 1).cast("long"))
+    word = F.shiftright(place(F.col("template")), 6).cast("int")
+    one = F.expr("shiftleft(1L, cast(template & 63 AS int))")
+    words = dict(asked.groupBy(word.alias("word")).agg(F.bit_or(one)).collect())
+    # One text constant, which Spark turns into an array of numbers before it runs.
+    table = F.split(F.lit(",".join(str(words.get(k, 0)) for k in range(bits // 64))), ",").cast("array<bigint>")
+    return lambda template: F.getbit(F.get(table, F.shiftright(place(template), 6).cast("int")), template.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+
+
 def _longest(places: Column) -> Column:
     """Length of the longest run of consecutive numbers in an array."""
 
@@ -142,8 +161,7 @@ def _longest(places: Column) -> Column:
 def matches(docs: DataFrame, benchmark: DataFrame, id_column: str, text_column: str, item_column: str, item_text: str, covered: float = COVERED, run: int = RUN) -> DataFrame:
     """(id, digest, item, covered) for every text and item whose words are covered by `covered` or more, or by `run` words in a row."""
     asked, short = templates(benchmark, item_column, item_text)
-    distinct = asked.select("template").distinct()
-    known = key_set(distinct, "template", distinct.count())
+    known = _known(asked)
     width = F.lit(160) + F.length(F.array_join("item_slots", ""))
     found = docs.select(F.col(id_column).alias("id"), _digest(text_column).alias("digest"), F.explode(_windows_of(_words(text_column), short, known)).alias("x"))
     met = found.select("id", "digest", "x.hash", "x.at", "x.slots", "x.around").join(broadcast_if_small(asked.drop("template"), width), "hash")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -521,6 +522,79 @@ def test_templates_and_slots(spark, odd, none):
     assert decontaminate.contamination(made, bench.limit(0)).where("contaminated").count() == 0
 
 
+def plain_cover(text, item):
+    """(share of the item's words covered, longest run) by windows of five and equal words beside them, for plain lower-case words."""
+    t, w = text.split(), item.split()
+    by_diagonal = {}
+    for a in range(len(t) - 4):
+        for b in range(len(w) - 4):
+            if t[a : a + 5] == w[b : b + 5]:
+                near = {k for k in range(max(0, b - 4), min(len(w), b + 9)) if 0 <= a - b + k < len(t) and t[a - b + k] == w[k]}
+                by_diagonal.setdefault(a - b, set()).update(near)
+    longest = max((sum(1 for _ in g) for d in by_diagonal.values() for _, g in itertools.groupby(enumerate(sorted(d)), lambda x: x[1] - x[0])), default=0)
+    return len(set().union(*by_diagonal.values())) / len(w), longest
+
+
+def test_coverage_equals_a_plain_comparison(spark):
+    rnd = random.Random(9)
+    vocabulary = ["".join(rnd.choices("bcdfghklmnprstvw", k=6)) for _ in range(300)]
+    items = [" ".join(rnd.choices(vocabulary, k=rnd.choice([5, 6, 12, 20, 40, 100]))) for _ in range(40)]
+    texts = []
+    for k in range(400):
+        words = rnd.choice(items).split()
+        a = rnd.randrange(len(words))
+        words = words[a:] if k % 3 == 0 else words[: a + 1] if k % 3 == 1 else words
+        for _ in range(rnd.choice([0, 1, 1, 2, 4])):
+            at = rnd.randrange(len(words))
+            words[at : at + rnd.choice([0, 1, 1])] = rnd.choices(vocabulary, k=rnd.choice([0, 1, 1]))
+            words = words or ["x"]
+        texts.append(" ".join(rnd.choices(vocabulary, k=rnd.randrange(9)) + words + rnd.choices(vocabulary, k=rnd.randrange(9))))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.contamination(frame(spark, texts), bench).collect()}
+    flagged = 0
+    for i, text in enumerate(texts):
+        cover = {k: plain_cover(text, item) for k, item in enumerate(items)}
+        want = {k: share for k, (share, run) in cover.items() if share >= 0.8 or run >= 30}
+        flagged += bool(want)
+        assert set(got[i]["item_ids"]) == set(want) and abs(got[i]["covered"] - max(want.values(), default=0)) < 1e-9
+    assert 50 < flagged < 380
+
+
+def test_edited_short_and_numeric_items_are_found(spark):
+    prose = "the old mill beside our river grinds barley every second spring while children watch from a narrow bridge above water".split()
+    long = [f"{a}{b}" for a in ("lantern", "harbour", "meadow", "copper", "willow", "saddle", "thimble", "orchard", "pebble", "ribbon") for b in "abcdefghij"]
+    bench = spark.createDataFrame(
+        [(1, " ".join(prose)), (2, "12 + 35 * 7 - 4 = 253 ?"), (3, "blue herring waltz"), (4, " ".join(long)), (5, "of it"), (6, "weighs " + "9" * 50 + " kg or less then"), (7, "Walk 9 km to Oslo")],
+        "item_id long, text string",
+    )
+    around = lambda t: f"Something else was said before this. {t} And much more came after it, as always."
+    changed = [around(" ".join(prose[:k] + ["zzz"] + prose[k + 1 :])) for k in range(len(prose))]
+    made = [
+        around("12 + 35 * 7 - 4 = 253 ?"),
+        around("12 + 35 * 8 - 4 = 253 ?"),
+        around("blue herring waltz"),
+        around("blue herring tango"),
+        around(" ".join(long[15:85])),
+        around(" ".join(long[15:40])),
+        around("of it"),
+        "Of it!",
+        "it weighs " + "8" * 60 + " kg or less then",
+        around("walk 12 km to Bergen"),
+    ]
+    got = [r["item_ids"] for r in decontaminate.contamination(frame(spark, changed + made), bench).orderBy("doc_id").collect()]
+    assert got[: len(changed)] == [[1]] * len(changed)
+    assert got[len(changed) :] == [[2], [], [3], [], [4], [], [], [5], [6], [7]]
+
+
+def test_rows_without_id_are_judged_each_by_its_text(spark):
+    words = [f"word{a}{b}" for a in "abcd" for b in "efghi"]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    made = frame(spark, [" ".join(words[:10]), " ".join(words[10:]), "nothing", " ".join(words), "nothing", " ".join(words)], [None, None, None, None, 7, 7])
+    got = sorted((str(r["doc_id"]), r["contaminated"]) for r in decontaminate.contamination(made, bench).collect())
+    assert got == [("7", False), ("7", True), ("None", False), ("None", False), ("None", False), ("None", True)]
+    assert sorted(r["text"] for r in decontaminate.keep_clean(made, bench).collect()) == sorted([" ".join(words[:10]), " ".join(words[10:]), "nothing", "nothing"])
+
+
 # --- op10 ---
 
 
