@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from certloom.operators import periods, rates, stored_counts, summaries, tables
+from certloom.operators import frequent, periods, rates, stored_counts, summaries, tables
 from certloom.operators.domains import domain_counts
 from certloom.operators.search import search
 from certloom.plans import derived
@@ -234,6 +234,41 @@ def _(spark, sf):
     return summaries.merge_top_lists(summaries.in_range(hourly, daily, "24h", SUMMARY_NOW), "top_issuers")
 
 
+ITEMS = f"""{REG}, items AS (SELECT seen_at, {periods.ISSUER} AS facet, issuer_org AS value FROM certs WHERE issuer_org IS NOT NULL
+  UNION ALL SELECT seen_at, {periods.DOMAIN}, registrable FROM {NAMED} WHERE registrable IS NOT NULL)"""
+
+
+def counted_since(seconds: int) -> str:
+    """SQL: exact counts of issuers and domains in the hours of a range."""
+    hour = f"seen_at - seen_at % {HOUR}"
+    return f"SELECT facet, value, count(*) AS n FROM items WHERE {hour} >= {SUMMARY_NOW - seconds} AND {hour} < {SUMMARY_NOW} GROUP BY ALL"
+
+
+for name, (seconds, _) in summaries.RANGES.items():
+
+    @query(f"d3_merged_tops_{name}", f"""{ITEMS} SELECT facet, rank, value, n AS low, n AS high FROM (SELECT *, cast(row_number() OVER (PARTITION BY facet
+      ORDER BY n DESC, value) AS integer) AS rank FROM ({counted_since(seconds)})) WHERE rank <= 100""")
+    def _(spark, sf, seconds=seconds):
+        """The first values of a range, from stored hourly sketches; hours of at most WIDTH values give exact counts."""
+        sketches = stored(frequent.hourly(derived.certs(spark, sf), seed_rules(spark)), "sketches")
+        merged = frequent.merge(frequent.in_range(sketches, SUMMARY_NOW - seconds, SUMMARY_NOW))
+        return frequent.top(merged).select("facet", "rank", "value", "low", "high")
+
+    @query(f"d3_bounds_hold_{name}", f"""{ITEMS}, c AS ({counted_since(seconds)}) SELECT facet, cast(sum(n) AS bigint) AS total, count(*) AS distinct_values,
+      cast(0 AS bigint) AS outside FROM c GROUP BY facet""")
+    def _(spark, sf, seconds=seconds):
+        """Narrow sketches, merged by day and then for the range: number of true counts outside their bounds."""
+        c, start = derived.certs(spark, sf), SUMMARY_NOW - seconds
+        counts = periods.facet_counts(c, seed_rules(spark), HOUR).filter(F.col("facet").isin(periods.ISSUER, periods.DOMAIN))
+        counts = stored(counts.filter((F.col("period_start") >= start) & (F.col("period_start") < SUMMARY_NOW)), "counts")
+        merged = stored(frequent.merge(frequent.merge(frequent.sketch(counts, 3), DAY, 4), width=5), "merged")
+        true = counts.groupBy("facet", "value").agg(F.sum("n").alias("n"))
+        listed = merged.select("facet", F.inline("entries"))
+        bounds = true.join(listed, ["facet", "value"], "left").join(merged.select("facet", "total", "slack"), "facet")
+        held = F.col("n").between(F.coalesce("low", F.lit(0)), F.coalesce("high", "slack"))
+        return bounds.groupBy("facet", "total").agg(F.count(F.lit(1)).alias("distinct_values"), F.count_if(~held).alias("outside"))
+
+
 @query("d14_mean_of_averages", f"""{REG}, s AS ({stats_sql(DAY)}) SELECT round(avg(avg_san_count), 1) AS mean_avg_san_count,
   round(sum(avg_san_count * total_certificates) / sum(total_certificates), 4) AS weighted_avg_san_count FROM s""")
 def _(spark, sf):
