@@ -2,7 +2,8 @@
 
 Each page scores its containers; the path of the best one, as generalised tags and classes, is the page's vote.
 Votes are counted per host in Spark, and every page is read again with its host's path; a page that has no
-container of that path is read with its own.
+container of that path is read with its own. What is read is the whole article around the container: its headline,
+lead and further sections too.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ NOISE = {
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "figcaption", "dd", "dt", "td", "th"}
 LISTS = {"ul", "ol", "dl", "table", "menu"}
 
 
@@ -166,11 +168,29 @@ def best_path(found: list) -> tuple[tuple[str, ...], int]:
     return path, scores[path]
 
 
+def climbed(found: list, path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path of the whole article around a container: the nearest article or main, if there is one.
+
+    Otherwise outer containers are taken as long as what they add is text of its own: paragraphs, headings and the like
+    of which at most a third of the characters stand in links. The body of a page is never taken for its article.
+    """
+    for depth in range(len(path), 0, -1):
+        if path[depth - 1].split(".")[0] in ("article", "main"):
+            return path[:depth]
+    while len(path) > 1 and path[-2].split(".")[0] not in ("body", "html"):
+        added = [b for b in found if b[0][: len(path) - 1] == path[:-1] and b[0][: len(path)] != path]
+        if any(tag not in PROSE for _, _, _, tag in added) or 3 * sum(b[2] for b in added) > sum(len(b[1]) for b in added):
+            break
+        path = path[:-1]
+    return path
+
+
 def main_text(page: str | None, path: tuple[str, ...] | None = None) -> str:
-    """Text of the containers of `path`, else of the page's own best ones."""
+    """Text of the article around the containers of `path`, else around the page's own best ones."""
     found = blocks(page or "")
     if not path or not any(b[0][: len(path)] == path for b in found):
         path = best_path(found)[0]
+    path = climbed(found, path)
     return " ".join(b[1] for b in found if b[0][: len(path)] == path)
 
 

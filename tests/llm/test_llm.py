@@ -322,6 +322,20 @@ def test_main_text_of_a_page(spark):
     assert paths["a.example"].endswith("div.post-#")
 
 
+def test_headlines_leads_and_sections_belong_to_the_article():
+    long, short = (" ".join(f"Sentence {w} {k} tells a little more of it." for k in range(n)) for w, n in (("one", 60), ("two", 20)))
+    around = "<html><body><nav><a href=/>Home</a></nav>{}<footer>All rights reserved</footer></body></html>".format
+    for page in (
+        f"<article><h1>Head</h1><p class=lead>Lead.</p><div class=body><p>{long}</p><p>{short}</p></div></article>",
+        f"<div class=wrap><div class=post><h1>Head</h1><p class=lead>Lead.</p><section class=a><p>{long}</p></section><section class=b><p>{short}</p></section></div></div>",
+        f"<main><h1>Head</h1><p>Lead.</p><section class=a><p>{long}</p></section><section class=b><p>{short}</p></section></main>",
+    ):
+        assert pages.main_text(around(page)) == f"Head Lead. {long} {short}"
+    # What is mostly links, or no prose, is not taken along.
+    for other in ("<ul class=more><li><a href=/a>Another story of the day</a></li></ul>", "<div class=date>12 May</div>"):
+        assert pages.main_text(around(f"<div class=wrap><div class=post><p>{long}</p></div>{other}</div>")) == long
+
+
 def test_pages_equal_their_articles(spark):
     import html
 
