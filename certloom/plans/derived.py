@@ -171,7 +171,16 @@ def cert_stream(spark: SparkSession, sf_dir: str, copies: int = 1) -> DataFrame:
     return certs_of(reader.parquet(sf_dir), copies)
 
 
-def message_files(spark: SparkSession, sf_dir: str, path: str, files: int, copies: int = 1) -> str:
-    """The messages as text files below `path`."""
-    messages_of(events(spark, sf_dir), copies).repartition(files).write.text(path)
-    return path
+# Messages of one text file, some 40 MB.
+FILE_MESSAGES = 100_000
+
+
+def message_files(spark: SparkSession, sf_dir: str, path: str, shares: int, copies: int = 1, per_file: int = FILE_MESSAGES) -> int:
+    """Writes the messages below `path` as text in `shares` equal shares, and returns the number of files of a share.
+
+    Events are dealt out before they are written as messages, so that no task has more than a file's worth of them.
+    """
+    ev = events(spark, sf_dir)
+    files = max(1, -(-ev.count() // (shares * per_file)))
+    messages_of(ev.repartition(shares * files), copies).write.text(path)
+    return files

@@ -21,15 +21,17 @@ def finish(stream_query) -> None:
     stream_query.awaitTermination()
 
 
-def run_ingest(spark, sf, files=4, max_files=None, copies=1, runs=1, globs=(), substrings=(), patterns=None):
-    """Ingest all messages from files; `runs` > 1 sends all of them again, as after a lost checkpoint."""
-    messages = derived.message_files(spark, sf, scratch_dir(spark, "messages"), files, copies)
+def run_ingest(spark, sf, shares=4, batch=None, copies=1, runs=1, globs=(), substrings=(), patterns=None):
+    """Ingest all messages from files, `batch` of their shares at a time; `runs` > 1 sends all of them again, as after a
+    lost checkpoint."""
+    messages = scratch_dir(spark, "messages")
+    files = derived.message_files(spark, sf, messages, shares, copies)
     table, counters = scratch_dir(spark, "table"), []
     for _ in range(runs):
         counters.append(scratch_dir(spark, "counters"))
         finish(
             ingest.ingest_stream(
-                ingest.read_message_files(spark, messages, max_files),
+                ingest.read_message_files(spark, messages, batch and batch * files),
                 table,
                 counters[-1],
                 scratch_dir(spark, "checkpoint"),
@@ -54,14 +56,14 @@ def _(spark, sf):
   SELECT {FLAT.replace('created_at', f'{NOW} AS created_at')} FROM received WHERE {HIT_SQL}""")
 def _(spark, sf):
     """Ingest filtered by a table of patterns, prepared once."""
-    table, _ = run_ingest(spark, sf, max_files=2, patterns=pattern_table(spark, sf))
+    table, _ = run_ingest(spark, sf, batch=2, patterns=pattern_table(spark, sf))
     return flat(tables.read_certificates(spark, table))
 
 
 @query("h2_micro_batches", f"{CERTS}, {RECEIVED} SELECT count(*) AS received, 4 AS batches FROM received")
 def _(spark, sf):
-    """One file per micro-batch."""
-    _, counters = run_ingest(spark, sf, files=4, max_files=1)
+    """One share of the files per micro-batch."""
+    _, counters = run_ingest(spark, sf, shares=4, batch=1)
     return ingest.read_counters(spark, counters[0]).select("received", "batches")
 
 
@@ -96,12 +98,12 @@ def _(spark, sf):
 
 @query("h6_rate_limit", f"{CERTS}, {RECEIVED} SELECT count(*) AS received, 5 AS batches, true AS bounded FROM received")
 def _(spark, sf):
-    """With two of ten files per micro-batch all messages arrive, in five batches of about equal size."""
-    messages = derived.message_files(spark, sf, scratch_dir(spark, "messages"), 10)
-    counters = scratch_dir(spark, "counters")
+    """With two of ten shares per micro-batch all messages arrive, in five batches of about equal size."""
+    messages, counters = scratch_dir(spark, "messages"), scratch_dir(spark, "counters")
+    files = derived.message_files(spark, sf, messages, 10)
     finish(
         ingest.ingest_stream(
-            ingest.read_message_files(spark, messages, 2),
+            ingest.read_message_files(spark, messages, 2 * files),
             scratch_dir(spark, "table"),
             counters,
             scratch_dir(spark, "checkpoint"),
@@ -128,7 +130,7 @@ def _(spark, sf):
    (SELECT count(DISTINCT fingerprint) FROM kept) AS inserted,
    (SELECT count(*) - count(DISTINCT fingerprint) FROM kept) AS duplicate""")
 def _(spark, sf):
-    _, counters = run_ingest(spark, sf, files=3, max_files=1, copies=2, globs=GLOBS, substrings=ISSUERS)
+    _, counters = run_ingest(spark, sf, shares=3, batch=1, copies=2, globs=GLOBS, substrings=ISSUERS)
     return ingest.read_counters(spark, counters[0]).drop("batches")
 
 
@@ -138,7 +140,8 @@ def _(spark, sf):
    (SELECT 2 * count(*) - count(DISTINCT fingerprint) FROM kept) AS duplicate""")
 def _(spark, sf):
     """A second run with a new checkpoint adds to the counters of the first one in the same folder."""
-    messages = derived.message_files(spark, sf, scratch_dir(spark, "messages"), 3, copies=2)
+    messages = scratch_dir(spark, "messages")
+    derived.message_files(spark, sf, messages, 3, copies=2)
     table, counters = scratch_dir(spark, "table"), scratch_dir(spark, "counters")
     for _ in range(2):
         source = ingest.read_message_files(spark, messages)

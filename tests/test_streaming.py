@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from certloom.operators import periods, search, tables
 from certloom.operators.searches import parse_searches
+from certloom.plans import derived
 from certloom.streaming import ingest
 from tests.test_messages import message
 
@@ -192,3 +193,18 @@ def test_unique_domains_of_closed_hours(spark, cert_files, tmp_path):
     basics = {r["period_start"]: r for r in periods.period_basics(rows, 3600).collect()}
     domains = {r["period_start"]: r["unique_domains"] for r in periods.unique_domains(rows, 3600, rules).collect()}
     assert got == {p: (b["total_certificates"], b["total_domain_count"], b["wildcard_count"], b["unique_issuers"], domains[p]) for p, b in basics.items() if p + 3600 <= 39000}
+
+
+def test_messages_are_dealt_into_bounded_files(spark, tmp_path):
+    """Shares of equal files, so that no task writes or reads a whole share."""
+    n = 1000
+    rows = spark.range(n).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"), (F.col("id") % 7).alias("user_id"),
+        F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 5}').alias("props"),
+    )
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    out = tmp_path / "messages"
+    files = derived.message_files(spark, str(tmp_path), str(out), 3, per_file=50)
+    sizes = [len(f.read_text().splitlines()) for f in out.glob("part-*.txt")]
+    assert files == 7 and len(sizes) == 3 * files
+    assert sum(sizes) == n and max(sizes) <= 50
