@@ -158,6 +158,24 @@ def grams(c: Column, n: int) -> Column:
     return _all(c, rf"(?=([^\n]{{{n}}}))", 1)
 
 
+def cut(df: DataFrame, pieces: Column, *columns: str) -> DataFrame:
+    """`columns` and `key`: all runs of `n` characters of every `(line, n)` in an array of pieces, repeats included.
+
+    What `grams` does by a pattern per character, as rows that need not stay: a test of `key` that follows runs with it.
+    """
+    lines = df.select(*columns, F.explode(pieces).alias("_piece")).filter(F.length("_piece.line") >= F.col("_piece.n"))
+    starts = F.sequence(F.lit(1), F.length("_piece.line") - F.col("_piece.n") + 1)
+    placed = lines.select(*columns, "_piece", F.explode(starts).alias("_at"))
+    # As a row source of its own a run is cut once, however often the test asks for it.
+    run = F.explode(F.array(F.substr("_piece.line", F.col("_at"), F.col("_piece.n"))))
+    return placed.select(*columns, run.alias("key"))
+
+
+def lines_of(text: Column, *lengths: int) -> Column:
+    """Pieces for `cut`: the lines of a text for every length of runs."""
+    return F.flatten(F.transform(F.split(text, "\n"), lambda line: F.array(*[F.struct(line.alias("line"), F.lit(n).alias("n")) for n in lengths])))
+
+
 def _searched_text(*columns: str) -> Column:
     return F.lower(F.concat_ws("\n", *columns))
 
@@ -172,13 +190,19 @@ def trigram_counts(grams: DataFrame) -> DataFrame:
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
+# A row with more lead trigrams than that is looked up by single ones.
+MOST_LEADS = 64
+
+
 def trigram_candidates(df: DataFrame, texts: DataFrame) -> DataFrame:
     """`(text_id, fingerprint)` of rows that hold every trigram of the text; to be verified.
 
     The rows' trigrams are counted as far as the texts ask for them. A text then meets only the rows that hold its
-    rarest trigram, where the others are looked for in the row's text, so a common trigram never pairs its rows with
-    its texts. Other trigrams are dropped within their row, so a row's text is carried once per lead trigram it
-    holds, not once per trigram. Texts below three characters have no trigram and no candidate here.
+    two rarest trigrams, where the others are looked for in the row's text, so a common trigram never pairs its rows
+    with its texts, and texts that differ little rarely meet each other's rows. Other pairs are dropped within their row,
+    so a row's text is carried once per lead pair it holds, not once per trigram. A row with more than MOST_LEADS of
+    the lead trigrams is looked up by the rarest trigram alone, as its pairs would be too many. Texts below three
+    characters have no trigram and no candidate here.
     """
     wanted = stored(
         texts.select("text_id", F.array_distinct(grams(F.lower("text"), GRAM)).alias("_grams")).filter(F.size("_grams") > 0),
@@ -188,26 +212,34 @@ def trigram_candidates(df: DataFrame, texts: DataFrame) -> DataFrame:
     listed = stored(each.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")), "listed")
     kept = key_set(listed, "gram", listed.count())
     rows = df.select("fingerprint", _searched_text("domains", "issuer_org", "subject_cn").alias("_text"))
-    held = F.filter(F.array_distinct(grams(F.col("_text"), GRAM)), kept.may_hold)
-    counts = rows.select(F.explode(held).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    asked = cut(rows, lines_of(F.col("_text"), GRAM)).filter(kept.may_hold(F.col("key")))
+    counts = asked.groupBy(F.col("key").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
     cost = listed.join(counts, "gram").select("gram", (F.col("texts") * F.col("n")).alias("cost"))
     # A text with a trigram that no row holds has no candidate, and none of its trigrams is looked up.
     complete = F.count(F.lit(1)) == F.max("_n")
     leads = stored(
         each.join(cost, "gram")
         .groupBy("text_id")
-        .agg(F.min(F.struct("cost", "gram")).alias("_lead"), complete.alias("_complete"))
+        .agg(F.slice(F.array_sort(F.collect_list(F.struct("cost", "gram"))), 1, 2)["gram"].alias("_lead"), complete.alias("_complete"))
         .filter("_complete")
-        .select("text_id", F.col("_lead.gram").alias("gram"))
+        .select("text_id", F.get("_lead", F.lit(0)).alias("gram"), F.array_join(F.array_sort("_lead"), "").alias("pair"), F.explode("_lead").alias("lead"))
         .join(wanted, "text_id"),
         "leads",
     )
-    # Only lead trigrams leave their row, with its text.
-    lead_keys = key_set(leads, "gram", leads.count())
-    led = rows.select("fingerprint", "_text", F.explode(F.filter(F.array_distinct(grams(F.col("_text"), GRAM)), lead_keys.may_hold)).alias("gram"))
-    side = broadcast_if_small(leads, F.size("_grams") * 8 + 16)
+    total = leads.count()
+    lead_set, pair_set = key_set(leads, "lead", total), key_set(leads, "pair", total)
+    # Only lead pairs leave their row, with its text.
+    held = F.array_sort(F.filter(F.array_distinct(grams(F.col("_text"), GRAM)), lead_set.may_hold))
+    found = rows.withColumn("_held", held).withColumn("_long", F.size("_held") > MOST_LEADS)
+    pairs = F.flatten(F.transform("_held", lambda a, i: F.transform(F.slice("_held", i + 2, F.lit(MOST_LEADS)), lambda b: F.concat(a, b))))
+    keys = F.when(F.col("_long"), F.col("_held")).otherwise(F.concat("_held", pairs))
+    kept_keys = F.filter(F.array_distinct(keys), lambda k: F.col("_long") | pair_set.may_hold(k))
+    led = found.select("fingerprint", "_text", "_long", F.explode(kept_keys).alias("key"))
+    own = leads.filter("lead = gram")
+    either = own.select("text_id", "_grams", F.inline(F.array(F.struct(F.col("pair").alias("key"), F.lit(False).alias("_long")), F.struct(F.col("gram").alias("key"), F.lit(True).alias("_long")))))
+    side = broadcast_if_small(either, F.size("_grams") * 8 + 24)
     every = F.forall("_grams", lambda g: F.contains(F.col("_text"), g))
-    return led.join(side, "gram").filter(every).select("text_id", "fingerprint").distinct()
+    return led.join(side, ["key", "_long"]).filter(every).select("text_id", "fingerprint").distinct()
 
 
 # Kinds of keys, best first: a whole value, a name ending, or a run of that many characters.

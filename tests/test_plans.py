@@ -148,3 +148,20 @@ def test_no_products_and_no_python(spark, table, large):
         text = plan(df)
         for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEval", "BatchEval"):
             assert bad not in text
+
+
+@pytest.mark.parametrize("most", [0, 3, 64])
+def test_candidates_by_pairs_and_by_single_trigrams_are_the_same(spark, monkeypatch, most):
+    """Rows below and above the bound, a text of one trigram, one that no row holds, and trigrams that stand apart."""
+    from tests.conftest import Certs
+
+    names = [["u1234.net"], ["u1299.net", "x34.example"], ["u12.org", "a123.b234.c34.net", "34.n.e.t", "4.net"], ["u55.net"], None]
+    rows = Certs(spark).frame(*[{"domains": n, "issuer_org": None, "subject_cn": None, "domain_count": 1} for n in names])
+    texts = [(1, "u1234.net"), (2, "U55.net"), (3, "net"), (4, "qqq.net"), (5, "12"), (6, "u1299")]
+    monkeypatch.setattr(searches, "MOST_LEADS", most)
+    got = searches.trigram_candidates(rows, spark.createDataFrame(texts, "text_id int, text string"))
+    want = set()
+    for r in rows.collect():
+        held = {d.lower()[i : i + 3] for d in r["domains"] or [] for i in range(len(d) - 2)}
+        want |= {(k, r["fingerprint"]) for k, t in texts if len(t) > 2 and {t.lower()[i : i + 3] for i in range(len(t) - 2)} <= held}
+    assert sorted((r["text_id"], r["fingerprint"]) for r in got.collect()) == sorted(want) and len(want) >= 7
