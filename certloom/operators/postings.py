@@ -22,10 +22,11 @@ from certloom import schemas
 from certloom.files import delete_path, folder_names, move, path_exists
 from certloom.functions import times
 from certloom.functions.predicates import SearchSpec, match_spec
-from certloom.operators.searches import GRAM, grams
+from certloom.operators.searches import GRAM, cut, grams, lines_of
 
 FOLDER = "_grams"
 BLOCKS = 32_768  # of a day: the size of Spark's bitmaps
+WORD = 64  # blocks that are added up as one number
 RANGES = 200  # ranges of time that one search reads at most; the nearest ones are joined beyond that
 POSTING = T.StructType([T.StructField("gram", T.StringType()), T.StructField("bits", T.BinaryType()), T.StructField("seen_date", T.DateType())])
 
@@ -38,10 +39,33 @@ def _text() -> Column:
     return F.lower(F.concat_ws("\n", "domains", "issuer_org", "subject_cn"))
 
 
+def _bitmap(words: Column) -> Column:
+    """The bitmap of sorted `(word, bits)`, each word once; what lies between them is zero."""
+
+    def digits(e: Column, i: Column) -> Column:
+        before = F.when(i == 0, -1).otherwise(F.element_at(words, i)["word"])
+        gap = F.repeat(F.lit("0"), WORD // 4 * (e["word"] - before - 1).cast("int"))
+        return F.concat(gap, F.lpad(F.hex(e["bits"]), WORD // 4, "0"))
+
+    return F.unhex(F.rpad(F.array_join(F.transform(words, digits), ""), BLOCKS // 4, "0"))
+
+
 def postings_of(rows: DataFrame) -> DataFrame:
-    """(gram, bits, seen_date) of some certificates."""
-    each = rows.select(times.seen_date(F.col("seen_at")).alias("seen_date"), _block().alias("block"), F.explode(F.array_distinct(grams(_text(), GRAM))).alias("gram"))
-    return each.groupBy("seen_date", "gram").agg(F.bitmap_construct_agg("block").alias("bits")).select("gram", "bits", "seen_date")
+    """(gram, bits, seen_date) of some certificates.
+
+    Trigrams are added up as words of 64 bits, in which a task's rows of one day and time meet before they are
+    shuffled or sorted; only the words become bitmaps.
+    """
+    placed = rows.select(times.seen_date(F.col("seen_at")).alias("seen_date"), _block().alias("block"), _text().alias("_text"))
+    each = cut(placed, lines_of(F.col("_text"), GRAM), "seen_date", "block")
+    block = F.col("block")
+    # The hex digits of a word are its bytes in order, lowest byte first.
+    place = (WORD // 8 - 1 - F.expr(f"block % {WORD} div 8")) * 8 + block % 8
+    words = each.groupBy("seen_date", "key", F.expr(f"block div {WORD}").alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))).alias("bits")
+    )
+    packed = words.groupBy("seen_date", F.col("key").alias("gram")).agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    return packed.select("gram", _bitmap(F.col("words")).alias("bits"), "seen_date")
 
 
 def has_index(spark: SparkSession, path: str) -> bool:

@@ -115,3 +115,20 @@ def test_key_sets_hold_their_texts(spark):
     assert keys.limit(2000).filter(~held.may_hold(F.col("key"))).count() == 0
     empty = key_set(keys.limit(0), "key", 0)
     assert keys.filter(empty.may_hold(F.col("key"))).count() == 0
+
+
+def test_postings_have_the_bits_of_their_blocks(spark, rows):
+    """Bit for bit what Spark's bitmap of the blocks gives, first and last block of a day and words with gaps included."""
+    from certloom.operators.searches import grams
+
+    ends = rows.limit(2).withColumn("seen_at", F.when(F.col("cert_index") % 2 == 0, 102 * DAY).otherwise(103 * DAY - 1))
+    some = rows.unionByName(ends)
+    each = some.select(F.to_date(F.timestamp_seconds("seen_at")).alias("seen_date"), postings._block().alias("block"), F.explode(grams(postings._text(), 3)).alias("gram"))
+    want = each.groupBy("seen_date", "gram").agg(F.bitmap_construct_agg("block").alias("bits")).select("gram", "bits", "seen_date")
+    got = postings.postings_of(some)
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+
+
+def test_postings_are_added_up_without_sorting_the_trigrams(spark, rows):
+    text = postings.postings_of(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in text and "partial_bit_or" in text
