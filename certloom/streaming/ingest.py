@@ -21,7 +21,7 @@ from certloom.functions.hosts import has_wildcard
 from certloom.functions.predicates import SearchSpec, match_spec
 from certloom.operators import search, tables
 from certloom.operators.domains import registrable_domain
-from certloom.operators.filters import index_patterns, match_patterns
+from certloom.operators.filters import index_patterns, matching_fingerprints
 from certloom.operators.searches import SearchIndex, index_searches, match_index, parse_searches, update_index
 from certloom.sources.messages import ingest_predicate, parse_messages, to_certificates
 from certloom.sources.suffixes import SuffixRules
@@ -109,7 +109,7 @@ def ingest_stream(
         if index is not None:
             # A row is kept or dropped with all of its fingerprint.
             parsed = parsed.persist()
-            hits = match_patterns(parsed, index).select("fingerprint").distinct().withColumn("_hit", F.lit(True))
+            hits = matching_fingerprints(parsed, index).withColumn("_hit", F.lit(True))
             marked = parsed.join(hits, "fingerprint", "left").withColumn("_keep", F.col("_hit").isNotNull()).drop("_hit").persist()
         else:
             marked = parsed.withColumn("_keep", keep).persist()

@@ -113,3 +113,14 @@ def test_glob_takes_other_signs_literally(spark):
     df = spark.createDataFrame([("a.b",), ("axb",), ("a+b",), ("(a)\n",), ("(a)",)], "d string")
     got = df.select("d", glob_match(df.d, "a.b", "(?)").alias("hit")).collect()
     assert [r["d"] for r in got if r["hit"]] == ["a.b", "(a)"]
+
+
+def test_only_runs_of_the_patterns_lengths_are_cut(spark, certs):
+    """A length with few keys is tested key by key, also for a line end in a pattern, and the others are not cut at all."""
+    from certloom.operators import filters
+
+    df = certs.frame({"domains": ["n7.abcdef.test"]}, {"domains": ["n41.lake.test"], "issuer_org": "Elm"}, {"domains": ["q"], "issuer_org": "oa\nk"})
+    rows = [("domain", f"n{i}.*") for i in range(10, 60)] + [("issuer", "ELM"), ("issuer", "a\nk"), ("domain", "*cdef.t*")]
+    index = filters.index_patterns(spark.createDataFrame(rows, "kind string, pattern string"))
+    assert index.lengths == (3,) and set(index.few) == {"cdef.t"}
+    assert {r["cert_index"] for r in filters.match_patterns(df, index).collect()} == {1, 2}
