@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from certloom.session import broadcast_if_small
 
 LENGTH, PER_SHARD, KEY, ROUNDS = 2048, 4096, 20_240_607, 6
 PAD, END = 1, 1
+ROUNDS_OF_SHARDS = 3
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ID = 2  # bytes of an id
 
 
@@ -65,6 +68,17 @@ def _resolved(spark: SparkSession, path: str) -> str:
     return uri if "://" in uri else uri.replace(":/", ":///", 1)
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query go when it ends, not when the driver happens to collect garbage."""
+    before = spark.conf.get(DROP_SHUFFLES)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+
+
 def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
@@ -152,7 +166,9 @@ def materialise(
     bases = counts.select("task", F.coalesce(F.expr("sum(n) OVER (ORDER BY task ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"), F.lit(0)).alias("base"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     side = broadcast_if_small(bases, F.lit(16))
-    placed = cut.join(side, "task").withColumn("slot", slot(F.col("base") + F.col("k"), max(total, 1), key))
+    # As a row source of its own a slot is found once, however often it is asked for.
+    own_slot = F.explode(F.array(slot(F.col("base") + F.col("k"), max(total, 1), key)))
+    placed = cut.join(side, "task").select("data", "pieces", own_slot.alias("slot"))
     target = _resolved(spark, path or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +199,16 @@ def materialise(
         columns = list(zip(*found)) if found else [[]] * 2
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shard", "windows"])
 
-    # A shard is a range of slots, whose bounds are known without a look at the rows: partition k writes shard k.
-    part = F.expr(f"cast(slot div {per_shard} AS int)")
-    ordered = placed.select("slot", "data").repartitionById(max(1, -(-total // per_shard)), part).sortWithinPartitions("slot")
-    stored(ordered.select("slot", "data").mapInArrow(write, "shard long, windows long"), "shards")
+    # A shard is a range of slots, whose bounds are known without a look at the rows. The shards are written in rounds, and
+    # the shuffle files of a round go before the next one, so that windows never lie whole in table, shuffle and shards.
+    shards = -(-total // per_shard)
+    ends = [shards * k // ROUNDS_OF_SHARDS for k in range(ROUNDS_OF_SHARDS + 1)]
+    with _shuffles_dropped(spark):
+        for first, end in zip(ends, ends[1:]):
+            if first < end:
+                own = placed.filter(f"slot >= {first * per_shard} AND slot < {end * per_shard}").select("slot", "data")
+                ordered = own.repartitionById(end - first, F.expr(f"cast(slot div {per_shard} - {first} AS int)")).sortWithinPartitions("slot")
+                stored(ordered.select("slot", "data").mapInArrow(write, "shard long, windows long"), "shards")
     name = F.concat(F.lit(f"{target}/shard-"), F.lpad(F.expr(f"slot div {per_shard}").cast("string"), 8, "0"), F.lit(".bin"))
     listed = placed.select("slot", F.explode("pieces").alias("p"))
     return listed.select(F.col("p.id").alias(id_column), "p.start", "p.length", "p.doc_tokens", "slot", "p.offset", name.alias("shard"), "p.ids_crc32")

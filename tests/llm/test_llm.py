@@ -453,6 +453,25 @@ def test_packing_odd_rows(odd, none, reference_ids):
     assert packing.pack(odd).count() >= odd.count() and packing.pack(none).count() == 0
 
 
+def test_shards_are_written_in_rounds(spark, docs, tmp_path, monkeypatch):
+    """No round shuffles more than its share of the shards, and its shuffle files go when it ends."""
+    rounds, real = [], shards.stored
+
+    def stored(df, label):
+        found = real(df, label)
+        if label == "shards":
+            rounds.append((spark.conf.get(shards.DROP_SHUFFLES), [r["shard"] for r in found.collect()]))
+        return found
+
+    monkeypatch.setattr(shards, "stored", stored)
+    before = spark.conf.get(shards.DROP_SHUFFLES)
+    shards.materialise(docs, str(tmp_path / "shards"), per_shard=8, length=256)
+    written = sorted(s for _, own in rounds for s in own)
+    assert written == list(range(len(written))) and len(written) >= 6
+    assert len(rounds) == 3 and max(len(own) for _, own in rounds) <= -(-len(written) // 3)
+    assert {dropped for dropped, _ in rounds} == {"true"} and spark.conf.get(shards.DROP_SHUFFLES) == before
+
+
 def test_shards_round_trip(spark, docs, texts, reference_ids, odd, none, tmp_path):
     path = str(tmp_path / "shards")
     rows = shards.materialise(docs.repartition(5), path, per_shard=64, length=256).collect()
