@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from certloom.llm.runtime import checkpointed
+from certloom.llm.runtime import checkpointed, gathered
 
 
 def _digest(edges: DataFrame) -> tuple[int, int]:
@@ -24,19 +24,19 @@ def _round(edges: DataFrame) -> DataFrame:
     return moved.union(low.select("node", F.col("low").alias("root"))).distinct()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", most: int | None = None) -> DataFrame:
     """(node, root) for every node that has a link, except roots: `root` is the least node of its component.
 
-    Nodes are longs. Links to itself and repeated links do not matter; a link with a null end is none.
+    `most` bounds the number of links, generously, where the caller knows it. Nodes are longs. Links to itself and repeated links do not matter; a link with a null end is none.
     A round joins each link with one row per node, so no node's neighbours are gathered in one place,
     and only one pair of numbers per round reaches the driver.
     """
-    edges = checkpointed(
-        links.where(f"{a} <> {b}").select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root")).distinct()
-    )
+    edges = links.where(f"{a} <> {b}").select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root")).distinct()
+    edges = checkpointed(edges if most is None else gathered(edges, most))
     seen = _digest(edges)
     while seen[0]:
-        edges = checkpointed(_round(edges))
+        # Each link becomes one, and each node has one more.
+        edges = checkpointed(gathered(_round(edges), 2 * seen[0]))
         now = _digest(edges)
         if now == seen:
             break

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from certloom.llm.runtime import stored
+from certloom.llm.runtime import gathered, stored
 from certloom.session import broadcast_if_small
 
 WORDS, COVERED = 5, 0.8
@@ -126,7 +126,8 @@ def templates(benchmark: DataFrame, item_column: str, item_text: str) -> tuple[D
         made.append(some.select("item", F.lit(size).alias("of"), F.explode(_windows_of(F.col("w"), [size], None)).alias("x")))
     rows = reduce(DataFrame.unionByName, made)
     asked = rows.select("item", "of", F.col("x.at").alias("item_at"), "x.template", "x.hash", F.col("x.slots").alias("item_slots"), F.col("x.around").alias("item_around"))
-    return stored(asked.distinct(), "templates"), sorted(r["n"] for r in sizes)
+    windows = items.agg(F.coalesce(F.sum(2 * F.size("w") + 1), F.lit(0))).first()[0]  # at most
+    return stored(gathered(asked.distinct(), windows), "templates"), sorted(r["n"] for r in sizes)
 
 
 def _known(asked: DataFrame) -> Callable[[Column], Column]:
@@ -212,7 +213,8 @@ def contamination(
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of `docs` that no item contaminates, as they are; rows with one id, or without, each by its own text."""
-    found = stored(matches(docs, benchmark, id_column, text_column, item_column, item_text).select("id", "digest").distinct(), "leaks")
+    found = matches(docs, benchmark, id_column, text_column, item_column, item_text).select("id", "digest").distinct()
+    found = stored(gathered(found, docs.count()), "leaks")
     lost = broadcast_if_small(found.withColumnRenamed("digest", "of_text"), F.lit(40))
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_column).alias("doc"), _digest(text_column).alias("digest"))
     same = F.col("doc").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of_text"))

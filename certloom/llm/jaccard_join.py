@@ -363,8 +363,9 @@ def similar_sets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     twos = shared.where("m = 2").groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b")
     pairs = twos.union(list_pairs(longer, sets, None, True, percent)).distinct()
     links = stored(checked(pairs, sets, percent).union(subset_links(distinct, x, percent)), "links")
-    more = stored(checked(list_pairs(longer, sets, components(links), False, percent), sets, percent), "links")
-    roots = components(links.union(more)).withColumnRenamed("node", "of")
+    more = stored(checked(list_pairs(longer, sets, components(links, most=links.count()), False, percent), sets, percent), "links")
+    both = links.union(more)
+    roots = components(both, most=both.count()).withColumnRenamed("node", "of")
     named = distinct.select("node", "first").join(roots, F.col("node") == F.col("of"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
     classes = named.join(least, "root").select(F.col("node").alias("of"), "component")

@@ -16,6 +16,7 @@ from certloom.llm.runtime import slices
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15  # of all orders together; bucket 0 takes what crosses the end of a text and counts nothing
+SLICE = 1 << 17  # characters that are turned into n-grams at a time: arrays of some 20 MB per worker, texts of this length apart
 MAX_LANGUAGES = 256  # with BUCKETS, the bound of the broadcast matrix: 32 MiB
 _WORDLIKE = re.compile(r"[^\W\d_]")  # letters, and signs such as fractions and Roman numerals, which are none
 
@@ -71,7 +72,7 @@ def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang")
         for batch in batches:
             langs = np.array([index[x] for x in batch.column("lang").to_pylist()], np.int64)
             texts_of += np.bincount(langs, minlength=len(names))
-            for first, texts in slices(batch, "t"):
+            for first, texts in slices(batch, "t", SLICE):
                 found, starts = codes(texts)
                 owner = np.repeat(langs[first : first + len(texts)], np.diff(np.append(starts, found.shape[1])))
                 for k in np.unique(owner):
@@ -111,7 +112,7 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [_predicted(shared.value, texts) for _, texts in slices(batch, "t")]
+            parts = [_predicted(shared.value, texts) for _, texts in slices(batch, "t", SLICE)]
             langs, scores = [x for p in parts for x in p[0]], [x for p in parts for x in p[1]]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
 
@@ -126,7 +127,7 @@ def keep_known(docs: DataFrame, model: Model, text_column: str = "text", min_sco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [lang != "und" and score >= min_score for _, texts in slices(batch, text_column) for lang, score in zip(*_predicted(shared.value, texts))]
+            kept = [lang != "und" and score >= min_score for _, texts in slices(batch, text_column, SLICE) for lang, score in zip(*_predicted(shared.value, texts))]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -10,10 +10,21 @@ from pyspark.sql import functions as F
 
 from certloom.session import shared_dir, stored
 
-__all__ = ["SLICE_CHARS", "checkpointed", "fold", "shared_dir", "slices", "stored"]
+__all__ = ["FILE_ROWS", "SLICE_CHARS", "checkpointed", "fold", "gathered", "shared_dir", "slices", "stored"]
 
 # A task turns at most about this many characters into arrays at a time.
 SLICE_CHARS = 1_000_000
+# Rows of ids and hashes that are worth a file of their own, some 3 MB.
+FILE_ROWS = 100_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, of at most `rows` narrow rows, in no more parts than these fill or the cores can work on, before it is written.
+
+    A written part costs its executor processes: Hadoop's local files set their rights by a command, two of a part,
+    and a process that Java starts has the executor's memory a second time until the command runs.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from certloom.llm.components import components
-from certloom.llm.runtime import slices, stored
+from certloom.llm.runtime import gathered, slices, stored
 from certloom.session import broadcast_if_small
 
 WORDS, SEED, RADIUS = 3, 42, 2
@@ -179,9 +180,9 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.repartition("choice", "part").sortWithinPartitions("choice", "part", "fp").mapInArrow(run, "a long, b long")
 
 
-def _classes(rows: DataFrame, distinct: DataFrame, tied: DataFrame) -> DataFrame:
+def _classes(rows: DataFrame, distinct: DataFrame, tied: DataFrame, most: int) -> DataFrame:
     """`rows` with component_id, the least `first` of the component that the links give their `node`."""
-    roots = components(tied).withColumnRenamed("node", "of")
+    roots = components(tied, most=most).withColumnRenamed("node", "of")
     named = distinct.join(roots, F.col("node") == F.col("of"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(named.join(least, "root").select("node", "component_id"), "node")
@@ -196,7 +197,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     prints = stored(fingerprints(docs, id_column, text_column), "prints")
     nodes = prints.withColumnRenamed("fp", "node")
     distinct = nodes.groupBy("node").agg(F.min(id_column).alias("first"))
-    classes = _classes(nodes, distinct, links(distinct.select(F.col("node").alias("fp")), radius))
+    # A value has at most one link in each of its runs.
+    most = prints.count() * comb(8, radius)
+    classes = _classes(nodes, distinct, links(distinct.select(F.col("node").alias("fp")), radius), most)
     return classes.select(id_column, F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -209,11 +212,12 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     row = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("h"), F.col(text_column).alias("t"))
     own = F.struct(F.col("id").isNull().alias("last"), "id", "h")
     prints = stored(fingerprints(row.select(own.alias("own"), "t"), "own", "t").withColumnRenamed("fp", "node"), "prints")
-    distinct = stored(prints.groupBy("node").agg(F.min("own").alias("first")), "distinct")
-    classes = _classes(prints, distinct, links(distinct.select(F.col("node").alias("fp")), radius))
+    rows = prints.count()
+    distinct = stored(gathered(prints.groupBy("node").agg(F.min("own").alias("first")), rows), "distinct")
+    classes = _classes(prints, distinct, links(distinct.select(F.col("node").alias("fp")), radius), rows * comb(8, radius))
     # A row is known by its id and its text's hash; those that go are mostly fewer than those that stay.
     same = classes.groupBy("own").agg(F.min("component_id").alias("kept"), F.count(F.lit(1)).alias("m")).where("own <> kept OR m > 1")
-    same = stored(same.select("own.id", "own.h", (F.col("own") == F.col("kept")).alias("stays")), "same")
+    same = stored(gathered(same.select("own.id", "own.h", (F.col("own") == F.col("kept")).alias("stays")), rows), "same")
     lost, again = same.where("NOT stays"), same.where("stays")
 
     def among(rows: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
