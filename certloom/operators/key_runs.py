@@ -89,6 +89,14 @@ def _all_set(bits: Column, positions: Column) -> Column:
     return F.forall(positions, is_set)
 
 
+def filter_bits(keys: DataFrame, parts: int, blocks: int) -> DataFrame:
+    """(part, block, bits) of the filters of some keys, which are grouped by one number: Spark sorts them for this
+    aggregate, and sorts a single number by its digits."""
+    number = (_part(parts) * F.lit(blocks).cast("long") + _block(blocks)).alias("number")
+    found = keys.select(number, F.explode(_positions()).alias("position")).groupBy("number").agg(F.bitmap_construct_agg("position").alias("bits"))
+    return found.select(F.call_function("div", "number", F.lit(blocks)).alias("part"), (F.col("number") % blocks).alias("block"), "bits")
+
+
 def write_run(spark: SparkSession, root: str, keys: DataFrame, count: int, uid: str | None = None, tier: int | None = None) -> Run:
     """Add `count` keys (KEY) as one run: keys and filter are written in one job and put in place by renaming."""
     parts, blocks = shape(count)
@@ -96,11 +104,7 @@ def write_run(spark: SparkSession, root: str, keys: DataFrame, count: int, uid:
     own = _part(parts).alias("part")
     nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in FILTER]
     rows = keys.select(F.lit("keys").alias("kind"), own, *KEY.fieldNames(), *nothing)
-    bits = (
-        keys.select(own, _block(blocks).alias("block"), F.explode(_positions()).alias("position"))
-        .groupBy("part", "block")
-        .agg(F.bitmap_construct_agg("position").alias("bits"))
-    )
+    bits = filter_bits(keys, parts, blocks)
     place = F.concat(F.lit(run.uid + "/"), F.col("part").cast("string")).alias("place")
     filters = bits.select(F.lit("filter").alias("kind"), "part", *[F.lit(None).cast(f.dataType).alias(f.name) for f in KEY], place, "block", "bits")
     staged = f"{root}/_staged-{run.uid}"

@@ -256,3 +256,18 @@ def test_empty_inputs_insert_nothing(spark, certs, path):
     assert tables.copy_table(spark, empty, path, 7) == 0
     assert tables.append_new(spark, path, certs.frame({})) == 1
     assert tables.append_new(spark, path, certs.frame({}).filter("false")) == 0
+
+
+def test_filter_blocks_are_grouped_by_one_number(spark):
+    keys = spark.range(5000).selectExpr("md5(cast(id AS string)) AS fingerprint").union(spark.sql("SELECT CAST(NULL AS string)"))
+    parts, blocks = 4, 3
+    made = key_runs.filter_bits(keys, parts, blocks)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [number#" in plan and "ASC NULLS FIRST, " not in plan
+    part, block = key_runs._part(parts), key_runs._block(blocks)
+    each = keys.select(part.alias("part"), block.alias("block"), F.explode(key_runs._positions()).alias("p")).distinct()
+    want = {}
+    for r in each.collect():
+        want.setdefault((r["part"], r["block"]), set()).add(r["p"])
+    got = {(r["part"], r["block"]): {8 * i + k for i, x in enumerate(r["bits"]) for k in range(8) if x >> k & 1} for r in made.collect()}
+    assert got == want and len(got) == 12
